@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .audio import op8_audio
 from .bpe_codec import op5_bpe_codec
+from .order_minhash import op2_order_minhash
 from .token_counts import op1_token_counts
 from .toxicity import op4_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_order_minhash": op2_order_minhash,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_bpe_codec": op5_bpe_codec,
