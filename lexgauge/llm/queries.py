@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audio import op8_audio
 from .bpe_codec import op5_bpe_codec
 from .order_minhash import op2_order_minhash
+from .packing import op10_packing
 from .token_counts import op1_token_counts
 from .toxicity import op4_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe_codec": op5_bpe_codec,
     "op8_audio": op8_audio,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {"op3_url_filter": OP3_SQL}
