@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audio import op8_audio
 from .bpe_codec import op5_bpe_codec
+from .jaccard_join import op6_jaccard_join
 from .order_minhash import op2_order_minhash
 from .packing import op10_packing
 from .token_counts import op1_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_audio": op8_audio,
     "op10_packing": op10_packing,
 }
