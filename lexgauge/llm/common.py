@@ -83,3 +83,8 @@ def slices(batch: pa.RecordBatch, text_at: int, max_bytes: int = 8 << 20) -> Ite
         held += n
     if first < len(sizes):
         yield batch.slice(first)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked for a broadcast if it has at most ``rows`` rows (of a few numbers each)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

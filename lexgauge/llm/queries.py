@@ -5,6 +5,8 @@ from __future__ import annotations
 from .audio import op8_audio
 from .bpe_codec import op5_bpe_codec
 from .jaccard_join import op6_jaccard_join
+from .license_scan import op9_license_scan
+from .line_templates import op7_line_templates
 from .order_minhash import op2_order_minhash
 from .packing import op10_packing
 from .token_counts import op1_token_counts
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_line_templates": op7_line_templates,
     "op8_audio": op8_audio,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 
