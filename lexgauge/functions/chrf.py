@@ -41,12 +41,15 @@ def corpus_chrf(df: DataFrame, groups: list[str], hypothesis: str = "hypothesis"
     orders = [*(("c", n) for n in range(1, CHARS + 1)), *(("w", n) for n in range(1, WORDS + 1))]
 
     def grams(side: str) -> DataFrame:
-        every = F.concat(*[F.transform(ngrams(F.col(f"__{kind}{side}"), n), lambda g, k=i: F.struct(F.lit(k).alias("o"), g.alias("g"))) for i, (kind, n) in enumerate(orders)])
-        return rows.select(*groups, "__seg", F.explode(every).alias("e")).select(*groups, "__seg", "e.o", "e.g")
+        def numbered(order: int, grams: Column) -> Column:
+            return F.transform(grams, lambda g: F.struct(F.lit(order).alias("__o"), g.alias("__g")))
+
+        every = F.concat(*[numbered(i, ngrams(F.col(f"__{kind}{side}"), n)) for i, (kind, n) in enumerate(orders)])
+        return rows.select(*groups, "__seg", F.explode(every).alias("e")).select(*groups, "__seg", "e.__o", "e.__g")
 
     both = grams("h").withColumns({"h": F.lit(1), "r": F.lit(0)}).unionByName(grams("r").withColumns({"h": F.lit(0), "r": F.lit(1)}))
-    counts = both.groupBy(*groups, "__seg", "o", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    sums = counts.groupBy(*groups, "o").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where((F.col("h") > 0) & (F.col("r") > 0))
+    counts = both.groupBy(*groups, "__seg", "__o", "__g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    sums = counts.groupBy(*groups, "__o").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where((F.col("h") > 0) & (F.col("r") > 0))
     averaged = sums.groupBy(*groups).agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))
     b2 = BETA * BETA
     score = 100 * (1 + b2) * F.col("p") * F.col("q") / (b2 * F.col("p") + F.col("q"))

@@ -1,0 +1,149 @@
+"""Calling an OpenAI-compatible server from the executors, with retries, for each request row."""
+
+from __future__ import annotations
+
+import http.client
+import json
+import socket
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
+from urllib.parse import urlsplit
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+RETRIED = {429, 500, 502, 503, 504}
+RESULT = "id string, raw_response string, ok boolean, http_status int, error_type string, error string, total_latency_ms double, ttft_ms double, stream_duration_ms double, attempt_count int, retry_count int, total_elapsed_with_retries_ms double, started_at string, completed_at string"
+
+
+@dataclass(frozen=True)
+class Server:
+    url: str
+    timeout: float = 60.0
+    retries: int = 1
+    wait: float = 2.0
+    delay: float = 0.0
+
+
+@dataclass
+class Reply:
+    ok: bool
+    status: int | None = None
+    body: str = ""
+    error_type: str = ""
+    error: str = ""
+    latency_ms: float = 0.0
+    ttft_ms: float | None = None
+    stream_ms: float | None = None
+
+    @property
+    def worth_retrying(self) -> bool:
+        return not self.ok and (self.error_type in ("connection", "timeout") or self.status in RETRIED)
+
+
+def post(server: Server, payload: str) -> Reply:
+    """One POST; errors become replies.  Streams are read to [DONE], keeping arrival times."""
+    began = time.perf_counter()
+    spent = lambda: (time.perf_counter() - began) * 1000
+    u = urlsplit(server.url)
+    make = http.client.HTTPSConnection if u.scheme == "https" else http.client.HTTPConnection
+    link = make(u.hostname, u.port, timeout=server.timeout)
+    try:
+        link.request("POST", u.path or "/", payload.encode("utf-8"), {"Content-Type": "application/json"})
+        r = link.getresponse()
+        if r.status != 200:
+            return Reply(False, r.status, error_type="http", error=r.read().decode("utf-8", "replace")[:500], latency_ms=spent())
+        if not json.loads(payload).get("stream"):
+            body = r.read().decode("utf-8", "replace")
+            try:
+                json.loads(body)
+            except ValueError as e:
+                return Reply(False, r.status, body, "json", str(e)[:500], spent())
+            return Reply(True, r.status, body, latency_ms=spent())
+        lines, first = [], None
+        for raw in r:
+            line = raw.decode("utf-8", "replace").rstrip("\r\n")
+            lines.append(line)
+            if line.startswith("data:"):
+                data = line[5:].strip()
+                if data == "[DONE]":
+                    break
+                try:
+                    delta = ((json.loads(data).get("choices") or [{}])[0].get("delta") or {}) if data else {}
+                except ValueError as e:
+                    return Reply(False, r.status, "\n".join(lines), "json", str(e)[:500], spent(), first)
+                if first is None and (delta.get("content") or delta.get("reasoning_content") or delta.get("reasoning")):
+                    first = spent()
+        total = spent()
+        return Reply(True, r.status, "\n".join(lines), latency_ms=total, ttft_ms=first, stream_ms=total - first if first is not None else None)
+    except TimeoutError as e:
+        return Reply(False, error_type="timeout", error=str(e)[:500], latency_ms=spent())
+    except (OSError, http.client.HTTPException, socket.gaierror) as e:
+        return Reply(False, error_type="connection", error=str(e)[:500], latency_ms=spent())
+    finally:
+        link.close()
+
+
+def with_retries(server: Server, payload: str, send: Callable[[Server, str], Reply] = post) -> tuple[Reply, int, float]:
+    """(last reply, attempts, elapsed ms with waits)."""
+    began = time.perf_counter()
+    attempts = 0
+    while True:
+        reply = send(server, payload)
+        attempts += 1
+        if attempts > server.retries or not reply.worth_retrying:
+            return reply, attempts, (time.perf_counter() - began) * 1000
+        time.sleep(server.wait)
+
+
+def complete(requests: DataFrame, server: Server, send: Callable[[Server, str], Reply] = post, concurrency: int = 1) -> DataFrame:
+    """``RESULT`` rows for requests (id, payload); a partition calls one after another, ``concurrency`` at a time.
+
+    A task that Spark repeats calls the server again: write the result to a table, and
+    resume from it (``inputs.pending``), rather than evaluate it twice.
+    """
+
+    def run(batches):
+        now = lambda: datetime.now().astimezone().isoformat(timespec="seconds")
+        for batch in batches:
+            out = []
+            for key, payload in zip(batch["id"], batch["payload"]):
+                if server.delay:
+                    time.sleep(server.delay)
+                started = now()
+                r, n, ms = with_retries(server, payload, send)
+                out.append((key, r.body, r.ok, r.status, r.error_type, r.error, r.latency_ms, r.ttft_ms, r.stream_ms, n, max(n - 1, 0), ms, started, now()))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+            yield frame.astype({"http_status": "Int32", "attempt_count": "int32", "retry_count": "int32", "ttft_ms": "float64", "stream_duration_ms": "float64"})
+
+    return requests.select(F.col("id").cast("string").alias("id"), "payload").repartition(concurrency).mapInPandas(run, RESULT)
+
+
+def get_json(url: str, timeout: float = 10.0) -> dict | None:
+    """A server's health or model list; None if it can't be read."""
+    u = urlsplit(url)
+    try:
+        make = http.client.HTTPSConnection if u.scheme == "https" else http.client.HTTPConnection
+        link = make(u.hostname, u.port, timeout=timeout)
+        link.request("GET", u.path or "/")
+        return json.loads(link.getresponse().read())
+    except (OSError, ValueError, http.client.HTTPException):
+        return None
+
+
+def preflight(server: Server, payload: str, send: Callable[[Server, str], Reply] = post) -> Reply:
+    """One tiny request before a run."""
+    small = json.loads(payload) | {"stream": False}
+    small["max_tokens"] = min(32, small.get("max_tokens") or 32)
+    return send(server, json.dumps(small, ensure_ascii=False))
+
+
+def warm_up(server: Server, payload: str, n: int = 5, send: Callable[[Server, str], Reply] = post) -> int:
+    """The number of calls that worked; none of ``n`` is an error."""
+    good = sum(send(server, payload).ok for _ in range(n))
+    if n and not good:
+        raise ConnectionError("all warm-up requests failed")
+    return good
