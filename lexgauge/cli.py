@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from lexgauge.functions.rules import RULE_COLUMNS, RuleConfig, as_cells, evaluate_rules
+from lexgauge.functions.rules import RULE_COLUMNS, RuleConfig, as_cells, apply_rules
 from lexgauge.operators.inputs import ValidationError, require_columns
 from lexgauge.plans.reports import report_tables, summary_document
 from lexgauge.sinks.reports import write_all, write_csv, write_json
@@ -49,7 +49,7 @@ def run_rules(spark: SparkSession, a) -> int:
     config = RuleConfig.from_json(Path(a.config).read_text("utf-8-sig") if a.config else "{}", **overlay)
     raw = read_csv(spark, a.input, encoding=a.encoding)
     require_columns(raw, RULE_INPUT)
-    out = evaluate_rules(raw, config).orderBy("record_no")
+    out = apply_rules(raw, config).orderBy("record_no")
     columns = [c for c in raw.columns if c not in ("file", "record_no")]
     write_csv(as_cells(out), a.output, [*columns, *[c for c in RULE_COLUMNS if c not in columns]], a.overwrite)
     return 0

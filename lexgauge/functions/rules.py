@@ -251,7 +251,7 @@ def request_reasons(success: Column, status: Column, error: Column, error_type:
     )
 
 
-def evaluate_rules(raw: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
+def apply_rules(raw: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """All columns of ``raw`` (``request_success`` overwritten) and the rule columns, typed.
 
     Narrow: no shuffle.  Unicode normalisation runs once for each text cell, in one

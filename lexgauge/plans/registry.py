@@ -446,7 +446,7 @@ def longest_source_match(spark, sf_dir):
 
 def evaluated(spark, sf_dir) -> DataFrame:
     raw = view(spark, sf_dir, "pairs").selectExpr("*", "CASE conv_id % 7 WHEN 0 THEN 'false' ELSE 'true' END AS request_success", "CASE conv_id % 11 WHEN 0 THEN 500 ELSE 200 END AS http_status", "CASE conv_id % 13 WHEN 0 THEN 'length' ELSE 'stop' END AS finish_reason", "'' AS error", "CASE conv_id % 17 WHEN 0 THEN 'timeout' ELSE '' END AS error_type")
-    return rules.evaluate_rules(raw)
+    return rules.apply_rules(raw)
 
 
 @query("request_reasons", f"""{cte('pairs')} SELECT id, concat_ws(';', CASE WHEN conv_id % 7 = 0 THEN 'request_success=false' END, CASE WHEN conv_id % 11 = 0 THEN 'http_status=500' END, CASE WHEN conv_id % 17 = 0 THEN 'timeout' END, CASE WHEN lower(trim(translation_ja, ' ' || chr(10))) IN ('', 'null', 'none', 'nan') THEN 'empty_output' END, CASE WHEN conv_id % 13 = 0 THEN 'finish_reason=length' END) AS request_error_type,

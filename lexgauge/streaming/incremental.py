@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lexgauge.functions.rules import RuleConfig, evaluate_rules
+from lexgauge.functions.rules import RuleConfig, apply_rules
 
 
 def follow_results(spark: SparkSession, source: str, schema: StructType) -> DataFrame:
@@ -17,7 +17,7 @@ def follow_results(spark: SparkSession, source: str, schema: StructType) -> Data
 
 def evaluate_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, config: RuleConfig = RuleConfig()) -> StreamingQuery:
     """Append the evaluation of all files that are new, then stop; run again to continue."""
-    return evaluate_rules(follow_results(spark, source, schema), config).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return apply_rules(follow_results(spark, source, schema), config).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def windowed_rates(results: DataFrame, time_col: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -112,18 +112,18 @@ def raw(spark, **cells):
     ],
 )
 def test_rules(spark, cells, status, failures, warnings):
-    row = rules.evaluate_rules(raw(spark, **cells)).first()
+    row = rules.apply_rules(raw(spark, **cells)).first()
     assert (row.rule_check_status, row.failure_reasons, row.warning_reasons) == (status, failures, warnings)
 
 
 def test_request_reasons(spark):
-    row = rules.evaluate_rules(raw(spark, request_success="false", http_status="500", error="x", error_type="timeout", finish_reason="LENGTH")).first()
+    row = rules.apply_rules(raw(spark, request_success="false", http_status="500", error="x", error_type="timeout", finish_reason="LENGTH")).first()
     assert row.request_error_type == "request_success=false;http_status=500;error;timeout;finish_reason=length"
     assert row.request_success is False
 
 
 def test_rule_columns_are_complete(spark):
-    out = rules.evaluate_rules(raw(spark).drop("http_status", "error", "error_type", "input_variant"))
+    out = rules.apply_rules(raw(spark).drop("http_status", "error", "error_type", "input_variant"))
     assert set(rules.RULE_COLUMNS) <= set(out.columns)
 
 
