@@ -16,6 +16,11 @@ no two documents apart.  Pivots are therefore drawn where distances are short:
    windows: |d(x, pivot) - d(y, pivot)| <= reach, members of different components,
    sizes that allow it.
 
+Before whole sets are moved, a pair is screened by parity sketches: each shingle
+flips one bit of its set's sketch, so differing bits never outnumber the symmetric
+difference.  That bound, and the difference of sizes, rule most pairs out and give
+a lower bound of their distance; all others are measured on whole sets.
+
 Every link that could join two components is tested, so components are exact.
 """
 
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_path, materialize, new_path, slices, text_values
+from .common import bounded, documents, drop_path, materialize, new_path, slices, text_values
 from .graph import connected_components
 
 WORDS = 400_000  # memoised word hashes in a worker
@@ -105,6 +110,16 @@ def prefix_of(s: np.ndarray, p: int, hot: np.ndarray) -> np.ndarray:
     return head[:p]
 
 
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """Parity bits, as many as the next power of two of the set's size (64 at least), as longs.
+
+    The exclusive or of a sketch's halves is the sketch of half the bits.
+    """
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    flips = np.bincount(s & (bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def hot_shingles(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
     """The shingles that most prefixes hold, at most ``hot_shingles`` of them, counted over all documents.
 
@@ -137,25 +152,30 @@ def hot_shingles(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
     return np.sort(top)
 
 
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
+
+
 def shingle_sets(docs: DataFrame, s: Settings, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, prefix) of each row."""
+    """(id, n, digest, prefix, sketch) of each row."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         shingler = Shingler(s.k)
         for batch in batches:
             for part in slices(batch, 1):
-                n, digest, prefix = [], [], []
+                n, digest, prefix, sketch = [], [], [], []
                 for text in text_values(part.column(1)):
                     x = shingler.of(text)
                     n.append(len(x))
                     digest.append(xxhash.xxh3_128_digest(x.tobytes()))
                     prefix.append(prefix_of(x, s.prefix(len(x)), held.value) if len(x) else x)
-                ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))], ["id", "n", "digest", "prefix"])
+                    sketch.append(sketch_of(x) if len(x) else x)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(prefix), lists(sketch)], ["id", "n", "digest", "prefix", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, digest binary, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, digest binary, prefix array<long>, sketch array<long>")
 
 
 def whole_sets(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -166,20 +186,35 @@ def whole_sets(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> Data
         for batch in batches:
             for part in slices(batch, 1):
                 sets = [shingler.of(t) for t in text_values(part.column(1))]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(sets)], ["id", "set"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, set array<long>")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(x, y, d, linked): the distance of each pair, from both whole sets."""
+def screened(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """(x, y, low, open): a lower bound of each pair's distance, and whether it may be a link."""
+    x, y = (reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")) for c in "xy")
+    half = lambda k: F.zip_with(F.slice(k, F.lit(1), (F.size(k) / 2).cast("int")), F.slice(k, (F.size(k) / 2).cast("int") + 1, (F.size(k) / 2).cast("int")), lambda a, b: a.bitwiseXOR(b))
+    rows = pairs.join(x, "x").join(y, "y")
+    rows = rows.withColumns({"kx": F.when(F.size("kx") > F.size("ky"), half(F.col("kx"))).otherwise(F.col("kx")), "ky": F.when(F.size("ky") > F.size("kx"), half(F.col("ky"))).otherwise(F.col("ky"))})
+    flips = F.aggregate(F.zip_with("kx", "ky", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, v: acc + v)
+    differ = F.greatest(F.when(F.size("kx") == F.size("ky"), flips).otherwise(F.lit(0)).cast("long"), F.abs(F.col("nx") - F.col("ny")))
+    total = F.col("nx") + F.col("ny")
+    rows = rows.select("x", "y", total.alias("total"), differ.alias("differ"))
+    return rows.select("x", "y", (2 * F.col("differ") / (F.col("total") + F.col("differ"))).alias("low"), ((s.den + s.num) * F.col("differ") <= (s.den - s.num) * F.col("total")).alias("open"))
+
+
+def measured(pairs: DataFrame, rows: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(x, y, d, linked): the distance of each pair, from both whole sets, which are made anew of the texts concerned."""
+    spark = pairs.sparkSession
+    wanted = materialize(spark, pairs.select(F.explode(F.array("x", "y")).alias(id_col)).distinct(), "jaccard-wanted")
+    sets = materialize(spark, whole_sets(rows.join(bounded(wanted, s.broadcast_rows), id_col, "left_semi"), s, id_col, text_col), "jaccard-sets")
     x, y = (sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}")) for c in "xy")
     both = F.size(F.array_intersect("sx", "sy"))
-    rows = pairs.join(x, "x").join(y, "y").select("x", "y", both.alias("both"), F.size("sx").alias("nx"), F.size("sy").alias("ny"))
+    sized = pairs.join(x, "x").join(y, "y").select("x", "y", both.alias("both"), F.size("sx").alias("nx"), F.size("sy").alias("ny"))
     union = F.col("nx") + F.col("ny") - F.col("both")
-    return rows.select("x", "y", (1 - F.col("both") / union).alias("d"), (s.den * F.col("both").cast("long") >= s.num * union.cast("long")).alias("linked"))
+    return sized.select("x", "y", (1 - F.col("both") / union).alias("d"), (s.den * F.col("both").cast("long") >= s.num * union.cast("long")).alias("linked"))
 
 
 def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,46 +233,46 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
     first = new_path(spark, "jaccard-prefixes")
     shingle_sets(rows, s, hot_shingles(rows, s, text_col), id_col, text_col).write.parquet(first)
     all_sets = spark.read.parquet(first)
-    reps = all_sets.where(F.col("n") > 0).groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = all_sets.where(F.col("n") > 0).groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
     reps = materialize(spark, reps, "jaccard-representatives")
     members = materialize(spark, all_sets.select("id", "n", "digest"), "jaccard-members")
     drop_path(spark, first)
 
-    seeds = reps.where(F.col("rep").isNotNull()).select(F.explode("prefix").alias("key"), "rep", "n")
-    regions = seeds.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1")
-    region = materialize(spark, seeds.join(regions.select("key", "pivot"), "key"), "jaccard-regions")
+    def tested(pairs: DataFrame, label: str) -> DataFrame:
+        """(x, y, low, high, linked): bounds of each pair's distance, equal where it was measured."""
+        screen = materialize(spark, screened(pairs, reps, s), f"{label}-screen")
+        exact = measured(screen.where("open").select("x", "y"), rows, s, id_col, text_col)
+        shut = screen.where(~F.col("open")).select("x", "y", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
+        return materialize(spark, exact.select("x", "y", F.col("d").alias("low"), F.col("d").alias("high"), "linked").unionByName(shut), label)
 
-    wanted = region.select(F.col("rep").alias(id_col)).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= s.broadcast_rows else wanted
-    whole = whole_sets(rows.join(wanted, id_col, "left_semi"), s, id_col, text_col)
-    sets = materialize(spark, whole, "jaccard-sets")
-
-    pairs = region.where(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
-    to_pivot = materialize(spark, measured(pairs, sets, s), "jaccard-to-pivots")
+    seeds = reps.where(F.col("rep").isNotNull()).select(F.explode("prefix").alias("key"), "rep", "n")
+    regions = seeds.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1").select("key", "pivot")
+    region = materialize(spark, seeds.join(regions, "key"), "jaccard-regions")
+    to_pivot = tested(region.where(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct(), "jaccard-to-pivots")
     links = to_pivot.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = connected_components(spark, links)
 
-    # distances to the region's first pivot stay with each member, for the windows
-    with_d = region.join(to_pivot.select(F.col("x").alias("rep"), F.col("y").alias("pivot"), "d"), ["rep", "pivot"], "left").select("key", "rep", "n", F.coalesce("d", F.lit(0.0)).alias("d"))
-    with_d = materialize(spark, with_d, "jaccard-distances")
-    for turn in range(s.rounds + 1):
-        known = with_d.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "d", F.coalesce("component", "rep").alias("comp"))
+    # the distance to the region's first pivot stays with each member, for the windows
+    placed = region.join(to_pivot.select(F.col("x").alias("rep"), F.col("y").alias("pivot"), "low", "high"), ["rep", "pivot"], "left")
+    placed = placed.select("key", "rep", "n", (F.col("rep") == F.col("pivot")).alias("is_pivot"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
+    reach = 1 - s.num / s.den + 1e-9
+    for turn in range(1, s.rounds + 2):
+        known = placed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "is_pivot", "low", "high", F.coalesce("component", "rep").alias("comp"))
         torn = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("p")).where("lo != hi")
-        open_ = materialize(spark, known.join(torn.select("key", "c", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "key"), "jaccard-open")
-        load = open_.agg(F.count("*").alias("rows"), F.sum(F.col("c") - 1).alias("pairs")).first()
+        placed = materialize(spark, known.join(torn.select("key", "c", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "key"), "jaccard-open")
+        load = placed.agg(F.count("*").alias("rows"), F.sum(F.col("c") - 1).alias("pairs")).first()
         if not load["rows"]:
             break
-        last = turn == s.rounds or load["pairs"] <= 16 * load["rows"]
+        last = turn > s.rounds or load["pairs"] <= 16 * load["rows"]
         if last:
-            y = open_.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("comp").alias("cy"))
-            x = open_.select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("comp").alias("cx"))
-            window = (F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - s.num / s.den + 1e-9) & (F.lit(s.den) * F.least("nx", "ny") >= F.lit(s.num) * F.greatest("nx", "ny"))
-            pairs = x.join(y, "key").where(window & (F.col("dx") > 0) & (F.col("dy") > 0)).select("x", "y").distinct()
+            x, y = (placed.where(~F.col("is_pivot")).select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
+            window = (F.col("lx") - F.col("hy") <= reach) & (F.col("ly") - F.col("hx") <= reach)
+            sizes = s.den * F.least("nx", "ny") >= s.num * F.greatest("nx", "ny")
+            pairs = x.join(y, "key").where((F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & window & sizes)
         else:
-            pairs = open_.where((F.col("comp") != F.col("pivot_comp"))).select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct()
-        more = materialize(spark, measured(pairs, sets, s).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-links")
-        links = links.unionByName(more)
-        labels = connected_components(spark, links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            pairs = placed.where(F.col("comp") != F.col("pivot_comp")).select(F.col("rep").alias("x"), F.col("pivot").alias("y"))
+        more = tested(pairs.select("x", "y").distinct(), "jaccard-more").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        labels = connected_components(spark, more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             break
 
