@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, text_values
+from .common import documents, lean, slices, text_values
 
 HEADER = 44  # bytes of a plain WAV header
 
@@ -175,7 +175,7 @@ def audio_columns(docs: DataFrame, settings: Settings = Settings(), id_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(samples, pa.binary()), pa.array(segments, pa.binary())], ["id", "n_bytes", "media", "payload", "segments"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, media binary, payload binary, segments binary").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n_bytes long, media binary, payload binary, segments binary").withColumnRenamed("id", id_col)
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

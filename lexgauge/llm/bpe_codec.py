@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slices, text_values
+from .common import documents, lean, slices, text_values
 from .vocabularies import WordEndBPE, encoder, read_vocabulary
 
 
@@ -32,7 +32,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -49,7 +49,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return encoded.select(id_col, ids_col).mapInArrow(lean(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def codec_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +77,7 @@ def codec_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -88,3 +91,21 @@ def slices(batch: pa.RecordBatch, text_at: int, max_bytes: int = 8 << 20) -> Ite
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """A written table, marked for a broadcast if it has at most ``rows`` rows (of a few numbers each)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def lean(run: Callable) -> Callable:
+    """Give a Python worker's freed memory back to the system when a task ends; workers live on for other tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, text_values
+from .common import documents, lean, slices, text_values
 
 # Short notices by which texts state their licence (SPDX identifier, notice).
 TEMPLATES = [
@@ -143,7 +143,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, kind)], ["id", "hits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, hits array<struct<line:int,license:string,score:double>>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, hits array<struct<line:int,license:string,score:double>>").withColumnRenamed("id", id_col)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, text_values
+from .common import documents, lean, materialize, slices, text_values
 from .vocabularies import WordEndBPE, encoder, read_vocabulary
 
 
@@ -47,7 +47,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, settings: Settings, i
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raws, pa.binary()), pa.array([len(r) // width for r in raws], pa.int64()), pa.array(place, pa.int64())], ["id", "ids", "n_tokens", "place"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids binary, n_tokens long, place long")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, ids binary, n_tokens long, place long")
 
 
 def id_type(tokenizer_path: str) -> np.dtype:
@@ -70,7 +70,7 @@ def document_frequencies(encoded: DataFrame, dtype: np.dtype) -> tuple[np.ndarra
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *at], pa.int64()), pa.array([n, tokens, *df[at]], pa.int64())], ["id", "n"])
 
-    sums = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    sums = encoded.select("ids").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     at, n = sums.column(0).to_numpy(), sums.column(1).to_numpy()
     docs, tokens = (int(n[at == k].sum()) for k in (-1, -2))
     df = np.zeros(int(at.max(initial=0)) + 1, np.int64)
@@ -250,7 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: Settings = Se
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     schema = f"`{id_col}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return dealt.select("id", "ids").mapInArrow(run, schema)
+    return dealt.select("id", "ids").mapInArrow(lean(run), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

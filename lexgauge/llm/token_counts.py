@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, path_exists, slices, text_values, whole_text
+from .common import lean, new_path, path_exists, slices, text_values, whole_text
 from .vocabularies import ByteLevelCounter, encoder, read_vocabulary
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -48,7 +48,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     contents = docs.select(digest.alias("digest"), whole_text(text_col).alias("content")).groupBy("digest").agg(F.first("content").alias("content"))
     if path_exists(spark, cache):
         contents = contents.join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti")
-    contents.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    contents.mapInArrow(lean(encode), CACHE_SCHEMA).write.mode("append").parquet(cache)
 
     key, found = "__content_digest", "__found"
     counts = read_cache(spark, cache, version).select(F.col("digest").alias(key), F.col("n_tokens").alias(found))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, materialize, slices, text_values
+from .common import documents, lean, materialize, slices, text_values
 
 BITS = 20  # n-grams are hashed into 2**BITS features
 ORDERS = (4, 5, 6)  # bytes of an n-gram
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
             at = np.flatnonzero(seen.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n[1], *seen[1, at]], pa.int64()), pa.array([n[0], *seen[0, at]], pa.int64())], ["feature", "pos", "neg"])
 
-    counts = sample.mapInArrow(count, "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    counts = sample.mapInArrow(lean(count), "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
     at, p, n = (counts.column(k).to_numpy() for k in range(3))
     n_pos, n_neg = (int(x[at == -1].sum()) for x in (p, n))
     if not n_pos or not n_neg:
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
             ids = [features(t, mask.value).astype(np.int32) for t in text_values(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["y", "ids"])
 
-    rows = sample.mapInArrow(present, "y int, ids array<int>").toArrow()
+    rows = sample.mapInArrow(lean(present), "y int, ids array<int>").toArrow()
     y = (rows.column(0).to_numpy() > 0).astype(float)
     ids = [np.searchsorted(chosen, np.asarray(x, np.int64)) for x in rows.column(1).to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (y[i], ids[i].tobytes()))  # the same sums in whatever order rows came
@@ -164,7 +164,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col])
     names = docs.columns
     text_at = names.index(text_col)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,14 @@ import hashlib
 import json
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
 #: One cache entry is a few hundred bytes; the cache starts anew beyond this.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 350_000
 
 
 def read_vocabulary(path: str) -> tuple[bytes, str]:
@@ -69,8 +70,8 @@ class ByteLevelCounter:
         if self.core is not None and not self._OTHER.search(text):
             try:
                 return len(self.core.encode(text, allowed_special="all"))
-            except (ValueError, BaseException) as e:  # the regex engine's stack or backtrack limit
-                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+            except BaseException as e:  # the regex engine's limits come as ValueError or as a panic outside Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
                     raise
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
@@ -124,7 +125,7 @@ class WordEndBPE:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != self.SUFFIX:
             raise ValueError("a BPE file with word ends is needed")
-        self.tok = library(data)
+        self.data = data
         self.bytes_of = byte_alphabet()
         self.names = {i: t for t, i in model["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -149,6 +150,11 @@ class WordEndBPE:
         self.dtype = np.dtype("<u2" if max(self.names) < 1 << 16 else "<u4")
         self.memo = _Memo()
 
+    @cached_property
+    def tok(self) -> Tokenizer:
+        """The library's tokenizer, built when a chunk first needs it."""
+        return library(self.data)
+
     def _pieces(self, chunk: str) -> list[bytes]:
         """The library's pre-tokens of a chunk that the plain rule does not cover."""
         norm = self.tok.normalizer.normalize_str(chunk) if self.tok.normalizer else chunk
