@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, documents, drop_path, materialize, new_path, slices, text_values
+from .common import bounded, documents, drop_path, lean, materialize, new_path, slices, text_values
 from .graph import connected_components
 
-WORDS = 400_000  # memoised word hashes in a worker
+WORDS = 150_000  # memoised word hashes in a worker
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ class Settings:
     num: int = 90
     den: int = 100
     hot_shingles: int = 200_000
-    hot_in_task: int = 4
+    hot_docs: int = 5
     rounds: int = 4
     broadcast_rows: int = 500_000
 
@@ -121,10 +121,9 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
 
 
 def hot_shingles(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
-    """The shingles that most prefixes hold, at most ``hot_shingles`` of them, counted over all documents.
+    """The shingles that ``hot_docs`` prefixes or more hold, the most frequent ``hot_shingles`` of them.
 
-    A task reports those that ``hot_in_task`` of its documents hold, so only
-    frequent ones are shuffled.
+    Counted over all documents: a task counts its own runs first, then the counts are summed.
     """
 
     def count(batches):
@@ -133,21 +132,20 @@ def hot_shingles(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
 
         def report():
             at, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= s.hot_in_task
-            return pa.RecordBatch.from_arrays([pa.array(at[keep]), pa.array(c[keep].astype(np.int64))], ["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(c.astype(np.int32))], ["shingle", "n"])
 
         for batch in batches:
             for text in text_values(batch.column(0)):
                 x = shingler.of(text)
                 held.append(x[: s.prefix(len(x))])
                 n += len(held[-1])
-                if n > 4_000_000:
+                if n > 1_000_000:
                     yield report()
                     held, n = [], 0
         if n:
             yield report()
 
-    counts = docs.select(text_col).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_col).mapInArrow(lean(count), "shingle long, n int").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= s.hot_docs)
     top = counts.orderBy(F.desc("n"), "shingle").limit(s.hot_shingles).select("shingle").toArrow().column(0).to_numpy()
     return np.sort(top)
 
@@ -164,7 +162,7 @@ def shingle_sets(docs: DataFrame, s: Settings, hot: np.ndarray, id_col: str, tex
     def run(batches):
         shingler = Shingler(s.k)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 n, digest, prefix, sketch = [], [], [], []
                 for text in text_values(part.column(1)):
                     x = shingler.of(text)
@@ -175,7 +173,7 @@ def shingle_sets(docs: DataFrame, s: Settings, hot: np.ndarray, id_col: str, tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(prefix), lists(sketch)], ["id", "n", "digest", "prefix", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, digest binary, prefix array<long>, sketch array<long>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n long, digest binary, prefix array<long>, sketch array<long>")
 
 
 def whole_sets(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -184,12 +182,12 @@ def whole_sets(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> Data
     def run(batches):
         shingler = Shingler(s.k)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 sets = [shingler.of(t) for t in text_values(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(sets)], ["id", "set"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, set array<long>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, set array<long>")
 
 
 def screened(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
@@ -272,7 +270,8 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
         else:
             pairs = placed.where(F.col("comp") != F.col("pivot_comp")).select(F.col("rep").alias("x"), F.col("pivot").alias("y"))
         more = tested(pairs.select("x", "y").distinct(), "jaccard-more").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        labels = connected_components(spark, more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if not more.isEmpty():
+            labels = connected_components(spark, more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             break
 
