@@ -31,7 +31,8 @@ class Settings:
 
 def tokens_of(line: Column) -> Column:
     """The line's tokens between white space; tokens with a digit are the wildcard ``<*>``."""
-    return F.transform(F.filter(F.split(line, r"\s+"), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", "<*>")).otherwise(line)
+    return F.split(F.btrim(masked, F.lit(" \t\r\f\x0b")), r"\s+")
 
 
 def parsed_lines(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
