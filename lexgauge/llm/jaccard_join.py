@@ -7,14 +7,17 @@ no two documents apart.  Pivots are therefore drawn where distances are short:
 1. Equal sets become one representative.
 2. Two sets within reach share one of the first few shingles in any common order
    (the prefix bound).  Each such shingle is the seed of a region: the
-   representatives that have it in their prefix.  The order puts the most frequent
-   shingles last, so that common passages seed few regions.
-3. Each region takes a pivot.  Members within reach of it are linked with it and
-   so with each other; no pair among them is formed.
-4. Regions whose members are not all connected yet recur with another pivot.
+   representatives that have it in their prefix.  The order puts rare shingles first,
+   so that common passages seed few regions.
+3. Each region takes its most central member as pivot: the one whose shingles are
+   the most common.  Members within reach of it are linked with it and so with each
+   other; no pair among them is formed.
+4. Regions whose members are not all connected yet recur with another pivot, as long
+   as that connects many of them.
 5. What remains is compared pair by pair only within the triangle-inequality
    windows: |d(x, pivot) - d(y, pivot)| <= reach, members of different components,
-   sizes that allow it.
+   sizes that allow it, and places of the region's shingle that leave enough shingles
+   after it (a linked pair passes this in the region of its first shared shingle).
 
 Before whole sets are moved, a pair is screened by parity sketches: each shingle
 flips one bit of its set's sketch, so differing bits never outnumber the symmetric
@@ -44,16 +47,15 @@ WORDS = 150_000  # memoised word hashes in a worker
 class Settings:
     """Link if ``den * |intersection| >= num * |union|``, over sets of distinct ``k``-word shingles.
 
-    ``hot_shingles`` bounds the list of frequent shingles that go last in the order
-    (a broadcast of 8 bytes each); it steers cost, not results.  ``rounds`` bounds the pivot
-    rounds before what remains is compared in windows.
+    Shingles are ordered by counts of ``2 ** count_bits`` buckets (a broadcast of two bytes
+    each); that steers cost, not results.  ``rounds`` bounds the pivot rounds before what
+    remains is compared in windows.
     """
 
     k: int = 3
     num: int = 90
     den: int = 100
-    hot_shingles: int = 200_000
-    hot_docs: int = 5
+    count_bits: int = 21
     rounds: int = 4
     broadcast_rows: int = 500_000
 
@@ -94,20 +96,9 @@ class Shingler:
         return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
-def prefix_of(s: np.ndarray, p: int, hot: np.ndarray) -> np.ndarray:
-    """The first p of a sorted set in the order (not hot first, then by hash)."""
-    if not len(hot):
-        return s[:p]
-
-    def known(x):
-        return hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
-
-    head = s[: 2 * p]
-    head = head[~known(head)]
-    if len(head) < p:
-        at = known(s)
-        head = np.concatenate([s[~at], s[at]])
-    return head[:p]
+def rarity_order(s: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A sorted set in the order that all sets share: rare shingles first, then by hash."""
+    return s[np.argsort(codes[s & (len(codes) - 1)], kind="stable")]
 
 
 def sketch_of(s: np.ndarray) -> np.ndarray:
@@ -120,34 +111,42 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def hot_shingles(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
-    """The shingles that ``hot_docs`` prefixes or more hold, the most frequent ``hot_shingles`` of them.
+def rarity_codes(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
+    """For each of ``2 ** count_bits`` buckets of shingles a number that grows with the sets that hold one.
 
-    Counted over all documents: a task counts its own runs first, then the counts are summed.
+    Every set counts.  A task sends its counts once, in pieces; a piece's counts are
+    summed as they stream by, so memory does not grow with the tasks.
     """
+    size, piece = 1 << s.count_bits, 1 << min(s.count_bits, 13)
 
-    def count(batches):
-        shingler = Shingler(s.k)
-        held, n = [], 0
+    def pieces(counts):
+        held = np.flatnonzero(counts.reshape(-1, piece).any(axis=1))
+        rows = pa.array([counts[i * piece : (i + 1) * piece].tobytes() for i in held], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), rows], ["piece", "counts"])
 
-        def report():
-            at, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(c.astype(np.int32))], ["shingle", "n"])
+    def count(batches):
+        shingler, counts = Shingler(s.k), np.zeros(size, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0, 2 << 20):
+                sets = [shingler.of(t) for t in text_values(part.column(0))]
+                counts += np.bincount(np.concatenate([*sets, np.zeros(0, np.int64)]) & (size - 1), minlength=size)
+        yield pieces(counts)
 
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text in text_values(batch.column(0)):
-                x = shingler.of(text)
-                held.append(x[: s.prefix(len(x))])
-                n += len(held[-1])
-                if n > 1_000_000:
-                    yield report()
-                    held, n = [], 0
-        if n:
-            yield report()
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, np.int64)
+                sums[i] = sums[i] + x if i in sums else x
+        for i, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "counts"])
 
-    counts = docs.select(text_col).mapInArrow(lean(count), "shingle long, n int").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= s.hot_docs)
-    top = counts.orderBy(F.desc("n"), "shingle").limit(s.hot_shingles).select("shingle").toArrow().column(0).to_numpy()
-    return np.sort(top)
+    kind = "piece int, counts binary"
+    sums = docs.select(text_col).mapInArrow(lean(count), kind).repartition("piece").mapInArrow(lean(total), kind).toArrow()
+    counts = np.zeros((size // piece, piece), np.int64)
+    for i, x in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
+        counts[i] = np.frombuffer(x, np.int64)
+    return np.minimum(1024 * np.log2(1.0 + counts.ravel()), 65535).astype(np.uint16)
 
 
 def lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -155,25 +154,26 @@ def lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)])))
 
 
-def shingle_sets(docs: DataFrame, s: Settings, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, prefix, sketch) of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(hot)
+def shingle_sets(docs: DataFrame, s: Settings, codes: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, digest, prefix, central, sketch) of each row; ``central`` grows with the mean frequency of the shingles."""
+    held = docs.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches):
         shingler = Shingler(s.k)
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
-                n, digest, prefix, sketch = [], [], [], []
+                n, digest, prefix, central, sketch = [], [], [], [], []
                 for text in text_values(part.column(1)):
                     x = shingler.of(text)
                     n.append(len(x))
                     digest.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    prefix.append(prefix_of(x, s.prefix(len(x)), held.value) if len(x) else x)
+                    prefix.append(rarity_order(x, held.value)[: s.prefix(len(x))] if len(x) else x)
+                    central.append(float(held.value[x & (len(held.value) - 1)].mean()) if len(x) else 0.0)
                     sketch.append(sketch_of(x) if len(x) else x)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(prefix), lists(sketch)], ["id", "n", "digest", "prefix", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(prefix), pa.array(central, pa.float64()), lists(sketch)], ["id", "n", "digest", "prefix", "central", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n long, digest binary, prefix array<long>, sketch array<long>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n long, digest binary, prefix array<long>, central double, sketch array<long>")
 
 
 def whole_sets(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -229,9 +229,9 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
     s = settings
     rows = docs.select(id_col, text_col)
     first = new_path(spark, "jaccard-prefixes")
-    shingle_sets(rows, s, hot_shingles(rows, s, text_col), id_col, text_col).write.parquet(first)
+    shingle_sets(rows, s, rarity_codes(rows, s, text_col), id_col, text_col).write.parquet(first)
     all_sets = spark.read.parquet(first)
-    reps = all_sets.where(F.col("n") > 0).groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "sketch")])
+    reps = all_sets.where(F.col("n") > 0).groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "central", "sketch")])
     reps = materialize(spark, reps, "jaccard-representatives")
     members = materialize(spark, all_sets.select("id", "n", "digest"), "jaccard-members")
     drop_path(spark, first)
@@ -243,30 +243,35 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
         shut = screen.where(~F.col("open")).select("x", "y", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
         return materialize(spark, exact.select("x", "y", F.col("d").alias("low"), F.col("d").alias("high"), "linked").unionByName(shut), label)
 
-    seeds = reps.where(F.col("rep").isNotNull()).select(F.explode("prefix").alias("key"), "rep", "n")
-    regions = seeds.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot")).where("c > 1").select("key", "pivot")
-    region = materialize(spark, seeds.join(regions, "key"), "jaccard-regions")
+    seeds = reps.where(F.col("rep").isNotNull()).select(F.posexplode("prefix").alias("pos", "key"), "rep", "n", "central")
+    regions = seeds.groupBy("key").agg(F.count("*").alias("c"), F.max(F.struct("central", "rep")).alias("p")).where("c > 1").select("key", F.col("p.rep").alias("pivot"))
+    region = materialize(spark, seeds.drop("central").join(regions, "key"), "jaccard-regions")
     to_pivot = tested(region.where(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("x"), F.col("pivot").alias("y")).distinct(), "jaccard-to-pivots")
     links = to_pivot.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = connected_components(spark, links)
 
     # the distance to the region's first pivot stays with each member, for the windows
     placed = region.join(to_pivot.select(F.col("x").alias("rep"), F.col("y").alias("pivot"), "low", "high"), ["rep", "pivot"], "left")
-    placed = placed.select("key", "rep", "n", (F.col("rep") == F.col("pivot")).alias("is_pivot"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
-    reach = 1 - s.num / s.den + 1e-9
+    placed = placed.select("key", "rep", "n", "pos", (F.col("rep") == F.col("pivot")).alias("is_pivot"), F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"))
+    reach, before = 1 - s.num / s.den + 1e-9, None
     for turn in range(1, s.rounds + 2):
-        known = placed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "is_pivot", "low", "high", F.coalesce("component", "rep").alias("comp"))
-        torn = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("p")).where("lo != hi")
-        placed = materialize(spark, known.join(torn.select("key", "c", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "key"), "jaccard-open")
-        load = placed.agg(F.count("*").alias("rows"), F.sum(F.col("c") - 1).alias("pairs")).first()
-        if not load["rows"]:
+        known = placed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "pos", "is_pivot", "low", "high", F.coalesce("component", "rep").alias("comp"))
+        parts = known.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("p"))
+        torn = parts.groupBy("key").agg(F.count("*").alias("parts"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("cross"), F.min("p").alias("p")).where("parts > 1").select("key", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"), "cross")
+        torn = materialize(spark, torn, "jaccard-torn")
+        placed = materialize(spark, known.join(torn.drop("cross"), "key"), "jaccard-open")
+        rows_open, cross = placed.count(), torn.agg(F.sum("cross")).first()[0] or 0
+        if not rows_open:
             break
-        last = turn > s.rounds or load["pairs"] <= 16 * load["rows"]
+        last = turn > s.rounds or cross <= 16 * rows_open or (before is not None and 2 * cross > before)
+        before = cross
         if last:
-            x, y = (placed.where(~F.col("is_pivot")).select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
+            x, y = (placed.where(~F.col("is_pivot")).select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")
             window = (F.col("lx") - F.col("hy") <= reach) & (F.col("ly") - F.col("hx") <= reach)
             sizes = s.den * F.least("nx", "ny") >= s.num * F.greatest("nx", "ny")
-            pairs = x.join(y, "key").where((F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & window & sizes)
+            left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+            places = (s.den + s.num) * left >= s.num * (F.col("nx") + F.col("ny"))
+            pairs = x.join(y, "key").where((F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & window & sizes & places)
         else:
             pairs = placed.where(F.col("comp") != F.col("pivot_comp")).select(F.col("rep").alias("x"), F.col("pivot").alias("y"))
         more = tested(pairs.select("x", "y").distinct(), "jaccard-more").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
