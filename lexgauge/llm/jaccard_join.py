@@ -48,8 +48,8 @@ class Settings:
     """Link if ``den * |intersection| >= num * |union|``, over sets of distinct ``k``-word shingles.
 
     Shingles are ordered by counts of ``2 ** count_bits`` buckets (a broadcast of two bytes
-    each); that steers cost, not results.  ``rounds`` bounds the pivot rounds before what
-    remains is compared in windows.
+    each); that steers cost, not results.  What remains is compared in windows after
+    ``rounds`` pivot rounds, or once a row faces ``window_rows`` rows of other components on average.
     """
 
     k: int = 3
@@ -57,6 +57,7 @@ class Settings:
     den: int = 100
     count_bits: int = 21
     rounds: int = 4
+    window_rows: int = 256
     broadcast_rows: int = 500_000
 
     def prefix(self, n: int) -> int:
@@ -139,14 +140,15 @@ def rarity_codes(docs: DataFrame, s: Settings, text_col: str) -> np.ndarray:
                 x = np.frombuffer(x, np.int64)
                 sums[i] = sums[i] + x if i in sums else x
         for i, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["piece", "counts"])
+            codes = np.minimum(1024 * np.log2(1.0 + x), 65535).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([codes.tobytes()], pa.binary())], ["piece", "codes"])
 
-    kind = "piece int, counts binary"
-    sums = docs.select(text_col).mapInArrow(lean(count), kind).repartition("piece").mapInArrow(lean(total), kind).toArrow()
-    counts = np.zeros((size // piece, piece), np.int64)
-    for i, x in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
-        counts[i] = np.frombuffer(x, np.int64)
-    return np.minimum(1024 * np.log2(1.0 + counts.ravel()), 65535).astype(np.uint16)
+    counted = docs.select(text_col).mapInArrow(lean(count), "piece int, counts binary")
+    found = counted.repartition("piece").mapInArrow(lean(total), "piece int, codes binary").toArrow()
+    codes = np.zeros((size // piece, piece), np.uint16)
+    for i, x in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        codes[i] = np.frombuffer(x.as_buffer(), np.uint16)
+    return codes.ravel()
 
 
 def lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -263,7 +265,7 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), id_col:
         rows_open, cross = placed.count(), torn.agg(F.sum("cross")).first()[0] or 0
         if not rows_open:
             break
-        last = turn > s.rounds or cross <= 16 * rows_open or (before is not None and 2 * cross > before)
+        last = turn > s.rounds or cross <= s.window_rows * rows_open or (before is not None and 2 * cross > before)
         before = cross
         if last:
             x, y = (placed.where(~F.col("is_pivot")).select("key", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("pos").alias(f"p{c}"), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}"), F.col("comp").alias(f"c{c}")) for c in "xy")

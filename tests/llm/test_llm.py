@@ -269,7 +269,7 @@ def chain(n, step, width, start=0):
     return [" ".join(f"c{j}" for j in range(start + i * step, start + i * step + width)) for i in range(n)]
 
 
-@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(k=5, num=80), jaccard_join.Settings(k=2, num=60, rounds=1), jaccard_join.Settings(count_bits=0, broadcast_rows=0)])
+@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(k=5, num=80), jaccard_join.Settings(k=2, num=60, rounds=1), jaccard_join.Settings(count_bits=0, broadcast_rows=0), jaccard_join.Settings(k=2, num=60, window_rows=1)])
 def test_jaccard_components(spark, docs, settings):
     texts = [r.text for r in docs.limit(40).collect()] + chain(30, 2, 60) + chain(25, 12, 60, 5000) + ["", None, " ", "one", "One", "two words", "TWO\twords", LONG, LONG + "end"]
     texts += [" ".join(["same"] * 5 + [f"u{i}"] * 3) for i in range(20)]
