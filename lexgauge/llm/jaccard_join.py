@@ -49,7 +49,8 @@ class Settings:
 
     Shingles are ordered by counts of ``2 ** count_bits`` buckets (a broadcast of two bytes
     each); that steers cost, not results.  What remains is compared in windows after
-    ``rounds`` pivot rounds, or once a row faces ``window_rows`` rows of other components on average.
+    ``rounds`` pivot rounds, once a row faces at most ``window_rows`` rows of other components
+    on average, or when a round has not halved those pairs.
     """
 
     k: int = 3
