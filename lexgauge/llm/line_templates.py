@@ -23,7 +23,7 @@ class Settings:
 
     depth: int = 3
     min_tokens: int = 4
-    min_docs: int = 3
+    min_docs: int = 2
     constant: float = 0.6
     similarity: float = 0.6
     broadcast_rows: int = 500_000

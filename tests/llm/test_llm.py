@@ -318,6 +318,14 @@ def test_line_templates_wildcards(spark):
     assert sorted(r.doc_id for r in all_gone.where("n_dropped = 0").collect()) == [9]
 
 
+def test_line_of_two_texts(spark):
+    """Two different texts are enough for a line to recur; the first place stays."""
+    shared = "a long passage that stands word for word in exactly two different texts"
+    rows = [(0, f"first text with words of its own\n{shared}"), (1, f"another beginning that no text repeats\n{shared}"), (2, "nothing of this is shared with others")]
+    out = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].n_dropped for i in range(3)] == [0, 1, 0] and out[0].text == rows[0][1] and out[1].text == rows[1][1].split("\n")[0]
+
+
 def test_copies_count_once(spark, odd, none):
     text = "one line of a text that is copied whole\nand a second line of that same text"
     df = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
