@@ -64,18 +64,18 @@ WHERE u.role = 'user' AND a.role = 'assistant'
 
 
 def marked_sql(d: dict) -> str:
-    """Documents with marks put in by id, so that each check has hits."""
+    """Whole documents with marks put in by id, so that each check has hits."""
     return """
 SELECT doc_id, n_chars,
   CASE doc_id % 9
-    WHEN 0 THEN 'Translation: ' || substr(text, 1, 200)
-    WHEN 1 THEN substr(text, 1, 50) || chr(10) || '## ' || substr(text, 51, 100)
-    WHEN 2 THEN '- ' || substr(text, 1, 80)
-    WHEN 3 THEN '"' || substr(text, 1, 90) || '"'
-    WHEN 4 THEN '**' || substr(text, 1, 30) || '** ' || substr(text, 31, 500)
-    WHEN 5 THEN substr(text, 1, 40) || chr(10) || 'Here is the translation : ' || substr(text, 41, 60)
-    WHEN 6 THEN '翻訳：' || substr(text, 1, 60)
-    WHEN 7 THEN chr(10) || '12. ' || substr(text, 1, 300)
+    WHEN 0 THEN 'Translation: ' || text
+    WHEN 1 THEN substr(text, 1, 50) || chr(10) || '## ' || substr(text, 51)
+    WHEN 2 THEN '- ' || text
+    WHEN 3 THEN '"' || text || '"'
+    WHEN 4 THEN '**' || substr(text, 1, 30) || '** ' || substr(text, 31)
+    WHEN 5 THEN substr(text, 1, 40) || chr(10) || 'Here is the translation : ' || substr(text, 41)
+    WHEN 6 THEN '翻訳：' || text
+    WHEN 7 THEN chr(10) || '12. ' || text
     ELSE text END AS body,
   substr(text, 1, cast(doc_id % 50 as int)) AS reference_ja
 FROM documents
