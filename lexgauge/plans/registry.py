@@ -441,7 +441,7 @@ def english_residue(spark, sf_dir):
 @query("longest_source_match", f"""{cte('pairs')}, t AS (SELECT id, lower(substr(source_en, 1, 60)) AS a, lower(substr(translation_ja, 1, 60)) AS b FROM pairs), s AS (SELECT id, a, b, unnest(range(1, length(a) + 1)) AS i FROM t),
 l AS (SELECT id, a, b, i, unnest(range(1, length(a) - i + 2)) AS n FROM s) SELECT t.id, coalesce(max(n), 0)::int AS longest_source_match FROM t LEFT JOIN l ON t.id = l.id AND contains(l.b, substr(l.a, l.i, l.n)) GROUP BY t.id""")
 def longest_source_match(spark, sf_dir):
-    return view(spark, sf_dir, "pairs").select("id", rules.longest_source_match(F.substring("source_en", 1, 60), F.substring("translation_ja", 1, 60)).alias("longest_source_match"))
+    return view(spark, sf_dir, "pairs").select("id", rules.longest_source_match(F.col("source_en"), F.col("translation_ja")).alias("longest_source_match"))
 
 
 def evaluated(spark, sf_dir) -> DataFrame:

@@ -11,6 +11,13 @@ def documents(spark, path, texts):
     return str(path)
 
 
+def conversations(spark, path, turns):
+    """``turns`` are pairs of a user's text and the answer, one conversation each."""
+    rows = [(i, k, ("user", "assistant")[k], t) for i, two in enumerate(turns) for k, t in enumerate(two)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
 @pytest.fixture(scope="module")
 def late(spark, tmp_path_factory):
     """One text for each mark that the view puts in; a fence, an opening phrase and a closing quote stand at its end."""
@@ -24,3 +31,15 @@ def test_marks_leave_the_text_whole(spark, late):
     assert "" not in {r.pattern for r in QUERIES["extra_text"](spark, sf).collect()}
     assert [r.doc_id for r in QUERIES["quotes"](spark, sf).collect() if r.unnecessary_quotes] == [3]
     assert min(r.output_length for r in QUERIES["excessive_length"](spark, sf).collect()) >= len(text)
+
+
+def brute_longest(a, b):
+    a, b = a.lower(), b.lower()
+    return max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b), default=0)
+
+
+def test_longest_match_far_into_the_texts(spark, tmp_path):
+    passage = "this sentence Is copied from far within the source and is longer than sixty characters"
+    turns = [("q" * 70 + passage, "z" * 70 + passage.upper() + "y"), ("abc", "xbcx"), ("k" * 65 + "tail", "tail"), ("", "a")]
+    got = {r.id: r.longest_source_match for r in QUERIES["longest_source_match"](spark, conversations(spark, tmp_path, turns)).collect()}
+    assert got == {f"{i}-0": brute_longest(a, b) for i, (a, b) in enumerate(turns)} and got["0-0"] == len(passage)
