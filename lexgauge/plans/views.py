@@ -44,20 +44,22 @@ FROM (SELECT *, {d['k']} AS k FROM events) e LEFT JOIN labels l ON l.doc_id = e.
 
 
 def pairs_sql(d: dict) -> str:
-    """User turns as sources, the following assistant turns as outputs, with tokens and terms from leading words."""
+    """User turns as sources, the following assistant turns as outputs, with tokens and terms from leading words.
+
+    All turns are whole; the reference is the output with its first word replaced by the source's.
+    """
     t = d["text"]
     word = lambda c, n: f"split_part({c}, ' ', {n})"
     return f"""
 SELECT u.conv_id, u.turn, cast(u.conv_id as {t}) || '-' || cast(u.turn as {t}) AS id,
-  substr(u.text, 1, 200) AS source_en,
-  CASE u.turn % 4 WHEN 0 THEN substr(a.text, 1, 120) ELSE a.text END AS translation_ja,
-  substr(a.text, 1, 60) AS reference_ja,
+  u.text AS source_en, a.text AS translation_ja,
+  replace(a.text, {word('a.text', 1)}, {word('u.text', 1)}) AS reference_ja,
   {word('a.text', 1)} || ';' || {word('u.text', 2)} || ';' || cast(u.conv_id % 20 as {t}) || ';' || {word('a.text', 1)} AS protected_tokens,
   {word('u.text', 1)} || '=' || {word('a.text', 2)} || ';' || {word('u.text', 2)} || '=' || {word('u.text', 3)} || ';none' AS required_terms,
   CASE u.conv_id % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'terminology' ELSE 'context' END AS input_variant,
   CASE u.conv_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'odd' END AS difficulty,
   'category-' || cast(u.conv_id % 6 as {t}) AS category, 'sub-' || cast(u.conv_id % 5 as {t}) AS subcategory,
-  substr(u.text, 1, 40) AS context_ja, substr(u.text, 1, 100) AS clean_source_en, '' AS evaluation_focus
+  u.text AS context_ja, u.text AS clean_source_en, '' AS evaluation_focus
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'
 """

@@ -3,6 +3,7 @@
 import pytest
 
 from lexgauge.plans.registry import QUERIES
+from lexgauge.plans.views import view
 
 
 def documents(spark, path, texts):
@@ -43,3 +44,12 @@ def test_longest_match_far_into_the_texts(spark, tmp_path):
     turns = [("q" * 70 + passage, "z" * 70 + passage.upper() + "y"), ("abc", "xbcx"), ("k" * 65 + "tail", "tail"), ("", "a")]
     got = {r.id: r.longest_source_match for r in QUERIES["longest_source_match"](spark, conversations(spark, tmp_path, turns)).collect()}
     assert got == {f"{i}-0": brute_longest(a, b) for i, (a, b) in enumerate(turns)} and got["0-0"] == len(passage)
+
+
+def test_pairs_are_whole_turns(spark, tmp_path):
+    source, answer = "alpha " * 60 + "omega", "beta " * 60 + "psi"
+    sf = conversations(spark, tmp_path, [(source, answer)] * 3)
+    p = view(spark, sf, "pairs").collect()
+    assert {(r.source_en, r.context_ja, r.clean_source_en, r.translation_ja) for r in p} == {(source, source, source, answer)}
+    assert {r.reference_ja for r in p} == {answer.replace("beta", "alpha")}
+    assert all(r.input_text.endswith(source) for r in QUERIES["prompt_text"](spark, sf).collect())
