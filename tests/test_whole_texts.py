@@ -1,5 +1,8 @@
 """Named queries read whole texts: what stands far into a text counts."""
 
+import re
+import unicodedata
+
 import pytest
 
 from lexgauge.plans.registry import QUERIES
@@ -53,3 +56,9 @@ def test_pairs_are_whole_turns(spark, tmp_path):
     assert {(r.source_en, r.context_ja, r.clean_source_en, r.translation_ja) for r in p} == {(source, source, source, answer)}
     assert {r.reference_ja for r in p} == {answer.replace("beta", "alpha")}
     assert all(r.input_text.endswith(source) for r in QUERIES["prompt_text"](spark, sf).collect())
+
+
+def test_normalize_covers_all_rows(spark, tmp_path):
+    texts = ["plain text", "\u201ccurly\u201d \u2014 dash", "no\u00a0break", "Ａ１％ ﾊﾟ ①", "日本語", "e\u0301 \ufb01 x\u00b2", "", None]
+    got = {r.doc_id: r.normalized for r in QUERIES["normalize_text"](spark, documents(spark, tmp_path, texts)).collect()}
+    assert got == {i: re.sub(r"[ \t\f\v]+", " ", unicodedata.normalize("NFKC", t or "").strip()) for i, t in enumerate(texts)}
