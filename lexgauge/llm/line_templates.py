@@ -17,8 +17,10 @@ class Settings:
     A template recurs if its lines stand in ``min_docs`` different texts; lines of
     fewer than ``min_tokens`` tokens are left alone.  A token position of a leaf is
     constant if one token has ``constant`` of the leaf's distinct lines, else a
-    wildcard; a leaf makes a template if ``similarity`` of its positions are constant,
-    and a line belongs to it if it agrees in all of those.
+    wildcard; a leaf makes a template if ``similarity`` of its positions after the
+    leading ones are constant and no number, and a line belongs to it if it agrees in
+    all constants.  A line of nothing but numbers after the leading tokens recurs only
+    with the same numbers.
     """
 
     depth: int = 3
@@ -29,10 +31,23 @@ class Settings:
     broadcast_rows: int = 500_000
 
 
+MASK = "<*>"
+
+
+def split_tokens(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\r\f\x0b")), r"\s+")
+
+
 def tokens_of(line: Column) -> Column:
     """The line's tokens between white space; tokens with a digit are the wildcard ``<*>``."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", "<*>")).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(" \t\r\f\x0b")), r"\s+")
+    return split_tokens(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", MASK)).otherwise(line))
+
+
+def line_key(line: Column, tokens: Column, depth: int) -> Column:
+    """Hash of the masked tokens, or of the raw ones if no word follows the leading tokens."""
+    numbers = F.element_at(tokens, -1) == MASK  # spares the array of most lines
+    no_word = numbers & (F.size(F.array_remove(F.slice(tokens, depth + 1, 1 << 30), MASK)) == 0)
+    return F.when(no_word, F.xxhash64(split_tokens(line))).otherwise(F.xxhash64(tokens))
 
 
 def parsed_lines(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -42,7 +57,7 @@ def parsed_lines(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> Da
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
     rows = rows.where(F.length("line") >= 2 * s.min_tokens - 1).withColumn("tokens", tokens_of(F.col("line"))).withColumn("n", F.size("tokens")).where(F.col("n") >= s.min_tokens)
-    return rows.select("id", "text_key", "line_no", "n", F.xxhash64("n", F.slice("tokens", 1, s.depth)).alias("leaf"), F.xxhash64("tokens").alias("line_key"), "tokens")
+    return rows.select("id", "text_key", "line_no", "n", F.xxhash64("n", F.slice("tokens", 1, s.depth)).alias("leaf"), line_key(F.col("line"), F.col("tokens"), s.depth).alias("line_key"), "tokens")
 
 
 def busy_leaves(lines: DataFrame, s: Settings) -> DataFrame:
@@ -53,13 +68,15 @@ def busy_leaves(lines: DataFrame, s: Settings) -> DataFrame:
 def leaf_templates(distinct_lines: DataFrame, s: Settings) -> DataFrame:
     """(leaf, template array<long>): per position the constant token's hash, or null for a wildcard.
 
-    Only leaves with two or more distinct lines are generalised.
+    Only leaves with two or more distinct lines are generalised.  The leading tokens
+    are the same in all lines of a leaf, so they say nothing about their likeness.
     """
     cells = distinct_lines.select("leaf", F.posexplode("token_keys").alias("pos", "tok")).groupBy("leaf", "pos", "tok").agg(F.count("*").alias("c"))
     places = cells.groupBy("leaf", "pos").agg(F.max(F.struct("c", "tok")).alias("top"), F.sum("c").alias("total"))
     constant = F.when(F.col("top.c") >= s.constant * F.col("total"), F.col("top.tok"))
-    leaf = places.groupBy("leaf").agg(F.max("total").alias("lines"), F.count("*").alias("n"), F.count(constant).alias("k"), F.collect_list(F.struct("pos", constant.alias("tok"))).alias("t"))
-    leaf = leaf.where((F.col("lines") > 1) & (F.col("k") >= s.similarity * F.col("n")))
+    word = F.when((F.col("pos") >= s.depth) & (constant != F.xxhash64(F.lit(MASK))), True)
+    leaf = places.groupBy("leaf").agg(F.max("total").alias("lines"), F.count("*").alias("n"), F.count(word).alias("k"), F.collect_list(F.struct("pos", constant.alias("tok"))).alias("t"))
+    leaf = leaf.where((F.col("lines") > 1) & (F.col("k") > 0) & (F.col("k") >= s.similarity * (F.col("n") - s.depth)))
     return leaf.select("leaf", F.transform(F.array_sort("t"), lambda x: x["tok"]).alias("template"))
 
 

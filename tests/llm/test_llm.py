@@ -326,6 +326,16 @@ def test_line_of_two_texts(spark):
     assert [out[i].n_dropped for i in range(3)] == [0, 1, 0] and out[0].text == rows[0][1] and out[1].text == rows[1][1].split("\n")[0]
 
 
+def test_leading_tokens_and_numbers_make_no_template(spark):
+    """Lines of a leaf that agree in nothing beyond its path, and rows of other numbers, are different lines."""
+    rows = [(i, f"it was then {w}") for i, w in enumerate(["dark", "late", "cold", "over"])]
+    rows += [(10 + i, f"we went on {a} {b}") for i, (a, b) in enumerate([("up", "hill"), ("by", "car"), ("to", "town")])]
+    rows += [(20 + i, f"{i} {i + 1} {i + 2} {i + 3}") for i in range(4)] + [(30, "7 8 9 10"), (31, "a text\n7 8 9 10")]
+    rows += [(40 + i, f"it is on page {i} of the {w} book we read") for i, w in enumerate(["red", "old", "new"])]
+    found = line_templates.recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.id for r in found) == [30, 31, 40, 41, 42] and len({r.template for r in found}) == 2
+
+
 def test_copies_count_once(spark, odd, none):
     text = "one line of a text that is copied whole\nand a second line of that same text"
     df = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
