@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,16 +41,37 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# The same for whole licence texts of a page or less, whole and as their grants alone.
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+MIT_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+ISC_GRANT = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'
+ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+BSD_TERMS = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
+BSD_NAMES = '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'
+BSD_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+TEMPLATES += [
+    ("BSD-2-Clause", f"{BSD_TERMS} {BSD_AS_IS}"),
+    ("BSD-3-Clause", f"{BSD_TERMS} {BSD_NAMES} {BSD_AS_IS}"),
+    ("BSD-3-Clause", f"{BSD_TERMS} {BSD_NAMES}"),
+    ("BSD-2-Clause", BSD_TERMS),
+    ("ISC", f"{ISC_GRANT} {ISC_AS_IS}"),
+    ("ISC", ISC_GRANT),
+    ("MIT", f"{MIT_GRANT} {MIT_AS_IS}"),
+    ("MIT", MIT_GRANT),
+]
+
 
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.8  # of the Dice coefficient
 
 
-@lru_cache(maxsize=65536)
+WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+")
+
+
 def words(text: str) -> tuple[str, ...]:
     """Lower-cased runs of letters and digits; dots within numbers stay."""
-    return tuple(re.findall(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+", text.lower()))
+    return tuple(WORD.findall(text.lower()))
 
 
 def bigrams(w: tuple[str, ...] | list[str]) -> Counter:
@@ -64,6 +85,18 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * both / total if total else 0.0
 
 
+def disjoint(found: list[tuple]) -> list[tuple]:
+    """Of (_, _, first pair, last pair, ...) in order of preference, those that share no word with an earlier one."""
+    firsts, lasts, out = [], [], []
+    for x in found:
+        k = bisect_left(firsts, x[2])
+        if (k == 0 or lasts[k - 1] + 1 < x[2]) and (k == len(firsts) or x[3] + 1 < firsts[k]):
+            firsts.insert(k, x[2])
+            lasts.insert(k, x[3])
+            out.append(x)
+    return out
+
+
 class Scanner:
     """Templates sorted by size; a text of size n is compared only with sizes that can reach the threshold.
 
@@ -77,7 +110,11 @@ class Scanner:
         self.sizes = [x[0] for x in self.items]
         self.ratio = self.t / (2 - self.t)
         self.openers = frozenset(g for x in self.items for g in x[3])
-        self.largest = max(self.sizes, default=0)
+        self.holders: dict = {}
+        for k, x in enumerate(self.items):
+            for g in x[3]:
+                self.holders.setdefault(g, []).append(k)
+        self.least = math.ceil(min(self.sizes, default=1) * self.ratio - 1e-9)
 
     def candidates(self, n: int) -> range:
         return range(bisect_left(self.sizes, n * self.ratio - 1e-9), bisect_right(self.sizes, n / self.ratio + 1e-9))
@@ -93,38 +130,56 @@ class Scanner:
                 top = (score, name, text)
         return top
 
-    def scan(self, text: str) -> list[tuple[int, str, float]]:
-        """(line number, licence, score) of the blocks that match, a line or up to all following lines of a paragraph.
+    def windows(self, k: int, at: list[int], pairs: list[tuple[str, str]]) -> list[tuple[int, float, int, int]]:
+        """(shared pairs, score, first, last) of the best disjoint windows of word pairs for one template.
 
-        A block begins at each line; longer ones are tried while the largest template
-        can still match, and the best one counts, the shorter on ties.  Blocks found
-        do not overlap.
+        ``at`` are the places of its pairs.  A pair at a window's edge that the template
+        lacks only lowers the score, so windows begin and end at such places.  With n
+        pairs in the template, t n / (2 - t) have to be shared, within n (2 - t) / t.
         """
-        lines = text.split("\n")
-        limit = self.largest / self.ratio + 1
-        out, i = [], 0
-        while i < len(lines):
-            best, held = None, []
-            j = i
-            while j < len(lines):
-                w = words(lines[j]) if len(lines[j]) < 4096 else tuple(re.findall(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+", lines[j].lower()))
-                if not w:
+        n, t = self.items[k][0], self.items[k][3]
+        need, most = max(1, math.ceil(n * self.ratio - 1e-9)), n / self.ratio + 1e-9
+        found = []
+        for i in range(len(at) - need + 1):
+            if at[i + need - 1] - at[i] + 1 > most:
+                continue
+            left, both, best = dict(t), 0, None
+            for j in range(i, len(at)):
+                size = at[j] - at[i] + 1
+                if size > most:
                     break
-                if j == i and self.openers.isdisjoint(zip(w, w[1:])):
-                    break
-                held = [*held, *w]
-                if len(held) - 1 > limit:
-                    break
-                found = self.best(bigrams(held))
-                if found and (best is None or found[0] > best[1][0] + 1e-12):
-                    best = (j, found)
-                j += 1
+                if left[g := pairs[at[j]]]:
+                    left[g] -= 1
+                    both += 1
+                    score = 2 * both / (n + size)
+                    if score >= self.t - 1e-12 and (best is None or score > best[1] + 1e-12):
+                        best = (both, score, at[i], at[j])
             if best:
-                out.append((i, best[1][1], best[1][0]))
-                i = best[0] + 1
-            else:
-                i += 1
-        return out
+                found.append(best)
+        return disjoint(sorted(found, key=lambda x: (-x[1], x[2])))
+
+    def scan(self, text: str) -> list[tuple[int, str, float]]:
+        """(line number of the first word, licence, score) of the windows of words that match, wherever they stand.
+
+        Of windows that share a word the one with more word pairs of its template
+        counts, then the one of the higher score.
+        """
+        low = text.lower()
+        w = WORD.findall(low)
+        hits = [i for i, g in enumerate(zip(w, w[1:])) if g in self.openers]
+        if len(hits) < self.least:
+            return []
+        pairs = list(zip(w, w[1:]))
+        at: dict[int, list[int]] = {}
+        for i in hits:
+            for k in self.holders[pairs[i]]:
+                at.setdefault(k, []).append(i)
+        found = [(*x, self.items[k][1]) for k, places in at.items() for x in self.windows(k, places, pairs)]
+        if not found:
+            return []
+        chosen = sorted(disjoint(sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[4]))), key=lambda x: x[2])
+        starts = [m.start() for m in WORD.finditer(low)]
+        return [(low.count("\n", 0, starts[a]), name, score) for _, score, a, _, name in chosen]
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

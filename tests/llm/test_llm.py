@@ -410,6 +410,30 @@ def test_size_bounds_lose_nothing(spark, docs):
         assert (got[0] if got else 0) == (want if want >= 0.8 - 1e-12 else 0)
 
 
+def test_licences_within_lines():
+    """Notices amid prose, whole texts on one line and behind other words, each with its own name."""
+    s = license_scan.Scanner(license_scan.TEMPLATES, license_scan.Settings())
+    names = lambda text: [h[1] for h in s.scan(text)]
+    assert names("This project is released under the MIT License.") == ["MIT"]
+    assert names("We hope you like it. Licensed under the Apache License, Version 2.0. And more of it follows") == ["Apache-2.0"]
+    assert names("we say: licensed under CC BY-NC 4.0 and then, licensed under CC BY 4.0 too") == ["CC-BY-NC-4.0", "CC-BY-4.0"]
+    for name, text in license_scan.TEMPLATES[23:]:
+        assert names(f"Copyright (c) 2020 A. Person {text} Thanks for reading all of this.") == [name]
+        assert [h[:2] for h in s.scan("a\nb\n" + text.replace(". ", ".\n\n"))] == [(2, name)]
+
+
+def test_windows_are_the_best():
+    """One template on random texts: a window is found where one reaches the threshold, with the best score of all."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        draw = lambda n: " ".join(r.choice(list("abc"), n))
+        template, text = draw(int(r.integers(3, 7))), draw(int(r.integers(2, 16)))
+        w, b = text.split(), license_scan.bigrams(template.split())
+        want = max((license_scan.dice(b, license_scan.bigrams(w[i:j])) for i in range(len(w)) for j in range(i + 2, len(w) + 1)), default=0)
+        got = max((h[2] for h in license_scan.Scanner([("x", template)], license_scan.Settings()).scan(text)), default=0)
+        assert abs(got - (want if want >= 0.8 - 1e-12 else 0)) < 1e-9
+
+
 # 10 ---------------------------------------------------------------------------
 
 
