@@ -12,18 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, lean, materialize, slices, text_values
-from .vocabularies import WordEndBPE, encoder, read_vocabulary
+from .vocabularies import WordEndBPE, encoder, read_vocabulary, runs
 
 
 @dataclass(frozen=True)
 class Settings:
     window: int = 2048
     end_id: int = 1  # follows each document's ids
-    query_terms: int = 12  # of a seed, the ones of most weight
     k1: float = 1.2
     b: float = 0.75
     shard_tokens: int = 2_000_000  # of an index, which one task holds in memory
-    shard_docs: int = 2048
+    shard_docs: int = 4096
+    frequent: int = 1024  # terms of an index whose weights are kept as a matrix
+    block: int = 256  # seeds scored at a time
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,13 +39,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, settings: Settings, i
     def run(batches):
         bpe = encoder(WordEndBPE, version, held.value)
         end = np.array([settings.end_id], bpe.dtype).tobytes()
-        rank = np.random.default_rng(7).permutation(max(bpe.names) + 1).astype(np.int64)
+        rank = np.random.default_rng(7).permutation(max(bpe.names) + 1).astype(np.int32)
         width = bpe.dtype.itemsize
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 raws = [r + end for r in bpe.encode_many(text_values(part.column(1)))]
                 place = [int(rank[np.frombuffer(r, bpe.dtype)[:-1]].min()) if len(r) > width else -1 for r in raws]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raws, pa.binary()), pa.array([len(r) // width for r in raws], pa.int64()), pa.array(place, pa.int64())], ["id", "ids", "n_tokens", "place"])
+        bpe.memo.forget()  # the worker lives on and packs next
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, ids binary, n_tokens long, place long")
@@ -55,18 +57,30 @@ def id_type(tokenizer_path: str) -> np.dtype:
     return encoder(WordEndBPE, version, data).dtype
 
 
+def distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, term, how often) of the distinct pairs, in order."""
+    key = np.sort(doc << 32 | term)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return key >> 32, key & 0xFFFFFFFF, n
+
+
 def document_frequencies(encoded: DataFrame, dtype: np.dtype) -> tuple[np.ndarray, int, float]:
     """(documents that hold each id, documents, mean length) over all rows; as long as the vocabulary."""
 
     def run(batches):
         df, n, tokens = np.zeros(1, np.int64), 0, 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, dtype)
-                n, tokens = n + 1, tokens + len(ids)
-                if (most := int(ids.max()) + 1) > len(df):
-                    df = np.concatenate([df, np.zeros(most - len(df), np.int64)])
-                df[np.unique(ids)] += 1
+            for part in slices(batch, 0, 1 << 20):
+                raws = part.column(0).to_pylist()
+                size = np.fromiter(map(len, raws), np.int64, len(raws)) // dtype.itemsize
+                ids = np.frombuffer(b"".join(raws), dtype).astype(np.int64)
+                n, tokens = n + len(raws), tokens + len(ids)
+                seen = np.bincount(distinct(np.repeat(np.arange(len(raws)), size), ids)[1])
+                if len(seen) > len(df):
+                    df = np.concatenate([df, np.zeros(len(seen) - len(df), np.int64)])
+                df[: len(seen)] += seen
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *at], pa.int64()), pa.array([n, tokens, *df[at]], pa.int64())], ["id", "n"])
 
@@ -79,35 +93,65 @@ def document_frequencies(encoded: DataFrame, dtype: np.dtype) -> tuple[np.ndarra
 
 
 class Shard:
-    """An inverted BM25 index over what is left to pack of some documents, and the greedy filling of windows."""
+    """An inverted BM25 index over what is left to pack of some documents, and the greedy filling of windows.
+
+    A document's query is all it holds: the weights of each of its distinct terms are
+    summed.  Seeds are scored in blocks: the most frequent terms by a product of
+    matrices, all others through their postings.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, s: Settings):
         self.s, self.ids = s, ids
         self.start = np.array([len(x) // s.window * s.window for x in ids], np.int64)  # full windows go by themselves
         self.left = np.array([len(x) for x in ids], np.int64) - self.start
         n = len(ids)
-        rest = [x[a:] for x, a in zip(ids, self.start.tolist())]
-        doc = np.repeat(np.arange(n, dtype=np.int64), self.left)
-        pair, tf = np.unique(np.concatenate([*rest, np.zeros(0, np.int64)]).astype(np.int64) + (doc << 32), return_counts=True)
-        doc, term = pair >> 32, pair & 0xFFFFFFFF
-        weight = idf[term] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * self.left[doc] / mean))
-        ends = np.searchsorted(doc, np.arange(n + 1))
-        order = np.lexsort((term, -weight, doc))
-        self.query = [term[order[a : min(b, a + s.query_terms)]] for a, b in zip(ends, ends[1:])]  # the terms of most weight
-        by_term = np.lexsort((doc, term))
-        self.terms, first = np.unique(term[by_term], return_index=True)
-        self.posting = np.append(first, len(term))
-        self.doc, self.weight = doc[by_term], weight[by_term]
+        rest = np.concatenate([*[x[a:] for x, a in zip(ids, self.start.tolist())], np.zeros(0, np.int64)]).astype(np.int64)
+        doc, term, tf = distinct(np.repeat(np.arange(n), self.left), rest)
+        del rest
+        norm = (s.k1 * (1 - s.b + s.b * self.left / mean)).astype(np.float32)
+        weight = (idf[term] * (s.k1 + 1)).astype(np.float32) * tf / (tf + norm[doc])
+        del tf
+        self.doc, self.weight = doc.astype(np.int32), weight.astype(np.float32)  # by document
+        self.held = np.searchsorted(doc, np.arange(n + 1))
+        by_term = np.argsort(term, kind="stable")
+        terms, first, df = np.unique(term[by_term], return_index=True, return_counts=True)
+        self.term = np.searchsorted(terms, term).astype(np.int32)
+        self.first, self.df = first, df
+        self.post_doc, self.post_weight = self.doc[by_term], self.weight[by_term]
+        self.is_common = np.zeros(len(terms), bool)
+        common = np.argsort(-df, kind="stable")[: s.frequent]
+        self.is_common[common] = True
+        self.row = np.full(len(terms), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        at = self.is_common[self.term]
+        self.matrix = np.zeros((len(common), n), np.float32)
+        self.matrix[self.row[self.term[at]], self.doc[at]] = self.weight[at]
+        self.scored: dict[int, np.ndarray] = {}  # of a block of seeds
+
+    def scores(self, seeds: np.ndarray) -> np.ndarray:
+        """(seeds, documents): the BM25 score of each document for all terms of each seed."""
+        n = len(self.ids)
+        size = self.held[seeds + 1] - self.held[seeds]
+        term = runs(self.term, self.held[seeds], size)
+        row = np.repeat(np.arange(len(seeds)), size)
+        common = self.is_common[term]
+        has = np.zeros((len(seeds), len(self.matrix)), np.float32)
+        has[row[common], self.row[term[common]]] = 1
+        out = has @ self.matrix
+        term, row = term[~common], row[~common]
+        step = max(1, (4 << 20) // max(1, int(self.df[~self.is_common].max(initial=1))))
+        for a in range(0, len(term), step):  # so many postings at a time
+            t = term[a : a + step]
+            at = np.repeat(row[a : a + step], self.df[t]) * n + runs(self.post_doc, self.first[t], self.df[t])
+            out += np.bincount(at, runs(self.post_weight, self.first[t], self.df[t]), len(seeds) * n).reshape(out.shape).astype(np.float32)
+        return out
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents with something left to pack and a term of the seed, by BM25 score; ties: in order."""
-        at = np.searchsorted(self.terms, self.query[seed])
-        runs = [np.arange(self.posting[k], self.posting[k + 1]) for k in at.tolist()]
-        if not runs:
-            return np.zeros(0, np.int64)
-        hits = np.concatenate(runs)
-        score = np.bincount(self.doc[hits], weights=self.weight[hits], minlength=len(self.ids))
-        score[self.left == 0] = 0
+        if seed not in self.scored:
+            seeds = np.append(seed, seed + 1 + np.flatnonzero(self.left[seed + 1 :])[: self.s.block - 1])
+            self.scored = dict(zip(seeds.tolist(), self.scores(seeds)))
+        score = np.where(self.left > 0, self.scored[seed], 0)
         score[seed] = 0
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]
@@ -136,18 +180,17 @@ class Shard:
             row = [self.take(waiting, room)]
             room -= row[0][2]
             if room:
-                near = self.neighbours(waiting).tolist()
-                for d in near:  # whole neighbours first
-                    if self.left[d] <= room:
-                        row.append(self.take(d, room))
-                        room -= row[-1][2]
-                        if not room:
-                            break
-                for d in near if room else ():  # then the best one is cut to fill the rest
-                    if self.left[d]:
-                        row.append(self.take(d, room))
-                        room -= row[-1][2]
+                near = self.neighbours(waiting)
+                while room:  # whole neighbours first
+                    fit = np.flatnonzero((self.left[near] <= room) & (self.left[near] > 0))
+                    if not len(fit):
                         break
+                    row.append(self.take(int(near[fit[0]]), room))
+                    room -= row[-1][2]
+                    near = near[fit[0] + 1 :]
+                if room and len(near := near[self.left[near] > 0]):  # then the best one is cut to fill the rest
+                    row.append(self.take(int(near[0]), room))
+                    room -= row[-1][2]
             d = waiting
             while room:  # no neighbour is left: the next documents in order
                 while d < n and not self.left[d]:
@@ -210,7 +253,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: Settings = Se
                 at = 0
                 for d, a, n in row:
                     raw = own[d][a : a + n].astype("<u4").tobytes()
-                    out.append((ids[d], first[d] + a, n, zlib.crc32(raw), total[d], number, at, raw))
+                    out.append((ids[d], first[d] + a, n, zlib.crc32(raw), total[d], number, at, *([raw] if with_ids else [])))
                     at += n
                 number += 1
             return out
@@ -237,14 +280,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: Settings = Se
         group, held_tokens = [], 0
         for batch in batches:
             id_kind = batch.column(0).type
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(raw, dtype)
-                group.append((key, x, 0, len(x)))
-                held_tokens += len(x)
-                if held_tokens >= settings.shard_tokens or len(group) >= settings.shard_docs:
-                    if out := pack(group, False):
-                        yield batch_of(out)
-                    group, held_tokens = [], 0
+            for part in slices(batch, 1, 1 << 20):
+                for key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    x = np.frombuffer(raw, dtype)
+                    group.append((key, x, 0, len(x)))
+                    held_tokens += len(x)
+                    if held_tokens >= settings.shard_tokens or len(group) >= settings.shard_docs:
+                        if out := pack(group, False):
+                            yield batch_of(out)
+                        group, held_tokens = [], 0
         if (group or carried) and (out := pack(group, True)):
             yield batch_of(out)
 

@@ -9,15 +9,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import tiktoken
 from tokenizers import Tokenizer
 
-#: One cache entry is a few hundred bytes; the cache starts anew beyond this.
-CACHE_ENTRIES = 350_000
+#: Entries that each of a memo's two generations may hold, and the longest pre-token that becomes one:
+#: with at most 64 characters and their ids an entry takes 250 bytes as a rule and 700 at worst.
+MEMO_ENTRIES = 100_000
+MEMO_LENGTH = 64
 
 
 def read_vocabulary(path: str) -> tuple[bytes, str]:
@@ -79,23 +82,32 @@ class ByteLevelCounter:
 class _Memo(dict):
     """A bounded memo of two generations: when the young one is full, it becomes the old one."""
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
+    def __init__(self, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.entries, self.old = entries, {}
 
-    def absent(self, keys) -> list:
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+    def absent(self, keys: set) -> set:
         """Which of ``keys`` must be computed; those of the old generation are brought back."""
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
-        old, out = self.old, []
-        for k in keys:
-            if k not in self:
-                if k in old:
-                    self[k] = old[k]
-                else:
-                    out.append(k)
-        return out
+        out = keys.difference(self)
+        back = out.intersection(self.old)
+        self.update(zip(back, map(self.old.__getitem__, back)))
+        return out - back
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def runs(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs ``flat[first[i] : first[i] + n[i]]`` one after another."""
+    return flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
 class WordEndBPE:
@@ -105,19 +117,24 @@ class WordEndBPE:
     each such pair is a certain cut.  A pre-token's fragments between cuts are
     encoded independently and their ids concatenated.  White space is such a cut
     for whole texts: no pre-token holds any, so a text is the concatenation of its
-    white-space-separated chunks, which are memoised.
+    white-space-separated chunks.  Of a batch each distinct chunk is cut into
+    pre-tokens once and each distinct pre-token encoded once; those are memoised.
 
     Normalising and pre-tokenising follow the library: for chunks of ASCII and
     precomposed Latin letters by the rules below, for all others by calling the
-    library's own normalizer and pre-tokenizer on the chunk.
+    library's own normalizer and pre-tokenizer on the chunk.  A file with another
+    normaliser or splitter has no such rules: its texts go to the library whole.
     """
 
-    END = b"\xff"  # stands for the word end; UTF-8 never has this byte
+    END, CUT = b"\0", b"\1"  # stand for the word end and a cut; chunks that hold them go to the library
     SUFFIX = "</w>"
+    # The normaliser and splitter that the rules below follow.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLITTER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
     #: White space as the pre-tokenizer's regex engine has it.
     _WS = re.compile("[\t-\r \x85\xa0  -     　]+")
-    _ODD_WS = re.compile("[\x1c-\x1f]")  # white space for str.split alone
-    _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]*")
+    _WIDE_WS = re.compile("[\x85\xa0  -     　]")  # beyond ASCII
+    _PLAIN = re.compile("[\n!-~À-ÖØ-öø-įı-ž]*")
     _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ž]+|[0-9]|[!-/:-@\\[-`{-~]+|\n")
 
     def __init__(self, data: bytes):
@@ -127,9 +144,12 @@ class WordEndBPE:
             raise ValueError("a BPE file with word ends is needed")
         self.data = data
         self.bytes_of = byte_alphabet()
+        self.known = spec["normalizer"] == self.NORMALIZER and spec["pre_tokenizer"] == self.SPLITTER
+        self.joins = spec.get("decoder") is None
         self.names = {i: t for t, i in model["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in special.items()}
+        end, cut = self.END[0], self.CUT[0]
         ranks: dict[bytes, int] = {}
         inside: set[tuple[int, int]] = set()
         for name, i in model["vocab"].items():
@@ -137,17 +157,22 @@ class WordEndBPE:
                 continue
             word_end = name.endswith(self.SUFFIX) and len(name) > len(self.SUFFIX)
             raw = bytes(self.bytes_of[c] for c in (name[: -len(self.SUFFIX)] if word_end else name))
+            if end in raw or cut in raw:
+                continue
             inside.update(zip(raw, raw[1:]))
             ranks[raw + self.END * word_end] = i
         table = np.zeros((256, 256), bool)
         table[tuple(np.array(sorted(inside)).T)] = True
-        table[:, self.END[0]] = True  # the end belongs to what stands before it; nothing follows it in a token
-        table[self.END[0], :] = False
+        table[:, end] = True  # the end belongs to what stands before it; nothing follows it in a token
+        table[end, :] = False
         self.inside = table
         self.special = special
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self._core = tiktoken.Encoding("word-end", pat_str=r"\S+", mergeable_ranks=ranks | {self.END: 1 << 30}, special_tokens={})._core_bpe
-        self.dtype = np.dtype("<u2" if max(self.names) < 1 << 16 else "<u4")
+        # a cut, the end alone and a mark behind each pre-token get numbers of their own
+        top = max(self.names) + 1
+        self._stop, single = top + 2, {self.END: top, self.CUT: top + 1, b"\n" + self.END: top + 2}
+        self._core = tiktoken.Encoding("word-end", pat_str="[^\1]+", mergeable_ranks=ranks | single, special_tokens={})._core_bpe
+        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.memo = _Memo()
 
     @cached_property
@@ -155,81 +180,112 @@ class WordEndBPE:
         """The library's tokenizer, built when a chunk first needs it."""
         return library(self.data)
 
-    def _pieces(self, chunk: str) -> list[bytes]:
+    def _pieces(self, chunk: str) -> list[str]:
         """The library's pre-tokens of a chunk that the plain rule does not cover."""
-        norm = self.tok.normalizer.normalize_str(chunk) if self.tok.normalizer else chunk
+        norm = self.tok.normalizer.normalize_str(chunk)
         of = self.bytes_of
-        return [bytes(of[c] for c in p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(norm) if p]
+        return [bytes(of[c] for c in p).decode("utf-8") for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(norm) if p]
 
     def cuts(self, raw: np.ndarray) -> np.ndarray:
-        """Where fragments begin, in bytes of pre-tokens that each end in END."""
-        return np.flatnonzero(~self.inside[raw[:-1], raw[1:]]) + 1
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that the memo lacks: mark the pre-tokens' ends, cut at forced boundaries, encode each fragment."""
-        plain = [c for c in chunks if self._PLAIN.fullmatch(c) and c not in self.special]
-        seen = set(plain)
-        other = [c for c in chunks if c not in seen]
-        pieces = self._PIECE.findall("\n".join([*plain, ""]).lower())
-        marked = "\0".join([*pieces, ""]).encode("utf-8").replace(b"\0", self.END)
-        order = plain
-        for c in other:
-            if c in self.special:
-                self.memo[c] = np.array([self.special[c]], self.dtype).tobytes()
-            else:
-                marked += b"".join([p + self.END for p in self._pieces(c)]) + b"\n" + self.END
-                order.append(c)
-        raw = np.frombuffer(marked, np.uint8)
-        at = [0, *self.cuts(raw).tolist(), len(raw)] if len(raw) else []
-        encode, stop, held, k, code = self._core.encode_single_piece, b"\n" + self.END, [], 0, self.dtype.char
-        for a, b in zip(at, at[1:]):
-            f = marked[a:b]
-            if f == stop:
-                self.memo[order[k]] = array(code, held).tobytes()
-                held, k = [], k + 1
-            else:
-                held += encode(f)
+        """Where fragments begin, in bytes of pre-tokens that each end in END; never within a character."""
+        return np.flatnonzero(~self.inside[raw[:-1], raw[1:]] & (raw[1:] & 0xC0 != 0x80)) + 1
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token: mark its end, cut at forced boundaries, encode all fragments at once."""
+        raw = np.frombuffer("\0\n\0".join([*pieces, ""]).encode("utf-8"), np.uint8)
+        marked = np.insert(raw, self.cuts(raw), self.CUT[0]).tobytes().decode("utf-8")
+        ids = np.frombuffer(self._core.encode_to_tiktoken_buffer(marked, set()), np.uint32)
+        width = self.dtype.itemsize
+        stops = np.flatnonzero(ids == self._stop) * width
+        held = ids.astype(self.dtype).tobytes()
+        return list(map(held.__getitem__, map(slice, [0, *(stops + width).tolist()], stops.tolist())))
+
+    def _known(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of these distinct pre-tokens, among others."""
+        missing = list(self.memo.absent(set(pieces)))
+        if not missing:
+            return self.memo
+        fresh = dict(zip(missing, self._learn(missing)))
+        if max(map(len, missing)) <= MEMO_LENGTH:
+            self.memo.update(fresh)
+            return self.memo
+        self.memo.update((p, ids) for p, ids in fresh.items() if len(p) <= MEMO_LENGTH)
+        return {p: fresh[p] if p in fresh else self.memo[p] for p in pieces}
+
+    def _of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many of each chunk) of distinct chunks, in order."""
+        whole, special, fixed = self._PLAIN.fullmatch, self.special, {}
+        joined = "\n".join([*chunks, ""])
+        if whole(joined) and special.keys().isdisjoint(chunks):
+            pieces = self._PIECE.findall(joined.lower())
+        else:
+            pieces = []
+            for i, c in enumerate(chunks):
+                if c in special:
+                    fixed[i] = np.array([special[c]], self.dtype)
+                elif whole(c):
+                    pieces += self._PIECE.findall(c.lower())
+                elif "\0" in c or "\1" in c:
+                    fixed[i] = np.array(self.tok.encode(c, add_special_tokens=False).ids, self.dtype)
+                else:
+                    pieces += self._pieces(c)
+                pieces.append("\n")
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        at, names = coded.indices.to_numpy(), strings(coded.dictionary)
+        ends = np.flatnonzero(at == names.index("\n")) if names else np.zeros(0, np.int64)
+        known = self._known([p for p in names if p != "\n"])
+        found = [known[p] if p != "\n" else b"" for p in names]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        first = np.cumsum(n) - n
+        flat = runs(np.frombuffer(b"".join(found), self.dtype), first[at], n[at])
+        before = np.concatenate([[0], np.cumsum(n[at])])
+        count = np.diff(before[np.concatenate([[0], ends + 1])]) if len(ends) else np.zeros(0, np.int64)
+        if fixed:
+            parts = np.split(flat, np.cumsum(count)[:-1])
+            for i, ids in fixed.items():
+                parts[i], count[i] = ids, len(ids)
+            flat = np.concatenate(parts)
+        return flat, count
 
     def chunks(self, text: str) -> list[str]:
         """The chunks between white space and special strings, in order."""
-        if self._specials is not None and "<|" in text:
-            parts = self._specials.split(text)
-            return [c for p in parts for c in ([p] if p in self.special else self._split(p))]
-        return self._split(text)
-
-    def _split(self, text: str) -> list[str]:
-        if self._ODD_WS.search(text):
-            return [c for c in self._WS.split(text) if c]
-        return text.split()
+        parts = self._specials.split(text) if self._specials is not None else [text]
+        return [c for p in parts for c in ([p] if p in self.special else self._WS.split(p)) if c]
+
+    def _spaced(self, text: str) -> str:
+        """The text with ASCII white space alone between its chunks."""
+        if (text.isascii() or not self._WIDE_WS.search(text)) and (self._specials is None or not self._specials.search(text)):
+            return text
+        return " ".join(self.chunks(text))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many of each text)."""
+        split = pa.compute.ascii_split_whitespace(pa.array([self._spaced(t) for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        flat, n = self._of_chunks(strings(coded.dictionary))
+        before = np.concatenate([[0], np.cumsum(n[at])])
+        return runs(flat, (np.cumsum(n) - n)[at], n[at]), np.diff(before[split.offsets.to_numpy()])
 
     def encode_raw(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned numbers of ``dtype``."""
-        chunks = self.chunks(text)
-        out = []
-        for a in range(0, len(chunks), 200_000):  # bounds what one very long text adds to the memo at once
-            part = chunks[a : a + 200_000]
-            if missing := self.memo.absent(set(part)):
-                self._learn(missing)
-            out.append(b"".join(map(self.memo.__getitem__, part)))
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_raw(text), self.dtype).tolist()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """``encode_raw`` of each text, learning all their new chunks together."""
-        chunked = [self.chunks(t) for t in texts]
-        if sum(map(len, chunked)) > 200_000:
-            return [self.encode_raw(t) for t in texts]
-        if missing := self.memo.absent(set().union(*chunked)):
-            self._learn(missing)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in chunked]
+        """``encode_raw`` of each text, encoding all their pre-tokens together."""
+        if not self.known:
+            return [np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in texts]
+        flat, n = self._encode(texts)
+        held, ends = flat.tobytes(), np.cumsum(n) * self.dtype.itemsize
+        return list(map(held.__getitem__, map(slice, [0, *ends.tolist()], ends.tolist())))
 
     def decode(self, ids) -> str:
         """As the library does for a file without a decoder: names joined by a space."""
         names = self.names
-        return " ".join([names[i] for i in ids])
+        return " ".join([names[i] for i in ids]) if self.joins else self.tok.decode(list(ids), skip_special_tokens=False)
 
 
 _BUILT: dict[tuple[str, str], object] = {}

@@ -479,21 +479,21 @@ def test_small_shards(spark, docs):
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
 
 
-def test_neighbours_are_bm25():
+@pytest.mark.parametrize("frequent, block", [(1024, 256), (20, 3), (0, 1)])
+def test_neighbours_are_bm25(frequent, block):
     rng = np.random.default_rng(2)
     ids = [rng.integers(0, 300, rng.integers(5, 80)) for _ in range(40)]
     df = np.zeros(300)
     for x in ids:
         df[np.unique(x)] += 1
-    idf, mean, s = np.log1p((40 - df + 0.5) / (df + 0.5)), np.mean([len(x) for x in ids]), packing.Settings()
+    idf, mean, s = np.log1p((40 - df + 0.5) / (df + 0.5)), np.mean([len(x) for x in ids]), packing.Settings(frequent=frequent, block=block)
     shard = packing.Shard(ids, idf, mean, s)
 
     def weight(d, t):
         tf = (ids[d] == t).sum()
         return idf[t] * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(ids[d]) / mean))
 
-    terms = sorted(set(ids[3].tolist()), key=lambda t: (-weight(3, t), t))[: s.query_terms]
-    want = {d: sum(weight(d, t) for t in terms) for d in range(40) if d != 3}
+    want = {d: sum(weight(d, t) for t in set(ids[3].tolist())) for d in range(40) if d != 3}
     got = shard.neighbours(3).tolist()
     assert set(got) == {d for d, w in want.items() if w > 0}
-    assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:]))
+    assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:]))
