@@ -7,25 +7,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, documents, materialize
+from .common import bounded, documents, drop_path, materialize, new_path
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``depth`` leading tokens and the token count lead to a leaf of the tree.
-
-    A template recurs if its lines stand in ``min_docs`` different texts; lines of
-    fewer than ``min_tokens`` tokens are left alone.  A token position of a leaf is
-    constant if one token has ``constant`` of the leaf's distinct lines, else a
-    wildcard; a leaf makes a template if ``similarity`` of its positions after the
-    leading ones are constant and no number, and a line belongs to it if it agrees in
-    all constants.  A line of nothing but numbers after the leading tokens recurs only
-    with the same numbers.
+    """The token count and ``depth`` leading tokens lead to a leaf of the tree.
+
+    A line whose leaf no other text reaches is parsed once more by its ``depth`` last
+    tokens, which finds templates that vary in the leading ones.
+
+    Within a leaf a line may belong to two templates: to the leaf's own one, made of the
+    tokens that ``constant`` of its distinct lines have at a place, if it agrees in all
+    of these; and to a group of lines that have the same tokens at the places where
+    they share one with any other line of the leaf.  Either kind needs words (no numbers)
+    at ``similarity`` of the places outside the path.  A line of nothing but numbers
+    there recurs only with the same numbers.
+
+    A template recurs if its lines stand in ``min_docs`` different texts.  Lines of fewer
+    than ``min_tokens`` tokens recur only word for word, from ``short_docs`` texts on.
     """
 
     depth: int = 3
     min_tokens: int = 4
     min_docs: int = 2
+    short_docs: int = 10
     constant: float = 0.6
     similarity: float = 0.6
     broadcast_rows: int = 500_000
@@ -35,12 +41,16 @@ MASK = "<*>"
 
 
 def split_tokens(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\r\f\x0b")), r"\s+")
+    """The tokens between white space; a plain split at spaces where that gives the same."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.split(F.btrim(line, F.lit(" \t\r\f\x0b")), r"\s+")).otherwise(F.split(line, " "))
 
 
-def tokens_of(line: Column) -> Column:
-    """The line's tokens between white space; tokens with a digit are the wildcard ``<*>``."""
-    return split_tokens(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", MASK)).otherwise(line))
+def masked(line: Column) -> Column:
+    """Tokens with a digit become the wildcard ``<*>``; each character is looked at once, however long a token is."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", MASK)).otherwise(line)
 
 
 def line_key(line: Column, tokens: Column, depth: int) -> Column:
@@ -51,62 +61,107 @@ def line_key(line: Column, tokens: Column, depth: int) -> Column:
 
 
 def parsed_lines(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, line_no, n, leaf, line_key, tokens) of each line of ``min_tokens`` or more.
+    """(id, text_key, line_no, n, lead, tail, line_key, line) of each line that is not blank.
 
-    ``leaf`` hashes the path through the tree: token count, then the leading tokens.
+    ``lead`` and ``tail`` hash the paths through the tree: token count, then the leading or the last tokens.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
-    rows = rows.where(F.length("line") >= 2 * s.min_tokens - 1).withColumn("tokens", tokens_of(F.col("line"))).withColumn("n", F.size("tokens")).where(F.col("n") >= s.min_tokens)
-    return rows.select("id", "text_key", "line_no", "n", F.xxhash64("n", F.slice("tokens", 1, s.depth)).alias("leaf"), line_key(F.col("line"), F.col("tokens"), s.depth).alias("line_key"), "tokens")
+    rows = rows.where(F.btrim("line", F.lit(" \t\r\f\x0b")) != "").withColumn("tokens", split_tokens(masked(F.col("line")))).withColumn("n", F.size("tokens"))
+    lead, tail = F.xxhash64("n", F.slice("tokens", 1, s.depth)), F.xxhash64("n", F.slice("tokens", F.greatest(F.lit(1), F.col("n") - (s.depth - 1)), s.depth), F.lit("tail"))
+    return rows.select("id", "text_key", "line_no", "n", lead.alias("lead"), tail.alias("tail"), line_key(F.col("line"), F.col("tokens"), s.depth).alias("line_key"), "line")
 
 
-def busy_leaves(lines: DataFrame, s: Settings) -> DataFrame:
-    """(leaf): leaves that lines of ``min_docs`` different texts reach; no other can hold a recurring template."""
-    return lines.select("leaf", "text_key").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= s.min_docs).select("leaf")
+def shared(rows: DataFrame, key: str) -> DataFrame:
+    """(leaf): the values of ``key`` that lines of two different texts have."""
+    return rows.groupBy(F.col(key).alias("leaf")).agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo != hi").select("leaf")
 
 
-def leaf_templates(distinct_lines: DataFrame, s: Settings) -> DataFrame:
-    """(leaf, template array<long>): per position the constant token's hash, or null for a wildcard.
+def candidates(lines: DataFrame, s: Settings) -> DataFrame:
+    """(id, text_key, line_no, n, by_tail, leaf, line_key, line): lines of leaves that two different texts reach; no other line can recur."""
+    spark = lines.sparkSession
+    of = lambda key: (lambda leaves: bounded(materialize(spark, leaves, "line-leaves"), s.broadcast_rows))(shared(lines if key == "lead" else rest, key))
+    by_lead = of("lead")
+    rest = lines.join(by_lead, F.col("lead") == F.col("leaf"), "left_anti").where(F.col("n") > s.min_tokens)
+    by_tail = of("tail")
+    columns = ["id", "text_key", "line_no", "n", "leaf", "line_key", "line"]
+    first = lines.join(by_lead, F.col("lead") == F.col("leaf")).select(*columns, F.lit(False).alias("by_tail"))
+    return first.unionByName(rest.join(by_tail, F.col("tail") == F.col("leaf")).select(*columns, F.lit(True).alias("by_tail")))
 
-    Only leaves with two or more distinct lines are generalised.  The leading tokens
-    are the same in all lines of a leaf, so they say nothing about their likeness.
+
+def general_templates(distinct_lines: DataFrame, s: Settings) -> DataFrame:
+    """(leaf, line_key, whole, part): the leaf's own template where the line fits it, and the line's group.
+
+    Tokens are counted by (leaf, place, token), so a leaf with very many lines is
+    spread over its cells; a line's cells come together by the line.
     """
-    cells = distinct_lines.select("leaf", F.posexplode("token_keys").alias("pos", "tok")).groupBy("leaf", "pos", "tok").agg(F.count("*").alias("c"))
-    places = cells.groupBy("leaf", "pos").agg(F.max(F.struct("c", "tok")).alias("top"), F.sum("c").alias("total"))
-    constant = F.when(F.col("top.c") >= s.constant * F.col("total"), F.col("top.tok"))
-    word = F.when((F.col("pos") >= s.depth) & (constant != F.xxhash64(F.lit(MASK))), True)
-    leaf = places.groupBy("leaf").agg(F.max("total").alias("lines"), F.count("*").alias("n"), F.count(word).alias("k"), F.collect_list(F.struct("pos", constant.alias("tok"))).alias("t"))
-    leaf = leaf.where((F.col("lines") > 1) & (F.col("k") > 0) & (F.col("k") >= s.similarity * (F.col("n") - s.depth)))
-    return leaf.select("leaf", F.transform(F.array_sort("t"), lambda x: x["tok"]).alias("template"))
+    several = distinct_lines.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
+    lines = distinct_lines.join(several, "leaf")
+    outside = F.when(F.col("by_tail"), F.col("pos") < F.col("n") - s.depth).otherwise(F.col("pos") >= s.depth)
+    cells = lines.select("leaf", "line_key", "n", "lines", "by_tail", F.posexplode("token_keys").alias("pos", "tok")).where(outside)
+    word = F.col("tok") != F.xxhash64(F.lit(MASK))
+    counts = cells.groupBy("leaf", "pos", "tok").agg(F.count("*").alias("c"), F.first("lines").alias("lines"))
+    counts = counts.select("leaf", "pos", "tok", "c", (F.col("c") >= s.constant * F.col("lines")).alias("constant")).where("c > 1")
+    wanted = counts.where("constant").groupBy("leaf").agg(F.count("*").alias("wanted"), F.count_if(word).alias("words"))
+    of_line = cells.join(counts, ["leaf", "pos", "tok"]).groupBy("leaf", "line_key").agg(
+        F.first("n").alias("n"), F.count_if("constant").alias("met"), F.count_if(word).alias("held"), F.xxhash64(F.array_sort(F.collect_list(F.struct("pos", "tok")))).alias("group")
+    )
+    enough = lambda c: (F.col(c) > 0) & (F.col(c) >= s.similarity * (F.col("n") - s.depth))
+    out = of_line.join(wanted, "leaf", "left")
+    return out.select("leaf", "line_key", F.when((F.col("met") == F.col("wanted")) & enough("words"), F.col("leaf")).alias("whole"), F.when(enough("held"), F.xxhash64("leaf", "group")).alias("part"))
 
 
 def recurring_lines(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, line_no, template): the lines that belong to a recurring template.
 
-    ``template`` names it: a leaf's generalised template if the line fits that and it
-    recurs, else the line's own tokens if those recur.  Both kinds are counted over
-    all documents, exact copies of a text counting once, by aggregations that
-    combine before they shuffle, so a line that a third of the rows hold costs one
-    row a task.
+    ``template`` names it: the leaf's own template, else the line's group, else the
+    line's own tokens, whichever recurs.  All are counted over all documents, exact
+    copies of a text counting once, by aggregations that combine before they
+    shuffle, so a line that a third of the rows hold costs one row a task.  Texts are
+    parsed once; lines of leaves that one text alone reaches go no further.
     """
     s, spark = settings, docs.sparkSession
-    lines = parsed_lines(docs, s, id_col, text_col)
-    leaves = materialize(spark, busy_leaves(lines, s), "line-leaves")
-    kept = lines.join(bounded(leaves, s.broadcast_rows), "leaf", "left_semi").withColumn("token_keys", F.transform("tokens", lambda t: F.xxhash64(t))).drop("tokens")
-    kept = materialize(spark, kept, "line-candidates")
-    distinct_lines = kept.groupBy("leaf", "line_key").agg(F.first("token_keys").alias("token_keys"))
+    first = new_path(spark, "line-parsed")
+    parsed_lines(docs, s, id_col, text_col).write.parquet(first)
+    kept = candidates(spark.read.parquet(first), s)
+    keys = F.transform(split_tokens(masked(F.col("line"))), lambda t: F.xxhash64(t))
+    kept = materialize(spark, kept.select("id", "text_key", "line_no", "n", "by_tail", "leaf", "line_key", F.when(F.col("n") > s.min_tokens, keys).alias("token_keys")), "line-candidates")
+    drop_path(spark, first)
+    distinct_lines = kept.groupBy("leaf", "line_key").agg(F.first("n").alias("n"), F.first("by_tail").alias("by_tail"), F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.first("token_keys").alias("token_keys"))
     distinct_lines = materialize(spark, distinct_lines, "line-distinct")
-    fits = F.forall(F.zip_with("template", "token_keys", lambda t, k: t.isNull() | (t == k)), lambda x: x)
-    fitting = distinct_lines.join(leaf_templates(distinct_lines, s), "leaf").where(fits).select("leaf", "line_key", F.lit(True).alias("fits"))
-    fitting = materialize(spark, fitting, "line-fitting")
-    texts = kept.select("leaf", "line_key", "text_key").distinct()
-    exact = texts.groupBy("leaf", "line_key").agg(F.count("*").alias("texts")).where(F.col("texts") >= s.min_docs).select("leaf", "line_key", F.lit(True).alias("exact"))
-    general = texts.join(fitting, ["leaf", "line_key"]).select("leaf", "text_key").distinct().groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= s.min_docs).select("leaf")
-    template = fitting.join(general, "leaf", "left_semi").join(exact, ["leaf", "line_key"], "full").select("leaf", "line_key", F.when(F.col("fits"), F.col("leaf")).otherwise(F.xxhash64("leaf", "line_key")).alias("template"))
+
+    def recurring(rows: DataFrame, key: str, texts: int) -> DataFrame:
+        """(key): the templates whose lines stand in so many different texts."""
+        if texts <= 2:
+            return rows.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi" if texts == 2 else "true").select(key)
+        held = kept.select("leaf", "line_key", "text_key").distinct().join(rows.where("lo != hi" if key == "exact" else "true").select("leaf", "line_key", key), ["leaf", "line_key"])
+        return held.select(key, "text_key").distinct().groupBy(key).agg(F.count("*").alias("texts")).where(F.col("texts") >= texts).select(key)
+
+    spans = distinct_lines.select("leaf", "line_key", "n", "lo", "hi", F.xxhash64("leaf", "line_key", F.lit("exact")).alias("exact"))
+    general = materialize(spark, general_templates(distinct_lines.where(F.col("n") > s.min_tokens), s).join(spans.select("leaf", "line_key", "lo", "hi"), ["leaf", "line_key"]), "line-general")
+    exact = recurring(spans.where(F.col("n") >= s.min_tokens), "exact", s.min_docs).unionByName(recurring(spans.where(F.col("n") < s.min_tokens), "exact", s.short_docs))
+    named = [spans.join(exact, "exact").select("leaf", "line_key", F.lit(2).alias("rank"), F.col("exact").alias("template"))]
+    for rank, kind in enumerate(("whole", "part")):
+        some = general.where(F.col(kind).isNotNull())
+        named.append(some.join(recurring(some, kind, s.min_docs), kind).select("leaf", "line_key", F.lit(rank).alias("rank"), F.col(kind).alias("template")))
+    template = named[0].unionByName(named[1]).unionByName(named[2]).groupBy("leaf", "line_key").agg(F.min(F.struct("rank", "template"))["template"].alias("template"))
     template = bounded(materialize(spark, template, "line-templates"), s.broadcast_rows)
     return kept.select("id", "text_key", "line_no", "leaf", "line_key").join(template, ["leaf", "line_key"]).select("id", "text_key", "line_no", "template")
 
 
+def without(text: Column, dropped: Column) -> Column:
+    """The text without the lines of these numbers: the runs between them, joined."""
+
+    def let(value: Column, body) -> Column:
+        """``body(value)``, evaluating ``value`` once."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def runs(lines: Column, ends: Column) -> Column:
+        after = lambda j: F.coalesce(F.get(ends, j - 1), F.lit(-1)) + 1
+        return F.flatten(F.transform(ends, lambda e, j: F.slice(lines, after(j) + 1, e - after(j))))
+
+    return F.array_join(let(F.split(text, "\n"), lambda lines: let(F.concat(F.array_sort(dropped), F.array(F.size(lines))), lambda ends: runs(lines, ends))), "\n")
+
+
 def dedup_lines(docs: DataFrame, settings: Settings = Settings(), keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns and rows, the recurring templates' lines taken out of the text, and ``n_dropped``.
 
@@ -114,7 +169,9 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), keep_first: bo
     id, then the smallest line number (so the first copy of a text keeps it all).
     Null texts stay null; a text without a dropped line stays as it is, to the byte;
     one that loses all its lines becomes empty.  Rows of equal id and text are
-    treated alike.  An existing column ``n_dropped`` is replaced.
+    treated alike, rows without an id as rows of one id before all others.  Blank lines
+    stay.  Whole texts are read, however long they or their lines are, in time that grows
+    in proportion.  All other columns stay as they are; an existing ``n_dropped`` is replaced.
     """
     found = recurring_lines(docs, settings, id_col, text_col)
     if keep_first:
@@ -124,9 +181,8 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), keep_first: bo
         found = found.join(firsts, same, "left_anti")
     dropped = found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines"))
     on = docs[id_col].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs[text_col]) == dropped["__key"])
-    left = F.array_join(F.transform(F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("__lines", e["i"])), lambda e: e["x"]), "\n")
     out = docs.drop("n_dropped").join(dropped, on, "left")
-    kept = [F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_dropped"]
+    kept = [F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("__lines"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_dropped"]
     return out.select(*kept, F.coalesce(F.size("__lines"), F.lit(0)).alias("n_dropped"))
 
 

@@ -336,6 +336,89 @@ def test_leading_tokens_and_numbers_make_no_template(spark):
     assert sorted(r.id for r in found) == [30, 31, 40, 41, 42] and len({r.template for r in found}) == 2
 
 
+def brute_lines(rows, s):
+    """(id, line number) of the lines that recur, by a plain reading of the same definition."""
+    parsed = []
+    for i, t in rows:
+        for no, line in enumerate((t or "").split("\n")):
+            if line.strip(" \t\r\f\v"):
+                raw = line.split()
+                parsed.append((i, t, no, [line_templates.MASK if re.search("[0-9]", w) else w for w in raw], raw))
+    texts = defaultdict(set)
+    for _, t, _, w, _ in parsed:
+        texts["lead", len(w), *w[: s.depth]].add(t)
+    of_leaf = []
+    for i, t, no, w, raw in parsed:
+        leaf = ("lead", len(w), *w[: s.depth])
+        if len(texts[leaf]) < 2:
+            if len(w) <= s.min_tokens:
+                continue
+            leaf = ("tail", len(w), *w[-s.depth :])
+            texts[leaf].add(t)
+        key = tuple(raw) if w[-1] == line_templates.MASK and set(w[s.depth :]) <= {line_templates.MASK} else tuple(w)
+        of_leaf.append((i, t, no, leaf, key, w))
+    of_leaf = [x for x in of_leaf if len(texts[x[3]]) > 1]
+    leaves = defaultdict(dict)
+    for x in of_leaf:
+        leaves[x[3]][x[4]] = x[5]
+    names = {}
+    for leaf, lines in leaves.items():
+        places = range(leaf[1] - s.depth) if leaf[0] == "tail" else range(s.depth, leaf[1])
+        counts = Counter((p, w[p]) for w in lines.values() for p in places)
+        constant = {c for c, k in counts.items() if k >= s.constant * len(lines) and k > 1}
+        enough = lambda cells: 0 < (k := sum(c[1] != line_templates.MASK for c in cells)) and k >= s.similarity * (leaf[1] - s.depth)
+        for key, w in lines.items():
+            held = {(p, w[p]) for p in places if counts[p, w[p]] > 1}
+            names[leaf, key] = [("exact", leaf, key)]
+            if leaf[1] > s.min_tokens and len(lines) > 1:
+                names[leaf, key] = [("whole", leaf)] * (enough(constant) and constant <= held) + [("part", leaf, tuple(sorted(held)))] * enough(held) + names[leaf, key]
+    held = defaultdict(set)
+    for _, t, _, leaf, key, _ in of_leaf:
+        for name in names[leaf, key]:
+            held[name].add(t)
+    return {(i, no): name for i, _, no, leaf, key, _ in of_leaf for name in [next((m for m in names[leaf, key] if len(held[m]) >= (s.min_docs if leaf[1] >= s.min_tokens else s.short_docs)), None)] if name}
+
+
+def test_lines_against_brute_force(spark, docs):
+    rng = np.random.default_rng(11)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k in range(120):  # few words and numbers, so that leaves hold several families
+        lines = [" ".join(rng.choice(["on", "the", "a", "red", "7", "12"], rng.integers(1, 9))) for _ in range(rng.integers(1, 6))]
+        rows.append((10_000 + k, "\n".join(lines)))
+    rows += [(20_000 + i, f"tab\there  and  spaces {w}\r\n \t \n{w} ends alike for all of them") for i, w in enumerate(["x", "y", "z"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for s in (line_templates.Settings(), line_templates.Settings(min_docs=3, short_docs=4, broadcast_rows=0)):
+        want = brute_lines(rows, s)
+        got = {(r.id, r.line_no): r.template for r in line_templates.recurring_lines(df, s).collect()}
+        assert set(got) == set(want) and len(set(got.values())) == len(set(want.values())) == len({(got[k], want[k]) for k in want})
+    want, firsts = brute_lines(rows, line_templates.Settings()), {}
+    for k in sorted(want):
+        firsts.setdefault(want[k], k)
+    for r in line_templates.dedup_lines(df).collect():
+        lines = (r.text if r.text is None else dict(rows)[r.doc_id]).split("\n")
+        gone = {no for no in range(len(lines)) if (r.doc_id, no) in want and firsts[want[r.doc_id, no]] != (r.doc_id, no)}
+        assert r.n_dropped == len(gone) and r.text == "\n".join(x for no, x in enumerate(lines) if no not in gone)
+
+
+def test_families_of_a_leaf(spark):
+    """Two templates of one path, and one that varies in its second token; short lines need ten texts."""
+    names = ["anna", "bert", "carl", "dora"]
+    rows = [(i, f"we have seen {w} walk along the old river bank today") for i, w in enumerate(names[:3])]
+    rows += [(10 + i, f"we have seen how prices of {w} went up since then") for i, w in enumerate(["milk", "salt", "corn"])]
+    rows += [(20 + i, f"user {w} has just joined the channel") for i, w in enumerate(names)]
+    rows += [(40 + i, f"read more\n{'abcdefghijkl'[i]} alone") for i in range(10)] + [(60 + i, f"see also\n{'abcdefghijkl'[i]} only") for i in range(9)]
+    out = {r.doc_id: r.n_dropped for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in out.items() if n} == {1, 2, 11, 12, 21, 22, 23, *range(41, 50)} and max(out.values()) == 1
+
+
+def test_very_long_lines(spark):
+    """One line of 300,000 characters without a space, one of 60,000 words, and 20,000 lines of which most recur."""
+    many = "\n".join(f"this line of many is held by {'abcde'[i % 5] * (1 + i % 50)} and others" for i in range(20_000))
+    rows = [(1, "x" * 300_000 + " end of it"), (2, "word " * 60_000 + "a1"), (3, "word " * 60_000 + "b2"), (4, many), (5, many + "\nlast words of this one")]
+    out = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].n_dropped == 0 and out[2].n_dropped == 0 and out[3].n_dropped == 1 and out[5].n_dropped == 20_000 and out[5].text == "last words of this one"
+
+
 def test_copies_count_once(spark, odd, none):
     text = "one line of a text that is copied whole\nand a second line of that same text"
     df = spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")
