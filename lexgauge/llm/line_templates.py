@@ -94,19 +94,21 @@ def general_templates(distinct_lines: DataFrame, s: Settings) -> DataFrame:
     Tokens are counted by (leaf, place, token), so a leaf with very many lines is
     spread over its cells; a line's cells come together by the line.
     """
+    written = lambda df, label: bounded(materialize(df.sparkSession, df, label), s.broadcast_rows)
     several = distinct_lines.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
-    lines = distinct_lines.join(several, "leaf")
+    lines = distinct_lines.join(written(several, "line-several"), "leaf")
     outside = F.when(F.col("by_tail"), F.col("pos") < F.col("n") - s.depth).otherwise(F.col("pos") >= s.depth)
     cells = lines.select("leaf", "line_key", "n", "lines", "by_tail", F.posexplode("token_keys").alias("pos", "tok")).where(outside)
     word = F.col("tok") != F.xxhash64(F.lit(MASK))
     counts = cells.groupBy("leaf", "pos", "tok").agg(F.count("*").alias("c"), F.first("lines").alias("lines"))
     counts = counts.select("leaf", "pos", "tok", "c", (F.col("c") >= s.constant * F.col("lines")).alias("constant")).where("c > 1")
+    counts = materialize(counts.sparkSession, counts, "line-cells")
     wanted = counts.where("constant").groupBy("leaf").agg(F.count("*").alias("wanted"), F.count_if(word).alias("words"))
     of_line = cells.join(counts, ["leaf", "pos", "tok"]).groupBy("leaf", "line_key").agg(
         F.first("n").alias("n"), F.count_if("constant").alias("met"), F.count_if(word).alias("held"), F.xxhash64(F.array_sort(F.collect_list(F.struct("pos", "tok")))).alias("group")
     )
     enough = lambda c: (F.col(c) > 0) & (F.col(c) >= s.similarity * (F.col("n") - s.depth))
-    out = of_line.join(wanted, "leaf", "left")
+    out = of_line.join(written(wanted, "line-wanted"), "leaf", "left")
     return out.select("leaf", "line_key", F.when((F.col("met") == F.col("wanted")) & enough("words"), F.col("leaf")).alias("whole"), F.when(enough("held"), F.xxhash64("leaf", "group")).alias("part"))
 
 

@@ -193,6 +193,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit / sum(truth[r.doc_id] for r in rows) > 0.9 and hit / max(1, sum(r.predicted for r in rows)) > 0.9
 
 
+def test_scores_against_a_plain_computation(spark, docs):
+    """Counts, ratios and scores of the trained model, from dictionaries of n-grams."""
+    texts = ["you fool you fool", "a kind word", "such a FOOL, fool, fool fool", "kind people", "foolish", "the kind of it"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("fool" in t.lower())) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+
+    def grams(t):
+        raw = f" {t.lower()} ".encode()
+        return Counter(raw[i : i + n] for n in toxicity.ORDERS for i in range(len(raw) - n + 1))
+
+    def place(g):
+        h = g[0]
+        for c in g[1:]:
+            h = (h * 0x01000193 + (c + 1) * 0x9E3779B1) % (1 << 32)
+            h ^= h >> 15
+        return (h * 0x85EBCA6B) % (1 << 32) >> (32 - toxicity.BITS)
+
+    def plain(t):
+        c = Counter()
+        for g, n in grams(t).items():
+            c[place(g)] += n
+        return {int(toxicity.at_level(np.array([g], np.uint32), k)[0]) for g, n in c.items() for k, most in enumerate(toxicity.LEVELS) if n >= most}
+
+    kept = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    for t in [*texts, "", "not seen before fool kind", docs.first().text]:
+        assert set(toxicity.features(t).tolist()) == plain(t)
+        z = model.bias + sum(float(model.weights[f]) for f in plain(t))
+        assert abs(model.score(t) - 1 / (1 + np.exp(-z))) < 1e-6
+    n = Counter("fool" in texts[i].lower() for i in kept)
+    seen = {y: Counter(f for i in kept if ("fool" in texts[i].lower()) == y for f in plain(texts[i])) for y in (True, False)}
+    for f in np.flatnonzero(model.weights):
+        ratio = np.log((seen[True][f] + 0.5) / (n[True] + 1)) - np.log((seen[False][f] + 0.5) / (n[False] + 1))
+        assert model.weights[f] * ratio > 0
+    assert model.score("fool fool") > 0.5 > model.score("kind word")
+
+
 def test_toxicity_edge_cases(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     for model in (toxicity.train(odd, labels), toxicity.train(none, labels), toxicity.train(odd, labels.where("false"))):
