@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,24 +18,29 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (as in local tests) a temporary folder is
-    made and set as the session's checkpoint folder.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, which has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     option = spark.sparkContext._jsc.sc().getCheckpointDir()
     if option.isDefined():
         return option.get().rstrip("/")
-    made = Path(tempfile.mkdtemp(prefix="lexgauge-")).as_uri()
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        made = Path(tempfile.mkdtemp(prefix="lexgauge-")).as_uri()  # one machine: its own folder is shared
+        spark.sparkContext.setCheckpointDir(made)
+        return made
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+#: The folders that the innermost ``scratch`` has seen made.
+_MADE: list[list[str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/lexgauge/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexgauge/{label}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
@@ -45,7 +51,34 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+class Scratch:
+    def __init__(self):
+        self.kept: set[str] = set()
+
+    def keep(self, *written: DataFrame) -> None:
+        """Tables of ``materialize`` that are read after the block."""
+        self.kept.update(df.written_to for df in written)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the tables written in a block when it ends, but for those kept; these fall to an outer block, if there is one."""
+    made, own = Scratch(), []
+    _MADE.append(own)
+    try:
+        yield made
+    finally:
+        _MADE.pop()
+        for path in own:
+            if path not in made.kept:
+                drop_path(spark, path)
+            elif _MADE:
+                _MADE[-1].append(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -7,15 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, documents, drop_path, materialize, new_path
+from .common import bounded, documents, drop_path, materialize, new_path, scratch
 
 
 @dataclass(frozen=True)
 class Settings:
     """The token count and ``depth`` leading tokens lead to a leaf of the tree.
 
-    A line whose leaf no other text reaches is parsed once more by its ``depth`` last
-    tokens, which finds templates that vary in the leading ones.
+    With ``last_tokens`` a line whose leaf no other text reaches is parsed once more by its
+    ``depth`` last tokens, which finds templates that vary in a leading word; not by default,
+    as plain sentences that differ in one word would be templates then.
 
     Within a leaf a line may belong to two templates: to the leaf's own one, made of the
     tokens that ``constant`` of its distinct lines have at a place, if it agrees in all
@@ -34,6 +35,7 @@ class Settings:
     short_docs: int = 10
     constant: float = 0.6
     similarity: float = 0.6
+    last_tokens: bool = False
     broadcast_rows: int = 500_000
 
 
@@ -79,13 +81,17 @@ def shared(rows: DataFrame, key: str) -> DataFrame:
 def candidates(lines: DataFrame, s: Settings) -> DataFrame:
     """(id, text_key, line_no, n, by_tail, leaf, line_key, line): lines of leaves that two different texts reach; no other line can recur."""
     spark = lines.sparkSession
-    of = lambda key: (lambda leaves: bounded(materialize(spark, leaves, "line-leaves"), s.broadcast_rows))(shared(lines if key == "lead" else rest, key))
-    by_lead = of("lead")
-    rest = lines.join(by_lead, F.col("lead") == F.col("leaf"), "left_anti").where(F.col("n") > s.min_tokens)
-    by_tail = of("tail")
     columns = ["id", "text_key", "line_no", "n", "leaf", "line_key", "line"]
-    first = lines.join(by_lead, F.col("lead") == F.col("leaf")).select(*columns, F.lit(False).alias("by_tail"))
-    return first.unionByName(rest.join(by_tail, F.col("tail") == F.col("leaf")).select(*columns, F.lit(True).alias("by_tail")))
+
+    def leaves(rows: DataFrame, key: str) -> DataFrame:
+        return bounded(materialize(spark, shared(rows, key), "line-leaves"), s.broadcast_rows)
+
+    by_lead = leaves(lines, "lead")
+    found = lines.join(by_lead, F.col("lead") == F.col("leaf")).select(*columns, F.lit(False).alias("by_tail"))
+    if not s.last_tokens:
+        return found
+    rest = lines.join(by_lead, F.col("lead") == F.col("leaf"), "left_anti").where(F.col("n") > s.min_tokens)
+    return found.unionByName(rest.join(leaves(rest, "tail"), F.col("tail") == F.col("leaf")).select(*columns, F.lit(True).alias("by_tail")))
 
 
 def general_templates(distinct_lines: DataFrame, s: Settings) -> DataFrame:
@@ -173,15 +179,20 @@ def dedup_lines(docs: DataFrame, settings: Settings = Settings(), keep_first: bo
     one that loses all its lines becomes empty.  Rows of equal id and text are
     treated alike, rows without an id as rows of one id before all others.  Blank lines
     stay.  Whole texts are read, however long they or their lines are, in time that grows
-    in proportion.  All other columns stay as they are; an existing ``n_dropped`` is replaced.
+    in proportion.  Intermediate tables are deleted but for the one the result is read from.
+    All other columns stay as they are; an existing ``n_dropped`` is replaced.
     """
-    found = recurring_lines(docs, settings, id_col, text_col)
-    if keep_first:
-        found = materialize(docs.sparkSession, found, "line-recurring")
-        firsts = found.groupBy("template").agg(F.min(F.struct("id", "line_no", "text_key")).alias("first")).select("template", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), F.col("first.text_key").alias("text_key"), F.lit(True).alias("stays"))
-        same = found.template.eqNullSafe(firsts.template) & found.id.eqNullSafe(firsts.id) & (found.line_no == firsts.line_no) & (found.text_key == firsts.text_key)
-        found = found.join(firsts, same, "left_anti")
-    dropped = found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines"))
+    spark = docs.sparkSession
+    with scratch(spark) as made:
+        found = recurring_lines(docs, settings, id_col, text_col)
+        if keep_first:
+            found = materialize(spark, found, "line-recurring")
+            firsts = found.groupBy("template").agg(F.min(F.struct("id", "line_no", "text_key")).alias("first")).select("template", F.col("first.id").alias("id"), F.col("first.line_no").alias("line_no"), F.col("first.text_key").alias("text_key"), F.lit(True).alias("stays"))
+            same = found.template.eqNullSafe(firsts.template) & found.id.eqNullSafe(firsts.id) & (found.line_no == firsts.line_no) & (found.text_key == firsts.text_key)
+            found = found.join(firsts, same, "left_anti")
+        dropped = found.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines"))
+        dropped = materialize(spark, dropped, "line-dropped")
+        made.keep(dropped)
     on = docs[id_col].eqNullSafe(dropped["__id"]) & (F.xxhash64(docs[text_col]) == dropped["__key"])
     out = docs.drop("n_dropped").join(dropped, on, "left")
     kept = [F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("__lines"))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_dropped"]

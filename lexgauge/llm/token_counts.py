@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, new_path, path_exists, slices, text_values, whole_text
+from .common import lean, materialize, new_path, path_exists, slices, text_values, whole_text
 from .vocabularies import ByteLevelCounter, encoder, read_vocabulary
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -29,8 +29,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     that it lacks are encoded, each once however many rows hold it, and appended.
 
     Copies are combined before the shuffle, so a text that fills a third of the
-    rows costs one row a task.  Rows, their order of repetition and all other
-    columns stay; an empty table gives an empty result.
+    rows costs one row a task, and the counts are written without repetition before
+    rows look them up, so that AQE may split a digest that very many rows have.  Rows,
+    their order of repetition and all other columns stay, but an existing ``count_col``
+    is replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     data, version = read_vocabulary(tokenizer_path)
@@ -51,7 +53,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     contents.mapInArrow(lean(encode), CACHE_SCHEMA).write.mode("append").parquet(cache)
 
     key, found = "__content_digest", "__found"
-    counts = read_cache(spark, cache, version).select(F.col("digest").alias(key), F.col("n_tokens").alias(found))
+    counts = materialize(spark, read_cache(spark, cache, version), "token-counts").select(F.col("digest").alias(key), F.col("n_tokens").alias(found))
     kept = [c for c in docs.columns if c != count_col]
     return docs.withColumn(key, digest).join(counts, key, "left").select(*[F.col(f"`{c}`") for c in kept], F.col(found).alias(count_col))
 

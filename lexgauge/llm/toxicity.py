@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, lean, materialize, slices, text_values
+from .common import documents, lean, materialize, scratch, slices, text_values
 
 BITS = 20  # n-grams are hashed into 2**BITS features
 ORDERS = (4, 5, 6)  # bytes of an n-gram
@@ -122,6 +122,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     Counts and feature rows are made on the executors; the driver gets at most
     2**BITS counts and ``max_train_rows`` rows of at most ``max_features`` ids.
     """
+    with scratch(docs.sparkSession):
+        return fit_sample(docs, labels, settings, label_col, id_col, text_col)
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, settings: Settings, label_col: str, id_col: str, text_col: str) -> Model:
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y")).where(~held_out(id_col))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(settings.max_train_rows)

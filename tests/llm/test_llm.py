@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexgauge.llm import audio, bpe_codec, graph, jaccard_join, license_scan, line_templates, order_minhash, packing, queries, token_counts, toxicity, url_filter, vocabularies
+from lexgauge.llm import audio, bpe_codec, common, graph, jaccard_join, license_scan, line_templates, order_minhash, packing, queries, token_counts, toxicity, url_filter, vocabularies
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -306,7 +306,7 @@ def chain(n, step, width, start=0):
     return [" ".join(f"c{j}" for j in range(start + i * step, start + i * step + width)) for i in range(n)]
 
 
-@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(k=5, num=80), jaccard_join.Settings(k=2, num=60, rounds=1), jaccard_join.Settings(count_bits=0, broadcast_rows=0), jaccard_join.Settings(k=2, num=60, window_rows=1)])
+@pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(k=5, num=80), jaccard_join.Settings(k=2, num=60, rounds=1), jaccard_join.Settings(count_bits=0, broadcast_rows=0), jaccard_join.Settings(k=2, num=60, window_rows=1), jaccard_join.Settings(k=1, num=55, window_rows=0)])
 def test_jaccard_components(spark, docs, settings):
     texts = [r.text for r in docs.limit(40).collect()] + chain(30, 2, 60) + chain(25, 12, 60, 5000) + ["", None, " ", "one", "One", "two words", "TWO\twords", LONG, LONG + "end"]
     texts += [" ".join(["same"] * 5 + [f"u{i}"] * 3) for i in range(20)]
@@ -324,6 +324,24 @@ def test_jaccard_edge_cases(spark, odd, none):
     assert [r.component_id for r in rows if r.doc_id is None] == [3]
 
 
+def test_shared_ids_join_nothing(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(3, one), (3, two), (1, one + " x"), (2, two + " y"), (3, one), (None, two), (None, "alone")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == [(0, 0), (0, 2), (1, 1), (2, 2), (3, 1), (3, 1), (3, 2)]
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark).removeprefix("file:")) / "lexgauge"
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(chain(20, 2, 60))], "doc_id long, text string")
+    out = jaccard_join.jaccard_components(df)
+    assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before} == {"jaccard-members", "jaccard-components"}
+    assert {r.component_id for r in out.collect()} == {0}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(130, 140), (140, 131), (7, 7)]
     got = {r.node: r.component for r in graph.connected_components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -388,7 +406,7 @@ def brute_lines(rows, s):
     for i, t, no, w, raw in parsed:
         leaf = ("lead", len(w), *w[: s.depth])
         if len(texts[leaf]) < 2:
-            if len(w) <= s.min_tokens:
+            if len(w) <= s.min_tokens or not s.last_tokens:
                 continue
             leaf = ("tail", len(w), *w[-s.depth :])
             texts[leaf].add(t)
@@ -424,7 +442,7 @@ def test_lines_against_brute_force(spark, docs):
         rows.append((10_000 + k, "\n".join(lines)))
     rows += [(20_000 + i, f"tab\there  and  spaces {w}\r\n \t \n{w} ends alike for all of them") for i, w in enumerate(["x", "y", "z"])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for s in (line_templates.Settings(), line_templates.Settings(min_docs=3, short_docs=4, broadcast_rows=0)):
+    for s in (line_templates.Settings(), line_templates.Settings(last_tokens=True), line_templates.Settings(min_docs=3, short_docs=4, last_tokens=True, broadcast_rows=0)):
         want = brute_lines(rows, s)
         got = {(r.id, r.line_no): r.template for r in line_templates.recurring_lines(df, s).collect()}
         assert set(got) == set(want) and len(set(got.values())) == len(set(want.values())) == len({(got[k], want[k]) for k in want})
@@ -438,14 +456,15 @@ def test_lines_against_brute_force(spark, docs):
 
 
 def test_families_of_a_leaf(spark):
-    """Two templates of one path, and one that varies in its second token; short lines need ten texts."""
+    """Two templates of one path; short lines need ten texts; a template that varies in its second token is found by its last ones."""
     names = ["anna", "bert", "carl", "dora"]
     rows = [(i, f"we have seen {w} walk along the old river bank today") for i, w in enumerate(names[:3])]
     rows += [(10 + i, f"we have seen how prices of {w} went up since then") for i, w in enumerate(["milk", "salt", "corn"])]
     rows += [(20 + i, f"user {w} has just joined the channel") for i, w in enumerate(names)]
     rows += [(40 + i, f"read more\n{'abcdefghijkl'[i]} alone") for i in range(10)] + [(60 + i, f"see also\n{'abcdefghijkl'[i]} only") for i in range(9)]
-    out = {r.doc_id: r.n_dropped for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {i for i, n in out.items() if n} == {1, 2, 11, 12, 21, 22, 23, *range(41, 50)} and max(out.values()) == 1
+    for settings, more in ((line_templates.Settings(), set()), (line_templates.Settings(last_tokens=True), {21, 22, 23})):
+        out = {r.doc_id: r.n_dropped for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), settings).collect()}
+        assert {i for i, n in out.items() if n} == {1, 2, 11, 12, *range(41, 50)} | more and max(out.values()) == 1
 
 
 def test_very_long_lines(spark):

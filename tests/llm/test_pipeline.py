@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,25 @@ def test_near_duplicates_leave_one_of_each_group(spark, docs):
     assert sorted(r.doc_id for r in got) == want
 
 
+def test_near_duplicates_and_ids(spark):
+    """Shared ids, rows without an id, null and empty texts: each row's fate."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, one), (3, two), (1, one + " x"), (4, two + " y"), (3, one), (5, None), (5, None), (6, ""), (7, ""), (None, one), (None, one), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect())
+    assert got == Counter([(1, one + " x"), (3, two), (5, None), (6, ""), (7, ""), (None, one), (None, one), (None, None)])
+
+
+def test_toxic_stage_against_the_model(spark, docs):
+    """The stage keeps the rows that the model, called text by text, scores under 0.5."""
+    from lexgauge.llm import toxicity
+
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    more = docs.unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    want = sorted((r.doc_id, r.text or "") for r in more.collect() if model.score(r.text or "") < 0.5)
+    assert sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_toxic(spark, more, SF).collect()) == want
+
+
 def test_lines_stage_keeps_clean_documents(spark):
     common = "this very line of words is found in many of the texts"
     rows = [(i, f"text {chr(97 + i)}{chr(98 + i)} alone has this line of words\n{common}", "en", "s", 1) for i in range(5)] + [(9, common, "en", "s", 1), (10, "", "en", "s", 0), (11, None, "en", "s", None)]
