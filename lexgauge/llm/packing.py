@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -11,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lean, materialize, slices, text_values
-from .vocabularies import WordEndBPE, encoder, read_vocabulary, runs
+from .common import documents, give_back, lean, materialize, slices, text_values
+from .vocabularies import WordEndBPE, encoder, id_dtype, read_vocabulary, runs
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, settings: Settings, i
 
 
 def id_type(tokenizer_path: str) -> np.dtype:
-    data, version = read_vocabulary(tokenizer_path)
-    return encoder(WordEndBPE, version, data).dtype
+    """As the encoder's, without building one on the driver."""
+    spec = json.loads(read_vocabulary(tokenizer_path)[0])
+    return id_dtype(max(max(spec["model"]["vocab"].values()), *[t["id"] for t in spec["added_tokens"]]))
 
 
 def distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,6 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, settings: Settings = Se
     dtype = id_type(tokenizer_path)
     encoded = materialize(spark, encode_documents(docs, tokenizer_path, settings, id_col, text_col), "packing-ids")
     df, n_docs, mean = document_frequencies(encoded, dtype)
+    give_back()
     held = spark.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)))
     shards = max(1, int(n_docs * mean / settings.shard_tokens / 2) + 1)
     dealt = encoded.repartitionByRange(shards, "place", "id").sortWithinPartitions("place", "id", "ids")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, lean, materialize, scratch, slices, text_values
+from .common import documents, give_back, lean, materialize, scratch, slices, text_values
+from .vocabularies import runs
 
 BITS = 20  # n-grams are hashed into 2**BITS features
 ORDERS = (4, 5, 6)  # bytes of an n-gram
@@ -87,20 +88,28 @@ def choose(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, most: int)
     return np.sort(best[z[best] > 2])
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on ratio-scaled presence features, by accelerated gradient steps; the rarer class weighs more."""
-    at = np.concatenate([r for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    x = ratios[at]
+def fit_linear(at: np.ndarray, ends: np.ndarray, y: np.ndarray, ratios: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on ratio-scaled presence features, by accelerated gradient steps; the rarer class weighs more.
+
+    ``at`` holds the rows' features one row after another, ``ends`` where each row's end.
+    """
     w, b = np.zeros(len(ratios)), 0.0
     weigh = np.where(y > 0, np.sqrt((len(y) - y.sum()) / y.sum()), 1.0)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     n = len(y)
+    blocks = [(a, min(a + 1024, n)) for a in range(0, n, 1024)]  # of rows: bounds the products held at a time
+    first = np.append(0, ends)
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, weights=w[at] * x, minlength=n)
-        g = weigh * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        gw = (np.bincount(at, weights=g[row] * x, minlength=len(w)) + ridge * w) / n
-        gb = g.mean()
+        gw, gb = ridge * w, 0.0
+        scaled = w * ratios
+        for i, j in blocks:
+            own, size = at[first[i] : first[j]], np.diff(first[i : j + 1])
+            row = np.repeat(np.arange(j - i), size)
+            z = b + np.bincount(row, weights=scaled[own], minlength=j - i)
+            g = weigh[i:j] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[i:j])
+            gw = gw + np.bincount(own, weights=g[row], minlength=len(w)) * ratios
+            gb += g.sum()
+        gw, gb = gw / n, gb / n
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 * min(1.0, 2 * (1 - t / (steps + 1)))
@@ -123,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     2**BITS counts and ``max_train_rows`` rows of at most ``max_features`` ids.
     """
     with scratch(docs.sparkSession):
-        return fit_sample(docs, labels, settings, label_col, id_col, text_col)
+        model = fit_sample(docs, labels, settings, label_col, id_col, text_col)
+    give_back()
+    return model
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, settings: Settings, label_col: str, id_col: str, text_col: str) -> Model:
@@ -146,11 +157,13 @@ def fit_sample(docs: DataFrame, labels: DataFrame, settings: Settings, label_col
 
     counts = sample.mapInArrow(lean(count), "feature int, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
     at, p, n = (counts.column(k).to_numpy() for k in range(3))
+    del counts
     n_pos, n_neg = (int(x[at == -1].sum()) for x in (p, n))
     if not n_pos or not n_neg:
         return Model(n_pos / max(1, n_pos + n_neg))
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
     pos[at[at >= 0]], neg[at[at >= 0]] = p[at >= 0], n[at >= 0]
+    del at, p, n
     chosen = choose(pos, neg, n_pos, n_neg, settings.max_features)
     ratios = log_count_ratios(pos[chosen], neg[chosen], n_pos, n_neg, settings.smoothing)
     weights = np.zeros(1 << BITS, np.float32)
@@ -165,9 +178,13 @@ def fit_sample(docs: DataFrame, labels: DataFrame, settings: Settings, label_col
 
     rows = sample.mapInArrow(lean(present), "y int, ids array<int>").toArrow()
     y = (rows.column(0).to_numpy() > 0).astype(float)
-    ids = [np.searchsorted(chosen, np.asarray(x, np.int64)) for x in rows.column(1).to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (y[i], ids[i].tobytes()))  # the same sums in whatever order rows came
-    w, b = fit_linear([ids[i] for i in order], y[order], ratios, settings.ridge, settings.steps)
+    held = rows.column(1).combine_chunks()
+    ids, first = np.searchsorted(chosen, held.flatten().to_numpy()).astype(np.int32), held.offsets.to_numpy()
+    first = first - first[0]
+    del rows, held
+    order = sorted(range(len(y)), key=lambda i: (y[i], ids[first[i] : first[i + 1]].tobytes()))  # the same sums in whatever order rows came
+    size = np.diff(first)[order]
+    w, b = fit_linear(runs(ids, first[order], size), np.cumsum(size), y[order], ratios, settings.ridge, settings.steps)
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w * ratios
     return Model(b, weights)

@@ -30,6 +30,10 @@ def read_vocabulary(path: str) -> tuple[bytes, str]:
     return data, hashlib.sha256(data).hexdigest()
 
 
+def id_dtype(largest: int) -> np.dtype:
+    return np.dtype("<u2" if largest < (1 << 16) - 1 else "<u4")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -172,7 +176,7 @@ class WordEndBPE:
         top = max(self.names) + 1
         self._stop, single = top + 2, {self.END: top, self.CUT: top + 1, b"\n" + self.END: top + 2}
         self._core = tiktoken.Encoding("word-end", pat_str="[^\1]+", mergeable_ranks=ranks | single, special_tokens={})._core_bpe
-        self.dtype = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.dtype = id_dtype(top - 1)
         self.memo = _Memo()
 
     @cached_property
