@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +13,8 @@ _PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
 
 def characters(t: Column) -> Column:
-    """Code points without white space."""
-    return F.filter(F.split(F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", ""), ""), lambda c: c != "")
+    """The text without white space."""
+    return F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", "")
 
 
 def word_tokens(t: Column) -> Column:
@@ -24,33 +27,38 @@ def word_tokens(t: Column) -> Column:
     return F.flatten(F.transform(words, cut))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """The n-grams as texts; none of a shorter list."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), "\x1f"))
+def overlap(chars_h: pd.Series, words_h: pd.Series, chars_r: pd.Series, words_r: pd.Series) -> pd.Series:
+    """For each order the clipped matches and both totals of a segment, as one list."""
+
+    def counts(units, n: int) -> Counter:
+        return Counter(units[i : i + n] for i in range(len(units) - n + 1))
+
+    rows = []
+    for ch, wh, cr, wr in zip(chars_h, words_h, chars_r, words_r):
+        sums: list[int] = []
+        for h, r, most in ((ch, cr, CHARS), (tuple(wh), tuple(wr), WORDS)):
+            for n in range(1, most + 1):
+                a, b = counts(h, n), counts(r, n)
+                sums += [sum(min(k, b[g]) for g, k in a.items() if g in b), max(0, len(h) - n + 1), max(0, len(r) - n + 1)]
+        rows.append(sums)
+    return pd.Series(rows)
 
 
 def corpus_chrf(df: DataFrame, groups: list[str], hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
     """(groups, chrf): clipped matches and totals of each order are summed over the segments first.
 
-    n-grams are counted within a segment before they meet, so only counts by
-    (segment, order, n-gram) are shuffled, and only eight sums a group go on.
+    n-grams meet only within a segment, so they are counted there, in one Arrow stage;
+    what is shuffled is the partial sums of each group.
     """
-    rows = df.select(*groups, F.monotonically_increasing_id().alias("__seg"), hypothesis, reference)
-    rows = rows.withColumns({f"__{kind}{side}": f(F.col(c)) for side, c in (("h", hypothesis), ("r", reference)) for kind, f in (("c", characters), ("w", word_tokens))})
-    orders = [*(("c", n) for n in range(1, CHARS + 1)), *(("w", n) for n in range(1, WORDS + 1))]
-
-    def grams(side: str) -> DataFrame:
-        def numbered(order: int, grams: Column) -> Column:
-            return F.transform(grams, lambda g: F.struct(F.lit(order).alias("__o"), g.alias("__g")))
-
-        every = F.concat(*[numbered(i, ngrams(F.col(f"__{kind}{side}"), n)) for i, (kind, n) in enumerate(orders)])
-        return rows.select(*groups, "__seg", F.explode(every).alias("e")).select(*groups, "__seg", "e.__o", "e.__g")
-
-    both = grams("h").withColumns({"h": F.lit(1), "r": F.lit(0)}).unionByName(grams("r").withColumns({"h": F.lit(0), "r": F.lit(1)}))
-    counts = both.groupBy(*groups, "__seg", "__o", "__g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    sums = counts.groupBy(*groups, "__o").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where((F.col("h") > 0) & (F.col("r") > 0))
-    averaged = sums.groupBy(*groups).agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))
+    count = F.pandas_udf(overlap, "array<bigint>")
+    sums = count(*[f(F.col(c)) for c in (hypothesis, reference) for f in (characters, word_tokens)])
+    orders = CHARS + WORDS
+    rows = df.select(*groups, sums.alias("__s"))
+    total = rows.groupBy(*groups).agg(*[F.sum(F.get("__s", F.lit(i))).alias(f"__s{i}") for i in range(3 * orders)])
+    each = F.array(*[F.struct(F.col(f"__s{3 * i}").alias("m"), F.col(f"__s{3 * i + 1}").alias("h"), F.col(f"__s{3 * i + 2}").alias("r")) for i in range(orders)])
+    held = total.select(*groups, F.filter(each, lambda e: (e["h"] > 0) & (e["r"] > 0)).alias("e"))
+    mean = lambda side: F.aggregate("e", F.lit(0.0), lambda acc, e: acc + e["m"] / e[side]) / F.nullif(F.size("e"), F.lit(0))
+    averaged = held.select(*groups, mean("h").alias("p"), mean("r").alias("q"))
     b2 = BETA * BETA
     score = 100 * (1 + b2) * F.col("p") * F.col("q") / (b2 * F.col("p") + F.col("q"))
     return averaged.select(*groups, F.coalesce(F.when(F.col("p") + F.col("q") > 0, score), F.lit(0.0)).alias("chrf"))

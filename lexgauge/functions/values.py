@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 KEY = ["model_name", "run_id", "id", "input_variant"]
 KEY_DEFAULTS = {"run_id": "1", "id": "", "input_variant": "standard"}
@@ -38,6 +39,14 @@ def as_float(c: Column | str) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def number_of(df: DataFrame, c: str) -> Column:
+    """``as_float`` of a column; one that holds numbers already is not turned into text and back."""
+    if not isinstance(df.schema[c].dataType, NumericType):
+        return as_float(c)
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
 def to_int(c: Column | str) -> Column:
     """A number cut to its whole part, else null; out of range is null."""
     x = as_float(c)

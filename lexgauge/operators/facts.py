@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgauge.functions.values import as_bool, as_float, text, trimmed
+from lexgauge.functions.values import as_bool, number_of, text, trimmed
 
 # Names under which score files carry a metric, the first numeric one counts.
 COMET_NAMES = ["comet_score", "comet", "score"]
@@ -25,7 +25,7 @@ def typed(facts: DataFrame) -> DataFrame:
     has = set(facts.columns)
     cell = lambda c: text(c) if c in has else F.lit("")
     flag = lambda c: as_bool(cell(c)) if c in has else F.lit(None).cast("boolean")
-    number = lambda names: F.coalesce(*[as_float(c) for c in names if c in has], F.lit(None).cast("double"))
+    number = lambda names: F.coalesce(*[number_of(facts, c) for c in names if c in has], F.lit(None).cast("double"))
     success = F.coalesce(flag("request_success"), F.lit(False))
     empty = F.coalesce(flag("empty_output"), trimmed(cell("translation_ja")) == "")
     marks = F.lit(False)

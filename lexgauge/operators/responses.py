@@ -62,23 +62,31 @@ def replay_stream(raw: Column) -> Column:
     Deltas are joined in order; the last finish reason, usage and timings that are
     there hold; ``bad`` counts events that are no JSON object.
     """
+    def let(value: Column, body) -> Column:
+        """``body(value)``, evaluating ``value`` once."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def up_to_stop(data: Column) -> Column:
+        stop = F.array_position(data, "[DONE]")
+        return F.filter(F.when(stop > 0, F.slice(data, F.lit(1), (stop - 1).cast("int"))).otherwise(data), lambda x: x != "")
+
+    def fields(events: Column) -> Column:
+        delta = lambda e: F.get(e["body"]["choices"], 0)["delta"]
+        joined = lambda f: F.array_join(F.filter(F.transform(events, f), lambda x: x.isNotNull()), "")
+        last = lambda f: F.get(F.reverse(F.filter(F.transform(events, f), lambda x: x.isNotNull())), 0)
+        return F.struct(
+            joined(lambda e: delta(e)["content"]).alias("content"),
+            joined(lambda e: _filled(delta(e)["reasoning_content"], delta(e)["reasoning"])).alias("reasoning"),
+            F.coalesce(last(lambda e: F.get(e["body"]["choices"], 0)["finish_reason"]), F.lit("")).alias("finish_reason"),
+            last(lambda e: e["body"]["usage"]).alias("usage"),
+            last(lambda e: e["body"]["timings"]).alias("timings"),
+            F.size(F.filter(events, lambda e: e["bad"])).alias("bad"),
+        )
+
     lines = F.filter(F.split(F.coalesce(raw, F.lit("")), "\r?\n"), lambda x: F.startswith(x, F.lit("data:")))
-    data = F.transform(lines, lambda x: F.trim(F.substring(x, F.lit(6), F.length(x))))
-    stop = F.array_position(data, "[DONE]")
-    data = F.filter(F.when(stop > 0, F.slice(data, F.lit(1), (stop - 1).cast("int"))).otherwise(data), lambda x: x != "")
-    events = F.transform(data, lambda x: F.from_json(x, EVENT))
-    delta = lambda e: F.get(e["choices"], 0)["delta"]
-    joined = lambda f: F.array_join(F.filter(F.transform(events, f), lambda x: x.isNotNull()), "")
-    last = lambda f: F.get(F.reverse(F.filter(F.transform(events, f), lambda x: x.isNotNull())), 0)
-    bad = F.size(F.filter(data, lambda x: F.json_object_keys(x).isNull()))
-    return F.struct(
-        joined(lambda e: delta(e)["content"]).alias("content"),
-        joined(lambda e: _filled(delta(e)["reasoning_content"], delta(e)["reasoning"])).alias("reasoning"),
-        F.coalesce(last(lambda e: F.get(e["choices"], 0)["finish_reason"]), F.lit("")).alias("finish_reason"),
-        last(lambda e: e["usage"]).alias("usage"),
-        last(lambda e: e["timings"]).alias("timings"),
-        bad.alias("bad"),
-    )
+    data = let(F.transform(lines, lambda x: F.trim(F.substring(x, F.lit(6), F.length(x)))), up_to_stop)
+    parsed = F.transform(data, lambda x: F.struct(F.from_json(x, EVENT).alias("body"), F.json_object_keys(x).isNull().alias("bad")))
+    return let(parsed, fields)
 
 
 def parse_responses(rows: DataFrame, raw: str = "raw_response") -> DataFrame:

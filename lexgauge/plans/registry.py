@@ -438,8 +438,9 @@ def english_residue(spark, sf_dir):
     return p.select("id", F.round("r.ratio", 4).alias("english_character_ratio"), F.col("r.detected").alias("english_residue_detected"))
 
 
-@query("longest_source_match", f"""{cte('pairs')}, t AS (SELECT id, lower(substr(source_en, 1, 60)) AS a, lower(substr(translation_ja, 1, 60)) AS b FROM pairs), s AS (SELECT id, a, b, unnest(range(1, length(a) + 1)) AS i FROM t),
-l AS (SELECT id, a, b, i, unnest(range(1, length(a) - i + 2)) AS n FROM s) SELECT t.id, coalesce(max(n), 0)::int AS longest_source_match FROM t LEFT JOIN l ON t.id = l.id AND contains(l.b, substr(l.a, l.i, l.n)) GROUP BY t.id""")
+# the longest run that ends at a place is at most one longer than any before, so one pass over the places finds it
+@query("longest_source_match", f"""{cte('pairs')}, t AS (SELECT id, lower(source_en) AS a, lower(translation_ja) AS b FROM pairs)
+SELECT id, list_reduce(list_prepend(0::bigint, range(1, length(a) + 1)), lambda n, i: CASE WHEN contains(b, substr(a, i - n, n + 1)) THEN n + 1 ELSE n END)::int AS longest_source_match FROM t""")
 def longest_source_match(spark, sf_dir):
     return view(spark, sf_dir, "pairs").select("id", rules.longest_source_match(F.col("source_en"), F.col("translation_ja")).alias("longest_source_match"))
 
@@ -465,9 +466,9 @@ def status_counts(spark, sf_dir):
     return rules.status_counts(evaluated(spark, sf_dir))
 
 
-@query("normalize_text", r"SELECT doc_id, regexp_replace(trim(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), ' ' || chr(9) || chr(10)), '[ \t\f\x0B]+', ' ', 'g') AS normalized FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x{17F}]') AND NOT regexp_matches(text, '[\x{A0}-\x{BF}\x{132}-\x{133}\x{13F}-\x{140}\x{149}\x{17F}]')")
+@query("normalize_text", r"SELECT doc_id, regexp_replace(trim(regexp_replace(nfc_normalize(coalesce(text, '')), '\r\n?', chr(10), 'g'), ' ' || chr(9) || chr(10)), '[ \t\f\x0B]+', ' ', 'g') AS normalized FROM documents")
 def normalize_text(spark, sf_dir):
-    """All texts; the SQL has no NFKC and holds only those whose characters have no compatibility form."""
+    """All texts.  The SQL reads all of them too but knows NFC alone, so it differs where a character has a compatibility form."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", rules.normalize_text("text").alias("normalized"))
 
@@ -481,13 +482,27 @@ def typed_values(spark, sf_dir):
 # --- corpus scores and review samples ----------------------------------------------
 
 
-@query("chrf_corpus")
+_chars = "list_transform(range(1, greatest(length({c}) - {n} + 2, 1)), lambda i: {{'o': {o}, 'g': substr({c}, i, {n})}})"
+_words = "list_transform(range(1, greatest(len({c}) - {n} + 2, 1)), lambda i: {{'o': {o}, 'g': array_to_string({c}[i : i + {n} - 1], chr(31))}})"
+_grams = lambda c, w: " || ".join([_chars.format(c=c, n=n, o=n) for n in range(1, 7)] + [_words.format(c=w, n=n, o=6 + n) for n in (1, 2)])
+_mark = "'[!-/:-@\\[-`{|}~]'"
+_cut = f"CASE WHEN length(w) > 1 AND regexp_matches(right(w, 1), {_mark}) THEN [left(w, length(w) - 1), right(w, 1)] WHEN length(w) > 1 AND regexp_matches(left(w, 1), {_mark}) THEN [left(w, 1), substr(w, 2)] ELSE [w] END"
+_tokens = lambda t: f"flatten(list_transform(list_filter(string_split_regex({t}, '\\s+'), lambda w: w <> ''), lambda w: {_cut}))"
+CHRF = f"""{cte('pairs')}, seg AS (SELECT id, input_variant, regexp_replace(translation_ja, '\\s+', '', 'g') AS hc, regexp_replace(reference_ja, '\\s+', '', 'g') AS rc, {_tokens('translation_ja')} AS hw, {_tokens('reference_ja')} AS rw FROM pairs),
+g AS (SELECT id, input_variant, 1 AS h, 0 AS r, unnest({_grams('hc', 'hw')}) AS e FROM seg UNION ALL SELECT id, input_variant, 0, 1, unnest({_grams('rc', 'rw')}) FROM seg),
+c AS (SELECT id, input_variant, e.o AS o, e.g AS g, sum(h) AS h, sum(r) AS r FROM g GROUP BY ALL),
+s AS (SELECT input_variant, o, sum(least(h, r)) AS m, sum(h) AS h, sum(r) AS r FROM c GROUP BY ALL HAVING sum(h) > 0 AND sum(r) > 0),
+a AS (SELECT input_variant, avg(m / h::double) AS p, avg(m / r::double) AS q FROM s GROUP BY input_variant),
+score AS (SELECT input_variant, round(CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0 END, 4) + 0.0::double AS chrf FROM a)"""
+
+
+@query("chrf_corpus", f"{CHRF} SELECT input_variant, chrf FROM score")
 def chrf_corpus(spark, sf_dir):
     p = view(spark, sf_dir, "pairs").select("input_variant", F.col("translation_ja").alias("hypothesis"), F.col("reference_ja").alias("reference"))
     return rounded(chrf.corpus_chrf(p, ["input_variant"]))
 
 
-@query("chrf_drop")
+@query("chrf_drop", f"{CHRF} SELECT round(max(CASE WHEN input_variant = 'standard' THEN chrf END) - max(CASE WHEN input_variant = 'context' THEN chrf END), 4) + 0.0::double AS chrf_drop FROM score")
 def chrf_drop(spark, sf_dir):
     c = chrf_corpus(spark, sf_dir)
     return rounded(c.agg((F.max(F.when(F.col("input_variant") == "standard", F.col("chrf"))) - F.max(F.when(F.col("input_variant") == "context", F.col("chrf")))).alias("chrf_drop")))
@@ -512,13 +527,13 @@ def blinded_sample(spark, sf_dir):
 @query("bootstrap_interval")
 def bootstrap_interval(spark, sf_dir):
     f = typed(facts(spark, sf_dir)).where("input_variant = 'standard' AND run_id = '1'")
-    return rounded(sampling.bootstrap(f, ["model_name"], "f_comet", 200))
+    return rounded(sampling.bootstrap(f, ["model_name"], "f_comet"))
 
 
 @query("paired_significance")
 def paired_significance(spark, sf_dir):
     f = typed(facts(spark, sf_dir)).where("input_variant = 'standard' AND run_id = '1'")
-    return rounded(sampling.paired_p_value(f, "f_comet", "model-0", "model-1", 200))
+    return rounded(sampling.paired_p_value(f, "f_comet", "model-0", "model-1"))
 
 
 @query("sorted_facts", f"{cte('facts')} SELECT event_id, model_name || '|' || run_id || '|' || id || '|' || input_variant AS key_string, trim(translation_ja) AS said FROM facts")

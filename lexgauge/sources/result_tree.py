@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -85,10 +86,16 @@ def _by_header(spark: SparkSession, files: list[str], encoding: str) -> dict[tup
     return out
 
 
-def load_bundle(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[DataFrame | None, DataFrame]:
+def is_smoke(file: str, bundle: str) -> bool:
+    """Whether a file lies in a folder named smoke below its bundle."""
+    plain = lambda p: re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", p).rstrip("/")
+    return "smoke" in plain(file).removeprefix(plain(bundle)).split("/")[:-1]
+
+
+def load_bundle(spark: SparkSession, path: str, encoding: str = "UTF-8", exclude_smoke: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """(facts, findings) of one folder; no facts if it lacks raw or rule files."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
-    found = {k: find_files(spark, path, p) for k, p in KINDS.items()}
+    found = {k: [f for f in find_files(spark, path, p) if not (exclude_smoke and is_smoke(f, path))] for k, p in KINDS.items()}
     notes: list[DataFrame] = []
     note = lambda severity, file, issue: notes.append(spark.createDataFrame([(severity, name, file, "", issue)], ", ".join(f"{c} string" for c in FINDING)))
     for k in ("raw", "rule"):
@@ -138,14 +145,15 @@ def load_tree(spark: SparkSession, root: str, models: list[str] | None = None, e
     """All bundles of a result tree as one fact table, and all findings.
 
     ``models`` keeps whole bundles by folder name or by the model name of any row.
-    Smoke runs are left out only on request.
+    Smoke runs (a bundle of that name, or a folder of that name within one) are left out
+    only on request.
     """
     frames, notes, names = [], [], []
     for path in bundle_dirs(spark, root):
         name = path.rstrip("/").rsplit("/", 1)[-1]
         if exclude_smoke and name == "smoke":
             continue
-        facts, bad = load_bundle(spark, path, encoding)
+        facts, bad = load_bundle(spark, path, encoding, exclude_smoke)
         notes.append(bad)
         if facts is None:
             continue

@@ -54,6 +54,16 @@ def test_missing_columns_skip_the_file(spark, tmp_path):
     assert any("missing columns: total_latency_ms" in r.issue for r in t.findings.collect())
 
 
+def test_smoke_runs(spark, tmp_path):
+    """Smoke runs lie in a folder within a bundle, or are a bundle; a name that only holds the word is none."""
+    for d, i in (("smoke-lab/smoke", "s"), ("smoke-lab/standard", "k"), ("smoke", "b")):
+        put(tmp_path, f"{d}/run_001_raw_results.csv", f"{KEY},request_success,total_latency_ms\nm,1,{i},standard,true,5\n")
+        put(tmp_path, f"{d}/run_001_rule_evaluation.csv", f"{KEY},rule_check_status\nm,1,{i},standard,PASS\n")
+    ids = lambda **a: sorted(r.id for r in result_tree.load_tree(spark, str(tmp_path), **a).facts.collect())
+    assert ids() == ["b", "k", "s"] and ids(exclude_smoke=True) == ["k"]
+    assert result_tree.is_smoke("file:/a/smoke/b/smoke/x.csv", "/a/smoke/b") and not result_tree.is_smoke("file:///a/smoke/b/x.csv", "file:/a/smoke/b/")
+
+
 def test_aggregate_command(spark, tree, tmp_path_factory):
     out = tmp_path_factory.mktemp("out")
     call = ["aggregate", "--results-dir", str(tree), "--output-dir", str(out)]
