@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,18 @@ Do not invent information that is not present in the source text.
 """
 
 
+# The columns of a collected result, in order.
+RESULT_COLUMNS = [
+    *INHERITED,
+    "model_name", "api_model", "model_file", "quantization", "run_id", "input_variant", "execution_index", "started_at", "completed_at", "system_prompt_hash",
+    "input_text", "translation_ja", "reasoning_content", "finish_reason", "total_latency_ms", "ttft_ms", "stream_duration_ms",
+    "prompt_tokens", "completion_tokens", "total_tokens", "prompt_ms", "prompt_tokens_per_second", "generation_ms", "generation_tokens_per_second", "cached_tokens",
+    "request_success", "http_status", "attempt_count", "retry_count", "error_type", "error",
+    "temperature", "top_p", "top_k", "min_p", "max_tokens", "seed", "stream", "timeout_seconds", "total_elapsed_with_retries_ms",
+    "concurrency", "requests_per_second", "batch_total_time_ms", "raw_response",
+]
+
+
 class ValidationError(ValueError):
     def __init__(self, message: str, exit_code: int = 3):
         super().__init__(message)
@@ -135,17 +148,9 @@ def payload(model: str, prompt: str, text_column: str = "input_text", temperatur
         F.lit(seed).alias("seed"),
         F.lit(stream).alias("stream"),
     ]
-    for k, v in optional.items():
-        if v is None:
-            continue
-        if isinstance(v, dict):
-            v = F.create_map(*[F.lit(x) for kv in v.items() for x in kv])
-        elif isinstance(v, (list, tuple)):
-            v = F.array(*[F.lit(x) for x in v])
-        else:
-            v = F.lit(v)
-        cells.append(v.alias(k))
-    return F.to_json(F.struct(*cells))
+    more = "".join(f",{json.dumps(k)}:{json.dumps(v, ensure_ascii=False, separators=(',', ':'))}" for k, v in optional.items() if v is not None)
+    base = F.to_json(F.struct(*cells))
+    return F.concat(F.substring(base, F.lit(1), F.length(base) - 1), F.lit(more + "}")) if more else base
 
 
 def pending(items: DataFrame, done: DataFrame | None, keys: list[str], retry_failed: bool = False) -> DataFrame:

@@ -93,3 +93,25 @@ def parse_responses(rows: DataFrame, raw: str = "raw_response") -> DataFrame:
     """All columns and the fields of each stored body."""
     df = rows.withColumn("__r", response_fields(F.col(raw)))
     return df.select(*[c for c in rows.columns if c not in (*FIELDS, "error_type", "error")], "__r.*")
+
+
+def stream_body(raw: Column) -> Column:
+    """A stored event stream as the JSON body that an unstreamed call would have returned."""
+    r = replay_stream(raw)
+    message = lambda x: F.struct(x["content"].alias("content"), x["reasoning"].alias("reasoning_content"))
+    body = lambda x: F.to_json(F.struct(F.array(F.struct(message(x).alias("message"), x["finish_reason"].alias("finish_reason"))).alias("choices"), x["usage"].alias("usage"), x["timings"].alias("timings")))
+    return F.element_at(F.transform(F.array(r), body), 1)
+
+
+def judged(answers: DataFrame, stream: bool = False) -> DataFrame:
+    """The fields of each answer (``completions.RESULT``), and ``request_success``: it arrived and holds a text or reasoning.
+
+    A call that failed has no fields and keeps its own error; one that succeeded has neither error.
+    """
+    raw = F.col("raw_response")
+    df = answers.withColumn("__r", response_fields(F.when(F.col("ok"), stream_body(raw) if stream else raw)))
+    good = F.col("ok") & (F.col("__r.error_type") == "")
+    said = lambda c: F.when(F.col("ok"), F.col(f"__r.{c}"))
+    named = {c: F.coalesce(said(c), F.lit("")) if c in FIELDS[:3] else said(c) for c in FIELDS}
+    wrong = {c: F.when(good, "").when(F.col("ok"), F.col(f"__r.{c}")).otherwise(F.col(c)) for c in ("error_type", "error")}
+    return df.withColumns({**named, **wrong, "request_success": good}).drop("__r")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import math
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -13,13 +14,13 @@ from pyspark.sql import functions as F
 from lexgauge.operators.inputs import positioned
 
 
-def cell(v) -> str:
-    """None, NaN and infinities are blank, floats have six places, booleans are true and false."""
+def cell(v, places: int = 6) -> str:
+    """None, NaN and infinities are blank, floats have ``places`` decimals, booleans are true and false."""
     if v is None or isinstance(v, float) and not math.isfinite(v):
         return ""
     if isinstance(v, bool):
         return "true" if v else "false"
-    return f"{v:.6f}" if isinstance(v, float) else str(v)
+    return f"{v:.{places}f}" if isinstance(v, float) else str(v)
 
 
 def write_csv(df: DataFrame, path: str | Path, columns: list[str] | None = None, overwrite: bool = False) -> None:
@@ -52,11 +53,44 @@ def write_all(reports: dict[str, tuple[DataFrame, list[str]]], folder: str | Pat
         write_csv(df, folder / name, columns, True)
 
 
+def prepare_results(path: str | Path, overwrite: bool = False, resume: bool = False) -> None:
+    """An empty or resumed result file; one that is there and neither replaced nor resumed is an error."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    if path.exists() and not overwrite and not resume:
+        raise FileExistsError(f"{path} exists: resume or overwrite it")
+    path.open("w" if overwrite else "a").close()
+
+
+def append_rows(rows: list, columns: list[str], path: str | Path) -> None:
+    """Append a batch of results to one CSV file, with a header if it is empty; on disk when this returns."""
+    with Path(path).open("a", encoding="utf-8", newline="") as f:
+        out = csv.writer(f, lineterminator="\r\n")
+        if f.tell() == 0:
+            out.writerow(columns)
+        out.writerows([cell(r[c], 3) for c in columns] for r in rows)
+        f.flush()
+        os.fsync(f.fileno())
+
+
 def append_results(df: DataFrame, path: str) -> None:
     """Append a batch of results as Parquet; a job that fails leaves no part of it."""
     df.write.mode("append").parquet(path)
 
 
+def write_lines(lines: DataFrame, path: str | Path, overwrite: bool = False) -> int:
+    """The lines of ``corpus_lines`` as one UTF-8 text file in their order; they stream through the driver."""
+    path = Path(path)
+    if path.exists() and not overwrite:
+        raise FileExistsError(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    n = 0
+    with path.open("w", encoding="utf-8", newline="\n") as f:
+        for n, row in enumerate(lines.orderBy("line_no").select("line").toLocalIterator(), 1):
+            f.write(row[0] + "\n")
+    return n
+
+
 def corpus_lines(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
     """(line_no, id, line): one line an item by id, line breaks as spaces."""
     one = F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), "\r\n|\n|\r", " "))

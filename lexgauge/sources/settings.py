@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import fields
+from pathlib import Path
 
+from lexgauge.operators.inputs import SYSTEM_PROMPT
 from lexgauge.operators.summaries import Thresholds
 
 
@@ -49,6 +51,26 @@ def parse(data: str) -> dict:
     return out
 
 
+def read_settings(path: str | Path, label: str) -> str:
+    try:
+        return Path(path).read_text("utf-8-sig")
+    except OSError as e:
+        raise ValueError(f"cannot read {label}: {e}") from e
+
+
+def system_prompt(path: str | Path | None = None) -> str:
+    """The instruction of a file, or the built-in one, without white space at its ends."""
+    return (SYSTEM_PROMPT if path is None else read_settings(path, "system prompt file")).strip()
+
+
+def json_option(value: str | None, label: str):
+    """The value of a JSON text; None if there is none."""
+    try:
+        return json.loads(value) if value else None
+    except ValueError as e:
+        raise ValueError(f"{label} is not valid JSON: {e}") from e
+
+
 def thresholds(data: str | None) -> tuple[Thresholds, float | None]:
     """(bounds, lowest acceptable score): defaults overlaid by a file; a bound that is no number is left out."""
     given = parse(data) if data else {}
