@@ -12,13 +12,13 @@ def review_sample(facts: DataFrame, seed: int = 42, per_category: int = 10, lowe
     """Rows with the reasons that chose them.
 
     All failed rows and lost protected tokens; ``per_variant`` noisy items of each model; the lowest share by
-    score within a model; ``per_category`` drawn by a hash of id and seed; items whose
+    score within a model; ``per_category`` drawn by MD5 of key and seed, which any tool can repeat; items whose
     texts differ between models.  Ranks are taken within model and category, or
     against one threshold a model, so no window holds the whole table.
     """
     df = ensure_typed(facts)
     df = df.withColumns({c: optional(df, c) for c in ("model_name", "run_id", "id", "input_variant", "category")})
-    draw = F.xxhash64("id", "run_id", "input_variant", F.lit(seed))
+    draw = F.md5(F.concat_ws("|", "id", "run_id", "input_variant", F.lit(seed)))
     low = df.groupBy(F.col("model_name").alias("__m")).agg(F.percentile("f_comet", F.lit(lowest)).alias("__low"))
     texts = df.groupBy(F.col("id").alias("__i"), F.col("input_variant").alias("__v")).agg((F.count_distinct(optional(df, "translation_ja")) > 1).alias("__differs"))
     df = df.join(F.broadcast(low), F.col("model_name") == F.col("__m"), "left").join(texts, (F.col("id") == F.col("__i")) & (F.col("input_variant") == F.col("__v")), "left")

