@@ -178,8 +178,9 @@ def failed_cases(spark, sf_dir):
 FINAL_SQL = f"""{cte('facts')}, m AS (SELECT model_name, min(model_file) AS model_file, {SPEED} FROM facts GROUP BY model_name),
 a AS (SELECT model_name, {QUALITY} FROM facts WHERE run_id = '1' GROUP BY model_name),
 o AS (SELECT c.model_name, {r4("avg(c.comet_score) - avg(n.comet_score)", "ocr_comet_drop")} FROM facts c JOIN facts n ON c.model_name = n.model_name AND c.run_id = n.run_id AND c.id = n.id AND c.input_variant = 'ocr_clean' AND n.input_variant = 'ocr_noise' GROUP BY c.model_name),
-items AS (SELECT model_name, id, input_variant, count(DISTINCT translation_ja) AS texts FROM facts WHERE input_variant = 'ocr_clean' GROUP BY model_name, id, input_variant HAVING count(DISTINCT run_id) >= 2),
-s AS (SELECT model_name, {r4("avg(CASE WHEN texts = 1 THEN 1.0 ELSE 0.0 END)", "exact_output_match_rate")} FROM items GROUP BY model_name)
+items AS (SELECT model_name, id, input_variant, count(DISTINCT translation_ja) AS texts FROM facts GROUP BY model_name, id, input_variant HAVING count(DISTINCT run_id) >= 2),
+v AS (SELECT model_name, min(input_variant) AS variant FROM items GROUP BY model_name),
+s AS (SELECT items.model_name, {r4("avg(CASE WHEN texts = 1 THEN 1.0 ELSE 0.0 END)", "exact_output_match_rate")} FROM items JOIN v ON v.model_name = items.model_name AND variant = input_variant GROUP BY items.model_name)
 SELECT m.model_name, model_file, '' AS quantization, request_count AS test_item_count, success_rate, comet_mean, cast(NULL as double) AS chrf_corpus, protected_token_pass_rate, required_term_pass_rate, format_pass_rate, critical_error_rate,
   human_usability_pass_rate, latency_p50_ms, latency_p95_ms, generation_tps_mean, '' AS peak_vram_mb, ocr_comet_drop, exact_output_match_rate, 'FAIL' AS qualification_status,
   row_number() OVER (ORDER BY critical_error_rate, -coalesce(nullif(human_usability_pass_rate, 0), -1), -coalesce(nullif(comet_mean, 0), -999), latency_p95_ms, m.model_name) AS final_rank

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 SPARK = {"idiv": lambda a, b: f"({a} div {b})", "k": "cast(get_json_object(props, '$.k') as int)", "text": "string"}
 DUCK = {"idiv": lambda a, b: f"({a} // {b})", "k": "cast(json_extract_string(props, '$.k') as int)", "text": "varchar"}
 
+LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+KANA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハ" * 2
+
 
 def facts_sql(d: dict) -> str:
     i = d["idiv"]
@@ -21,7 +24,7 @@ SELECT e.event_id,
   'model-' || cast({i('e.event_id', 9)} % 4 as {t}) AS bundle,
   cast(e.event_id % 3 + 1 as {t}) AS run_id,
   'IT' || cast({i('e.event_id', 36)} as {t}) AS id,
-  CASE {i('e.event_id', 3)} % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'ocr_clean' ELSE 'ocr_noise' END AS input_variant,
+  CASE {i('e.event_id', 3)} % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'ocr_clean' ELSE CASE {i('e.event_id', 36)} % 10 WHEN 4 THEN 'context' ELSE 'ocr_noise' END END AS input_variant,
   'category-' || cast({i('e.event_id', 36)} % 6 as {t}) AS category,
   'sub-' || cast({i('e.event_id', 36)} % 5 as {t}) AS subcategory,
   CASE {i('e.event_id', 36)} % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty,
@@ -30,7 +33,7 @@ SELECT e.event_id,
   e.value AS total_latency_ms,
   cast(k as double) AS generation_tokens_per_second,
   cast(k * 2 as double) AS prompt_tokens_per_second,
-  CASE WHEN k % 29 = 0 THEN '' ELSE e.event_type END AS translation_ja,
+  CASE WHEN k % 29 = 0 THEN '' WHEN {i('e.event_id', 36)} % 3 = 0 THEN e.event_type ELSE 'said ' || cast({i('e.event_id', 36)} as {t}) END AS translation_ja,
   CASE WHEN k % 10 < 7 THEN 'PASS' WHEN k % 10 < 9 THEN 'WARN' ELSE 'FAIL' END AS rule_check_status,
   CASE WHEN k % 11 = 0 THEN '' WHEN k % 7 = 0 THEN 'false' ELSE 'true' END AS protected_tokens_pass,
   CASE WHEN k % 13 = 0 THEN '' WHEN k % 5 = 0 THEN 'false' ELSE 'true' END AS required_terms_pass,
@@ -46,7 +49,7 @@ FROM (SELECT *, {d['k']} AS k FROM events) e LEFT JOIN labels l ON l.doc_id = e.
 def pairs_sql(d: dict) -> str:
     """User turns as sources, the following assistant turns as outputs, with tokens and terms from leading words.
 
-    All turns are whole; the reference is the output with its first word replaced by the source's.
+    All turns are whole, a fifth of the outputs in another script letter by letter; the reference is the output with its first word replaced by the source's.
     """
     t = d["text"]
     word = lambda c, n: f"split_part({c}, ' ', {n})"
@@ -54,13 +57,13 @@ def pairs_sql(d: dict) -> str:
 SELECT u.conv_id, u.turn, cast(u.conv_id as {t}) || '-' || cast(u.turn as {t}) AS id,
   u.text AS source_en, a.text AS translation_ja,
   replace(a.text, {word('a.text', 1)}, {word('u.text', 1)}) AS reference_ja,
-  {word('a.text', 1)} || ';' || {word('u.text', 2)} || ';' || cast(u.conv_id % 20 as {t}) || ';' || {word('a.text', 1)} AS protected_tokens,
-  {word('u.text', 1)} || '=' || {word('a.text', 2)} || ';' || {word('u.text', 2)} || '=' || {word('u.text', 3)} || ';none' AS required_terms,
+  {word('a.text', 1)} || CASE u.conv_id % 2 WHEN 0 THEN ';' || {word('u.text', 2)} || ';' || cast(u.conv_id % 20 as {t}) || ';' || {word('a.text', 1)} ELSE '' END AS protected_tokens,
+  {word('u.text', 1)} || '=' || {word('a.text', 2)} || CASE u.conv_id % 4 WHEN 1 THEN '' ELSE ';' || {word('u.text', 2)} || '=' || {word('u.text', 3)} || ';none' END AS required_terms,
   CASE u.conv_id % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'terminology' ELSE 'context' END AS input_variant,
   CASE u.conv_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'odd' END AS difficulty,
   'category-' || cast(u.conv_id % 6 as {t}) AS category, 'sub-' || cast(u.conv_id % 5 as {t}) AS subcategory,
   u.text AS context_ja, u.text AS clean_source_en, '' AS evaluation_focus
-FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+FROM conversations u JOIN (SELECT conv_id, turn, role, CASE conv_id % 5 WHEN 2 THEN translate(text, '{LATIN}', '{KANA}') ELSE text END AS text FROM conversations) a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'
 """
 
