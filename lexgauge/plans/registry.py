@@ -446,8 +446,15 @@ def longest_source_match(spark, sf_dir):
     return view(spark, sf_dir, "pairs").select("id", rules.longest_source_match(F.col("source_en"), F.col("translation_ja")).alias("longest_source_match"))
 
 
+_LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_KANA = "アイウエオカキクケコサシスセソタチツテトナニヌネノハ" * 2
+_scripted = {c: f"CASE conv_id % 5 WHEN 2 THEN translate({c}, '{_LATIN}', '{_KANA}') ELSE {c} END" for c in ("translation_ja", "protected_tokens", "required_terms")}
+
+
 def evaluated(spark, sf_dir) -> DataFrame:
-    raw = view(spark, sf_dir, "pairs").selectExpr("*", "CASE conv_id % 7 WHEN 0 THEN 'false' ELSE 'true' END AS request_success", "CASE conv_id % 11 WHEN 0 THEN 500 ELSE 200 END AS http_status", "CASE conv_id % 13 WHEN 0 THEN 'length' ELSE 'stop' END AS finish_reason", "'' AS error", "CASE conv_id % 17 WHEN 0 THEN 'timeout' ELSE '' END AS error_type")
+    """The rules over all pairs, a fifth of the outputs in another script, letter by letter."""
+    pairs = view(spark, sf_dir, "pairs").withColumns({c: F.expr(e) for c, e in _scripted.items()})
+    raw = pairs.selectExpr("*", "CASE conv_id % 7 WHEN 0 THEN 'false' ELSE 'true' END AS request_success", "CASE conv_id % 11 WHEN 0 THEN 500 ELSE 200 END AS http_status", "CASE conv_id % 13 WHEN 0 THEN 'length' ELSE 'stop' END AS finish_reason", "'' AS error", "CASE conv_id % 17 WHEN 0 THEN 'timeout' ELSE '' END AS error_type")
     return rules.apply_rules(raw)
 
 
@@ -466,7 +473,7 @@ _found = f"CASE WHEN {_number} AND k LIKE '%\\%' ESCAPE '\\' THEN len(list_filte
 _extra = " OR ".join(f"regexp_matches(t, '(?im){p}')" for p in rules.EXTRA_TEXT)
 _marks = " OR ".join(f"regexp_matches(t, '{p}')" for p in rules.MARKDOWN)
 _quoted = " OR ".join(f"(starts_with(t, '{a}') AND suffix(t, '{b}'))" for a, b in (tuple(q.replace("'", "''") for q in pair) for pair in rules.QUOTES))
-JUDGED = f"""{cte('pairs')}, c AS (SELECT *, {_squeezed('translation_ja')} AS t, {_squeezed('source_en')} AS s, {_squeezed('reference_ja')} AS r, {_parts('protected_tokens')} AS toks, list_filter(list_transform(list_filter({_parts('required_terms')}, lambda p: contains(p, '=')), lambda p: {_term}), lambda x: x.target <> '') AS terms FROM pairs),
+JUDGED = f"""{cte('pairs')}, c AS (SELECT *, {_squeezed('translation_ja')} AS t, {_squeezed('source_en')} AS s, {_squeezed('reference_ja')} AS r, {_parts('protected_tokens')} AS toks, list_filter(list_transform(list_filter({_parts('required_terms')}, lambda p: contains(p, '=')), lambda p: {_term}), lambda x: x.target <> '') AS terms FROM (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in _scripted.items())}) FROM pairs)),
 tok AS (SELECT id, t, k, count(*) AS c FROM (SELECT id, t, unnest(toks) AS k FROM c) GROUP BY ALL),
 lost AS (SELECT DISTINCT id FROM tok WHERE {_found} < c),
 want AS (SELECT id, t, k, count(*) AS c FROM (SELECT id, t, unnest(list_transform(terms, lambda x: x.target)) AS k FROM c) GROUP BY ALL),
