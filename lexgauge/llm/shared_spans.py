@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, lean, new_path, scratch, slices, whole_text
+from .common import documents, drop_path, lean, new_path, scratch, slices, whole_text
 from .run_index import RunIndex
 
 K = 24  # bytes of an anchor
@@ -75,7 +75,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
         if width < span:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
         here = min(len(low), CHUNK, n - at)
-        p = np.unique((low[:here][ok[at : at + here]] & MASK).astype(np.int64))
+        p = (low[:here][ok[at : at + here]] & MASK).astype(np.int64)
+        p = p[_starts(p)]  # windows move to the right, and so do their anchors
         out_p.append(p + at)
         out_h.append(h[p])
     p, h = np.concatenate(out_p), np.concatenate(out_h)
@@ -129,6 +130,8 @@ def _find_anchors(length: int, shift: int):
                 for u, (keys,) in _blobs([h[again][o]], owner[again][o]):
                     rows.append((None, int(units[u]), keys, None))
                 sent, whose = h[at], np.where(many, -1, units[owner[at]])
+                o = np.lexsort((whose, sent >> np.uint64(shift)))  # runs of one owner compress
+                sent, whose = sent[o], whose[o]
                 for b, (keys, owners) in _blobs([sent, whose], sent >> np.uint64(shift)):
                     rows.append((int(b), None, keys, owners))
                 yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "unit", "keys", "owners"), r)) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())]))
@@ -393,12 +396,14 @@ def shared_marks(units: DataFrame, length: int, total_bytes: int, bucket_bytes:
     """
     spark = units.sparkSession
     named = units.where(F.col("first_id").isNotNull() & (F.octet_length("text") >= length)).select("unit", "first_id", "text")
-    bits, more = _power(total_bytes / (8 * part_bytes)), _power(total_bytes / part_bytes)
-    found = _written(spark, named.select("unit", "text").mapInArrow(_find_anchors(length, 64 - bits), ANCHORS), "anchors")
+    shift = 64 - _power(total_bytes / part_bytes)
+    found = _written(spark, named.select("unit", "text").mapInArrow(_find_anchors(length, shift), ANCHORS), "anchors")
     back = found.where("bucket is not null").select("bucket", "keys", "owners").groupBy("bucket").applyInArrow(_recurring, "unit long, keys binary")
-    asked = back.unionByName(found.where("bucket is null").select("unit", "keys")).groupBy(F.col("unit").alias("__unit")).agg(F.collect_list("keys").alias("asked"))
+    asked = _written(spark, back.unionByName(found.where("bucket is null").select("unit", "keys")), "asked-anchors")
+    drop_path(spark, found.written_to)
+    asked = asked.groupBy(F.col("unit").alias("__unit")).agg(F.collect_list("keys").alias("asked"))
     rows = named.join(asked, F.col("unit") == F.col("__unit")).select("unit", "first_id", "text", "asked")
-    places = _written(spark, rows.mapInArrow(_find_places(length, 64 - more), PLACES), "places")
+    places = _written(spark, rows.mapInArrow(_find_places(length, shift), PLACES), "places")
     todo = places.where("bucket is not null")
     large = _written(spark, todo.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * length) > bucket_bytes).select("bucket"), "large-buckets")
     marks = places.where("bucket is null").select("unit", "spans")
