@@ -147,3 +147,25 @@ def lean(run: Callable) -> Callable:
             give_back()
 
     return wrapped
+
+
+def lean_table(run: Callable) -> Callable:
+    """The same for a function of whole tables."""
+
+    if run.__code__.co_argcount == 2:
+
+        def two(left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return run(left, right)
+            finally:
+                give_back()
+
+        return two
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return one

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop_path, lean, new_path, scratch, slices, whole_text
+from .common import documents, drop_path, lean, lean_table, new_path, scratch, slices, whole_text
 from .run_index import RunIndex
 
 K = 24  # bytes of an anchor
@@ -105,10 +105,35 @@ def _slice_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column.cast(pa.binary()).to_pylist()), np.uint8), offsets[1:]
 
 
-ANCHORS = "bucket int, unit long, keys binary, owners binary"
+ROW = (1 << 33) - 1  # of a unit's number: its row in a partition, below the partition's number
 
 
-def _find_anchors(length: int, shift: int):
+def _part(unit: np.ndarray, parts: int) -> np.ndarray:
+    return ((unit & ROW) + (unit >> 33) * 7919) % parts
+
+
+def part_of(unit: Column, parts: int) -> Column:
+    """The part that a unit belongs to; messages to units are packed by part, as many rows as there are parts at most."""
+    return F.pmod(unit.bitwiseAND(F.lit(ROW)) + F.shiftright(unit, 33) * 7919, F.lit(parts)).cast("int")
+
+
+def _packed(unit: np.ndarray, values: np.ndarray, parts: int):
+    """(part, bytes of units, bytes of values): one row a part."""
+    part = _part(unit, parts)
+    order = np.lexsort((unit, part))
+    return [(int(b), *x) for b, x in _blobs([unit[order], values[order]], part[order])]
+
+
+def _to_table(rows: list[tuple], value: str) -> pa.Table:
+    """Rows of ``_packed``."""
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "units": pa.array([r[1] for r in rows], pa.binary()), value: pa.array([r[2] for r in rows], pa.binary())})
+
+
+ANCHORS = "bucket int, part int, units binary, keys binary"
+_ANCHOR_FIELDS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("units", pa.binary()), ("keys", pa.binary())])
+
+
+def _find_anchors(length: int, shift: int, parts: int):
     """Hashes of anchors by bucket with their units; those of two units of the slice go straight back, and to their bucket once without a unit."""
 
     def run(batches):
@@ -125,16 +150,12 @@ def _find_anchors(length: int, shift: int):
                 at = _starts(h)
                 many = np.diff(np.append(at, len(h))) > 1
                 again = np.repeat(many, np.diff(np.append(at, len(h))))
-                rows = []
-                o = np.argsort(owner[again], kind="stable")
-                for u, (keys,) in _blobs([h[again][o]], owner[again][o]):
-                    rows.append((None, int(units[u]), keys, None))
+                rows = [{"part": b, "units": u, "keys": keys} for b, u, keys in _packed(units[owner[again]], h[again], parts)]
                 sent, whose = h[at], np.where(many, -1, units[owner[at]])
                 o = np.lexsort((whose, sent >> np.uint64(shift)))  # runs of one owner compress
                 sent, whose = sent[o], whose[o]
-                for b, (keys, owners) in _blobs([sent, whose], sent >> np.uint64(shift)):
-                    rows.append((int(b), None, keys, owners))
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "unit", "keys", "owners"), r)) for r in rows], schema=pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary())]))
+                rows += [{"bucket": int(b), "units": u, "keys": keys} for b, (u, keys) in _blobs([whose, sent], sent >> np.uint64(shift))]
+                yield pa.RecordBatch.from_pylist(rows, schema=_ANCHOR_FIELDS)
 
     return lean(run)
 
@@ -143,23 +164,24 @@ def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-def _recurring(table: pa.Table) -> pa.Table:
-    """Of a bucket: the hashes that came from two slices or are known to recur, by unit."""
-    h, unit = _joined(table["keys"], np.uint64), _joined(table["owners"], np.int64)
-    order = np.argsort(h, kind="stable")
-    h, unit = h[order], unit[order]
-    at = _starts(h)
-    sizes = np.diff(np.append(at, len(h)))
-    two = (sizes > 1) | (np.minimum.reduceat(unit, at) < 0) if len(at) else np.zeros(0, bool)
-    take = np.repeat(two, sizes) & (unit >= 0)
-    h, unit = h[take], unit[take]
-    order = np.argsort(unit, kind="stable")
-    out = list(_blobs([h[order]], unit[order]))
-    return pa.table({"unit": pa.array([int(u) for u, _ in out], pa.int64()), "keys": pa.array([x[0] for _, x in out], pa.binary())})
+def _recurring(parts: int):
+    """Of a bucket: the hashes that came from two slices or are known to recur, by part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, unit = _joined(table["keys"], np.uint64), _joined(table["units"], np.int64)
+        order = np.argsort(h, kind="stable")
+        h, unit = h[order], unit[order]
+        at = _starts(h)
+        sizes = np.diff(np.append(at, len(h)))
+        two = (sizes > 1) | (np.minimum.reduceat(unit, at) < 0) if len(at) else np.zeros(0, bool)
+        take = np.repeat(two, sizes) & (unit >= 0)
+        return _to_table(_packed(unit[take], h[take], parts), "keys")
 
+    return lean_table(run)
 
-PLACES = "bucket int, unit long, n long, body binary, sides binary, keys binary, docs binary, units binary, at binary, spans binary"
-_PLACE_FIELDS = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("body", "sides", "keys", "docs", "units", "at", "spans")])
+
+PLACES = "bucket int, part int, n long, body binary, sides binary, keys binary, docs binary, units binary, at binary, spans binary"
+_PLACE_FIELDS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("body", "sides", "keys", "docs", "units", "at", "spans")])
 
 
 def _distinct(key: np.ndarray, body: np.ndarray, sides: np.ndarray, doc: np.ndarray):
@@ -183,44 +205,47 @@ def _whole_spans(at, sides, length):
     return spans, (spans[:, 1] - spans[:, 0]) >= length
 
 
-def _find_places(length: int, shift: int):
-    """Surroundings of the asked anchors by bucket; those equal to a smaller id's in the slice are marked at once."""
+def _pair(unit: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return h ^ _mix(unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _find_places(length: int, shift: int, parts: int):
+    """Surroundings of a part's asked anchors by bucket; those equal to a smaller id's in the slice are marked at once."""
     side = length - K
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 2, 4 << 20):
-                units, docs = part.column(0).to_numpy(), part.column(1).to_numpy()
-                data, ends = _slice_bytes(part.column(2))
-                begins = np.concatenate([[0], ends[:-1]])
-                p, h = anchors(data, ends, length)
-                owner = np.searchsorted(ends, p, side="right")
-                keep = np.zeros(len(p), bool)
-                cut = np.searchsorted(owner, np.arange(len(units) + 1))
-                for i, asked in enumerate(part.column(3).to_pylist()):
-                    keep[cut[i] : cut[i + 1]] = np.isin(h[cut[i] : cut[i + 1]], np.frombuffer(b"".join(asked), np.uint64))
-                p, h, owner = p[keep], h[keep], owner[keep]
-                if not len(p):
-                    continue
-                sides = np.stack([np.minimum(p - begins[owner], side), np.minimum(ends[owner] - p - K, side)], 1).astype(np.uint8)
-                column = np.arange(-side, K + side)
-                body = data[np.clip(p[:, None] + column, 0, len(data) - 1)]
-                body[(column < -sides[:, :1].astype(int)) | (column >= K + sides[:, 1:].astype(int))] = 0
-                at = p - begins[owner]
-                order, _, first, _ = _distinct(h, body, sides, docs[owner])
-                p, h, owner, sides, body, at = p[order], h[order], owner[order], sides[order], body[order], at[order]
-                rows = []
-                spans, whole = _whole_spans(at, sides, length)
-                done = ~first & whole
-                o = np.argsort(owner[done], kind="stable")
-                for u, (marks,) in _blobs([spans[done][o].astype(np.int32)], owner[done][o]):
-                    rows.append({"unit": int(units[u]), "spans": marks})
-                h, owner, sides, body, at = h[first], owner[first], sides[first], body[first], at[first]
-                for b, x in _blobs([body, sides, h, docs[owner], units[owner], at.astype(np.int32)], h >> np.uint64(shift)):
-                    rows.append({"bucket": int(b), "n": len(x[2]) // 8} | dict(zip(("body", "sides", "keys", "docs", "units", "at"), x)))
-                yield pa.RecordBatch.from_pylist(rows, schema=_PLACE_FIELDS)
+    def places(part: pa.RecordBatch, asked: np.ndarray):
+        units, docs = part.column(0).to_numpy(), part.column(1).to_numpy()
+        data, ends = _slice_bytes(part.column(2))
+        begins = np.concatenate([[0], ends[:-1]])
+        p, h = anchors(data, ends, length)
+        owner = np.searchsorted(ends, p, side="right")
+        keep = np.isin(_pair(units[owner], h), asked)
+        p, h, owner = p[keep], h[keep], owner[keep]
+        sides = np.stack([np.minimum(p - begins[owner], side), np.minimum(ends[owner] - p - K, side)], 1).astype(np.uint8)
+        column = np.arange(-side, K + side)
+        body = data[np.clip(p[:, None] + column, 0, max(0, len(data) - 1))]
+        body[(column < -sides[:, :1].astype(int)) | (column >= K + sides[:, 1:].astype(int))] = 0
+        at = p - begins[owner]
+        order, _, first, _ = _distinct(h, body, sides, docs[owner])
+        p, h, owner, sides, body, at = p[order], h[order], owner[order], sides[order], body[order], at[order]
+        spans, whole = _whole_spans(at, sides, length)
+        done = ~first & whole
+        for b, u, marks in _packed(units[owner[done]], spans[done].astype(np.int32), parts):
+            yield {"part": b, "units": u, "spans": marks}
+        h, owner, sides, body, at = h[first], owner[first], sides[first], body[first], at[first]
+        for b, x in _blobs([body, sides, h, docs[owner], units[owner], at.astype(np.int32)], h >> np.uint64(shift)):
+            yield {"bucket": int(b), "n": len(x[2]) // 8} | dict(zip(("body", "sides", "keys", "docs", "units", "at"), x))
 
-    return lean(run)
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        pairs = _pair(_joined(asked["units"], np.int64), _joined(asked["keys"], np.uint64))
+        rows = []
+        if len(pairs):
+            for batch in texts.select(["unit", "first_id", "text"]).to_batches():
+                for part in slices(batch, 2, 4 << 20):
+                    rows.extend(places(part, pairs))
+        return pa.Table.from_pylist(rows, schema=_PLACE_FIELDS)
+
+    return lean_table(run)
 
 
 def _read_places(table, length):
@@ -293,9 +318,7 @@ def _marked_windows(body: np.ndarray, sides: np.ndarray, group: np.ndarray, rank
     return marked
 
 
-def _marks_of_bucket(length: int):
-    side = length - K
-
+def _marks_of_bucket(length: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         body, sides, key, doc, unit, at = _read_places(table, length)
         order, which, first, starts = _distinct(key, body, sides, doc)
@@ -316,13 +339,9 @@ def _marks_of_bucket(length: int):
         begin = at[rows][i] - left
         units.append(unit[rows][i])
         out.append(np.stack([begin, begin + length], 1))
-        units, out = np.concatenate(units), np.concatenate(out)
-        order = np.lexsort((out[:, 0], units))
-        units, out = units[order], out[order]
-        got = list(_blobs([out.astype(np.int32)], units))
-        return pa.table({"unit": pa.array([int(u) for u, _ in got], pa.int64()), "spans": pa.array([x[0] for _, x in got], pa.binary())})
+        return _to_table(_packed(np.concatenate(units), np.concatenate(out).astype(np.int32), parts), "spans")
 
-    return run
+    return lean_table(run)
 
 
 def _windows(length: int):
@@ -345,23 +364,28 @@ def _windows(length: int):
     return lean(run)
 
 
-def _cut(batches):
-    """(digest, has_copies, has_unnamed, text, kept, removed) of each unit: marks merged into runs, the rest joined."""
-    runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
-        for part in slices(batch, 3):
-            kept, removed = [], []
-            for text, blobs in zip(part.column(3).cast(pa.binary()).to_pylist(), part.column(4).to_pylist()):
-                marks = np.frombuffer(b"".join(blobs or []), np.int32).reshape(-1, 2).astype(np.int64)
-                marks = marks[np.argsort(marks[:, 0], kind="stable")]
-                reach = np.maximum.accumulate(marks[:, 1])
-                new = np.concatenate([[True], marks[1:, 0] > reach[:-1]]) if len(marks) else np.zeros(0, bool)
-                begin = marks[new, 0]
-                end = reach[np.append(np.flatnonzero(new)[1:], len(marks)) - 1] if len(marks) else begin
-                edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                removed.append([{"start": a, "end": b} for a, b in zip(begin.tolist(), end.tolist())])
-            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(4)], pa.array(kept, pa.binary()), pa.array(removed, runs)], ["digest", "has_copies", "has_unnamed", "text", "kept", "removed"])
+STRIPPED = "digest binary, first_id long, has_copies boolean, has_unnamed boolean, text string, kept binary, removed array<struct<start: bigint, end: bigint>>"
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _cut(texts: pa.Table, marks: pa.Table) -> pa.Table:
+    """Of each unit of a part: its marks merged into runs, the rest joined."""
+    unit, spans = _joined(marks["units"], np.int64), _joined(marks["spans"], np.int32).reshape(-1, 2).astype(np.int64)
+    order = np.lexsort((spans[:, 0], unit))
+    unit, spans = unit[order], spans[order]
+    own = texts["unit"].to_numpy()
+    low, high = np.searchsorted(unit, own), np.searchsorted(unit, own, side="right")
+    kept, removed = [], []
+    for text, a, b in zip(texts["text"].cast(pa.binary()).to_pylist(), low, high):
+        begins, reach = spans[a:b, 0], np.maximum.accumulate(spans[a:b, 1])
+        new = np.concatenate([[True], begins[1:] > reach[:-1]]) if b > a else np.zeros(0, bool)
+        begin = begins[new]
+        end = reach[np.append(np.flatnonzero(new)[1:], b - a) - 1] if b > a else begin
+        edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(text)]
+        kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2])))
+        removed.append([{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist())])
+    same = ["digest", "first_id", "has_copies", "has_unnamed", "text"]
+    return pa.table([*[texts[c] for c in same], pa.array(kept, pa.binary()), pa.array(removed, _RUNS)], [*same, "kept", "removed"])
 
 
 @contextmanager
@@ -383,47 +407,46 @@ def _written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _power(n: float) -> int:
-    """The exponent of the next power of two, 1 to 24."""
-    return min(24, max(1, int(np.ceil(np.log2(max(2.0, n))))))
+def parts_for(total_bytes: int, part_bytes: int) -> int:
+    """A power of two, one part for about ``part_bytes``."""
+    return 1 << min(24, max(1, int(np.ceil(np.log2(max(2.0, total_bytes / part_bytes))))))
 
 
-def shared_marks(units: DataFrame, length: int, total_bytes: int, bucket_bytes: int = 256 << 20, part_bytes: int = 4 << 20) -> DataFrame:
-    """(unit, spans): places of strings of ``length`` bytes that a unit of a smaller ``first_id`` holds too; pairs of 32-bit numbers.
+def shared_marks(units: DataFrame, length: int, parts: int, bucket_bytes: int = 256 << 20) -> DataFrame:
+    """(part, units, spans): places of strings of ``length`` bytes that a unit of a smaller ``first_id`` holds too, packed by part; spans are pairs of 32-bit numbers.
 
-    ``units``: a written table (unit, first_id, text) of distinct texts.  A bucket stands for
-    about ``part_bytes`` of text; one whose surroundings exceed ``bucket_bytes`` is resolved by windows.
+    ``units``: a written table (unit, part, first_id, text) of distinct texts.  There are as many buckets
+    as parts; one whose surroundings exceed ``bucket_bytes`` is resolved by windows.
     """
     spark = units.sparkSession
-    named = units.where(F.col("first_id").isNotNull() & (F.octet_length("text") >= length)).select("unit", "first_id", "text")
-    shift = 64 - _power(total_bytes / part_bytes)
-    found = _written(spark, named.select("unit", "text").mapInArrow(_find_anchors(length, shift), ANCHORS), "anchors")
-    back = found.where("bucket is not null").select("bucket", "keys", "owners").groupBy("bucket").applyInArrow(_recurring, "unit long, keys binary")
-    asked = _written(spark, back.unionByName(found.where("bucket is null").select("unit", "keys")), "asked-anchors")
+    shift = 65 - parts.bit_length()
+    named = units.where(F.col("first_id").isNotNull() & (F.octet_length("text") >= length)).select("part", "unit", "first_id", "text")
+    found = _written(spark, named.select("unit", "text").mapInArrow(_find_anchors(length, shift, parts), ANCHORS), "anchors")
+    back = found.where("bucket is not null").select("bucket", "units", "keys").groupBy("bucket").applyInArrow(_recurring(parts), "part int, units binary, keys binary")
+    asked = _written(spark, back.unionByName(found.where("bucket is null").select("part", "units", "keys")), "asked-anchors")
     drop_path(spark, found.written_to)
-    asked = asked.groupBy(F.col("unit").alias("__unit")).agg(F.collect_list("keys").alias("asked"))
-    rows = named.join(asked, F.col("unit") == F.col("__unit")).select("unit", "first_id", "text", "asked")
-    places = _written(spark, rows.mapInArrow(_find_places(length, shift), PLACES), "places")
+    places = _written(spark, named.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_find_places(length, shift, parts), PLACES), "places")
+    drop_path(spark, asked.written_to)
     todo = places.where("bucket is not null")
     large = _written(spark, todo.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * length) > bucket_bytes).select("bucket"), "large-buckets")
-    marks = places.where("bucket is null").select("unit", "spans")
-    if large.isEmpty():
-        return marks.unionByName(todo.select("bucket", "body", "sides", "keys", "docs", "units", "at").groupBy("bucket").applyInArrow(_marks_of_bucket(length), "unit long, spans binary"))
-    small = todo.join(large, "bucket", "left_anti").select("bucket", "body", "sides", "keys", "docs", "units", "at")
-    marks = marks.unionByName(small.groupBy("bucket").applyInArrow(_marks_of_bucket(length), "unit long, spans binary"))
-    hot = todo.join(large, "bucket", "left_semi").select("body", "sides", "keys", "docs", "units", "at")
-    windows = hot.mapInArrow(_windows(length), "a long, b long, doc long, unit long, start long")
-    least = windows.groupBy("a", "b").agg(F.min("doc").alias("least")).select(F.col("a").alias("x"), F.col("b").alias("y"), "least")
-    late = windows.join(least, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).where("doc > least")
-
-    def pairs(batches):
-        for batch in batches:
-            unit, start = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.argsort(unit, kind="stable")
-            got = list(_blobs([np.stack([start, start + length], 1)[order].astype(np.int32)], unit[order]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(u) for u, _ in got], pa.int64()), pa.array([x[0] for _, x in got], pa.binary())], ["unit", "spans"])
-
-    return marks.unionByName(late.select("unit", "start").mapInArrow(lean(pairs), "unit long, spans binary"))
+    has_large = not large.isEmpty()
+    small = todo.join(large, "bucket", "left_anti") if has_large else todo
+    columns, packed = ["body", "sides", "keys", "docs", "units", "at"], "part int, units binary, spans binary"
+    marks = places.where("bucket is null").select("part", "units", "spans").unionByName(small.select("bucket", *columns).groupBy("bucket").applyInArrow(_marks_of_bucket(length, parts), packed))
+    if has_large:
+        windows = todo.join(large, "bucket", "left_semi").select(*columns).mapInArrow(_windows(length), "a long, b long, doc long, unit long, start long")
+        least = windows.groupBy("a", "b").agg(F.min("doc").alias("least")).select(F.col("a").alias("x"), F.col("b").alias("y"), "least")
+        late = windows.join(least, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))).where("doc > least")
+
+        def pairs(batches):
+            for batch in batches:
+                start = batch.column(1).to_numpy()
+                yield from _to_table(_packed(batch.column(0).to_numpy(), np.stack([start, start + length], 1).astype(np.int32), parts), "spans").to_batches()
+
+        marks = marks.unionByName(late.select("unit", "start").mapInArrow(lean(pairs), packed))
+    out = _written(spark, marks, "marks")
+    drop_path(spark, places.written_to)
+    return out
 
 
 def strip_shared(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", outputs: dict[str, Column] | None = None, bucket_bytes: int = 256 << 20, part_bytes: int = 4 << 20) -> DataFrame:
@@ -448,12 +471,11 @@ def strip_shared(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     with scratch(spark) as made, _early_cleaning(spark):
         held = docs.select(digest.alias("digest"), ident.alias("id"), whole_text(text_col).alias("text"))
         held = held.groupBy("digest").agg(F.min("id").alias("first_id"), F.coalesce(F.max("id") > F.min("id"), F.lit(False)).alias("has_copies"), (F.count("*") > F.count("id")).alias("has_unnamed"), F.first("text").alias("text"))
-        units = _written(spark, held.withColumn("unit", F.monotonically_increasing_id()), "distinct-texts")
-        total = units.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        marks = shared_marks(units, length, total, bucket_bytes, part_bytes)
-        marks = marks.groupBy(F.col("unit").alias("__unit")).agg(F.collect_list("spans").alias("spans"))
-        whole = units.join(marks, F.col("unit") == F.col("__unit"), "left").select("digest", "has_copies", "has_unnamed", "text", "spans")
-        cut = whole.mapInArrow(lean(_cut), "digest binary, has_copies boolean, has_unnamed boolean, text string, kept binary, removed array<struct<start: bigint, end: bigint>>")
+        size = docs.agg(F.sum(F.octet_length(whole_text(text_col)).cast("long"))).first()[0] or 0
+        parts = parts_for(size, part_bytes)
+        units = _written(spark, held.withColumn("unit", F.monotonically_increasing_id()).withColumn("part", part_of(F.col("unit"), parts)), "distinct-texts")
+        marks = shared_marks(units, length, parts, bucket_bytes)
+        cut = units.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(lean_table(_cut), STRIPPED)
         # fate of a row: 0 its text is this id's first, 1 a smaller id has the same text, 2 it has no id
         size = F.octet_length("text").cast("long")
         none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
@@ -463,11 +485,8 @@ def strip_shared(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
             F.when(F.col("has_copies"), F.struct(F.lit(1).alias("fate"), F.when(goes, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"), F.when(goes, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))).otherwise(none).alias("removed"))),
             F.when(F.col("has_unnamed"), F.struct(F.lit(2).alias("fate"), F.col("text").cast("binary").alias("kept"), none.alias("removed"))),
         )
-        rows = cut.select("digest", F.explode(F.filter(fates, lambda x: x.isNotNull())).alias("r")).select("digest", "r.fate", "r.kept", "r.removed")
-        rows = rows.select(F.col("digest").alias("__d"), F.col("fate").alias("__f"), *[v.alias(f"__out_{i}") for i, v in enumerate(outputs.values())])
-        table = _written(spark, rows, "stripped")
-        firsts = units.select(F.col("digest").alias("__d"), F.col("first_id").alias("__first"))
-        table = _written(spark, table.join(firsts, "__d"), "stripped-firsts")
+        rows = cut.select("digest", "first_id", F.explode(F.filter(fates, lambda x: x.isNotNull())).alias("r")).select("digest", "first_id", "r.fate", "r.kept", "r.removed")
+        table = _written(spark, rows.select(F.col("digest").alias("__d"), F.col("first_id").alias("__first"), F.col("fate").alias("__f"), *[v.alias(f"__out_{i}") for i, v in enumerate(outputs.values())]), "stripped")
         made.keep(table)
     fate = F.when(ident.isNull(), 2).when(ident > F.col("__first"), 1).otherwise(0)
     other = [F.col(f"`{c}`") for c in docs.columns if c not in outputs]
