@@ -9,6 +9,7 @@ from .license_scan import op9_license_scan
 from .line_templates import op7_line_templates
 from .order_minhash import op2_order_minhash
 from .packing import op10_packing
+from .role_repair import op13_role_repair
 from .shared_spans import op11_run_index
 from .token_counts import op1_token_counts
 from .toxicity import op4_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
     "op11_run_index": op11_run_index,
+    "op13_role_repair": op13_role_repair,
 }
 
 ORACLE_SQL = {"op3_url_filter": OP3_SQL}
