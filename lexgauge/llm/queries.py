@@ -11,6 +11,7 @@ from .order_minhash import op2_order_minhash
 from .packing import op10_packing
 from .role_repair import op13_role_repair
 from .shared_spans import op11_run_index
+from .spelling_variants import op12_spelling_variants
 from .token_counts import op1_token_counts
 from .toxicity import op4_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
     "op11_run_index": op11_run_index,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_role_repair": op13_role_repair,
 }
 
