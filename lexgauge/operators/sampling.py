@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .divergence import strongly_divergent
 from .facts import ensure_typed, optional
 
 
-def review_sample(facts: DataFrame, seed: int = 42, per_category: int = 10, lowest: float = 0.2, per_variant: int = 40) -> DataFrame:
+def review_sample(facts: DataFrame, seed: int = 42, per_category: int = 10, lowest: float = 0.2, per_variant: int = 40, differing: float = 0.1) -> DataFrame:
     """Rows with the reasons that chose them.
 
     All failed rows and lost protected tokens; ``per_variant`` noisy items of each model; the lowest share by
-    score within a model; ``per_category`` drawn by MD5 of key and seed, which any tool can repeat; items whose
-    texts differ between models.  Ranks are taken within model and category, or
+    score within a model; ``per_category`` drawn by MD5 of key and seed, which any tool can repeat; the share
+    ``differing`` of items whose texts lie farthest apart between models.  Ranks are taken within model and category, or
     against one threshold a model, so no window holds the whole table.
     """
     df = ensure_typed(facts)
     df = df.withColumns({c: optional(df, c) for c in ("model_name", "run_id", "id", "input_variant", "category")})
     draw = F.md5(F.concat_ws("|", "id", "run_id", "input_variant", F.lit(seed)))
     low = df.groupBy(F.col("model_name").alias("__m")).agg(F.percentile("f_comet", F.lit(lowest)).alias("__low"))
-    texts = df.groupBy(F.col("id").alias("__i"), F.col("input_variant").alias("__v")).agg((F.count_distinct(optional(df, "translation_ja")) > 1).alias("__differs"))
+    texts = strongly_divergent(df, differing).select(F.col("id").alias("__i"), F.col("input_variant").alias("__v"), F.lit(True).alias("__differs"))
     df = df.join(F.broadcast(low), F.col("model_name") == F.col("__m"), "left").join(texts, (F.col("id") == F.col("__i")) & (F.col("input_variant") == F.col("__v")), "left")
     rank = F.row_number().over(Window.partitionBy("model_name", "category").orderBy(draw, "id", "run_id", "input_variant"))
     noisy = F.row_number().over(Window.partitionBy("model_name", "input_variant").orderBy(draw, "id", "run_id"))
@@ -41,15 +44,20 @@ def blind(df: DataFrame, salt: str, model: str = "model_name") -> DataFrame:
     return df.withColumn("blind_id", F.substring(F.sha2(F.concat(F.col(model), F.lit(salt)), 256), 1, 12)).drop(model)
 
 
-def _weight(seed: int) -> Column:
-    """A Poisson(1) number for a row and replicate, by inversion of a hash: the same on every run and machine."""
-    u = (F.pmod(F.xxhash64("id", "replicate", F.lit(seed)), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    bounds, term, total = [], 0.36787944117144233, 0.0
-    for k in range(12):
+def weight_bounds(most: int = 12) -> list[str]:
+    """Hexadecimal bounds of Poisson(1): a drawn number of 32 bits has weight k from the k-th bound on (counted from 1)."""
+    bounds, term, total = [], math.exp(-1), 0.0
+    for k in range(most):
         total += term
-        bounds.append(total)
+        bounds.append(f"{min(math.ceil(total * 2**32), 2**32 - 1):08x}")
         term /= k + 1
-    return sum((F.when(u >= b, F.lit(1)).otherwise(F.lit(0)) for b in bounds), F.lit(0))
+    return bounds
+
+
+def _weight(seed: int) -> Column:
+    """A Poisson(1) number for an item and replicate, by inversion of the first 32 bits of an MD5, which any tool can repeat."""
+    drawn = F.substring(F.md5(F.concat_ws("|", "id", F.col("replicate").cast("string"), F.lit(str(seed)))), 1, 8)
+    return sum((F.when(drawn >= b, F.lit(1)).otherwise(F.lit(0)) for b in weight_bounds()), F.lit(0))
 
 
 def bootstrap(rows: DataFrame, groups: list[str], value: str, n: int = 1000, seed: int = 12345) -> DataFrame:

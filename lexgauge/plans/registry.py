@@ -547,10 +547,16 @@ def score_summary(spark, sf_dir):
     return rounded(summaries.corpus_score_summary(facts(spark, sf_dir)))
 
 
+# bytes: the SQL function counts them; divergence is rounded as the operator does
+MEAN_DISTANCE = "round(avg(coalesce(levenshtein(x.t, y.t)::double / nullif(greatest(octet_length(encode(x.t)), octet_length(encode(y.t))), 0), 0.0)), 9)"
+
+
 @query("review_sample", f"""{cte('facts')}, d AS (SELECT *, md5(id || '|' || run_id || '|' || input_variant || '|42') AS draw FROM facts),
 low AS (SELECT model_name AS m, quantile_cont(comet_score, 0.2) AS bound FROM facts GROUP BY model_name),
-texts AS (SELECT id AS i, input_variant AS v, count(DISTINCT translation_ja) > 1 AS differs FROM facts GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY model_name, category ORDER BY draw, id, run_id, input_variant) AS place, row_number() OVER (PARTITION BY model_name, input_variant ORDER BY draw, id, run_id) AS noisy FROM d JOIN low ON m = model_name JOIN texts ON i = id AND v = input_variant),
+said AS (SELECT id, input_variant, model_name, min(translation_ja) AS t FROM facts WHERE run_id = '1' GROUP BY ALL),
+apart AS (SELECT x.id AS i, x.input_variant AS v, {MEAN_DISTANCE} AS divergence FROM said x JOIN said y ON x.id = y.id AND x.input_variant = y.input_variant AND x.model_name < y.model_name GROUP BY ALL),
+texts AS (SELECT i, v, divergence > 0 AND reach <= 0.1 * all_items AS differs FROM (SELECT *, count(*) OVER (ORDER BY divergence DESC) AS reach, count(*) OVER () AS all_items FROM apart)),
+k AS (SELECT *, row_number() OVER (PARTITION BY model_name, category ORDER BY draw, id, run_id, input_variant) AS place, row_number() OVER (PARTITION BY model_name, input_variant ORDER BY draw, id, run_id) AS noisy FROM d JOIN low ON m = model_name LEFT JOIN texts ON i = id AND v = input_variant),
 w AS (SELECT model_name, run_id, id, input_variant, category, concat_ws(';', CASE WHEN {CRIT} THEN 'failed' END, CASE WHEN protected_tokens_pass = 'false' THEN 'protected_tokens' END, CASE WHEN input_variant = 'ocr_noise' AND noisy <= 40 THEN 'ocr_noise' END, CASE WHEN comet_score <= bound THEN 'low_score' END, CASE WHEN place <= 10 THEN 'random' END, CASE WHEN differs THEN 'models_differ' END) AS reasons FROM k)
 SELECT * FROM w WHERE reasons <> ''""")
 def review_sample(spark, sf_dir):
@@ -563,18 +569,9 @@ def blinded_sample(spark, sf_dir):
     return sampling.blind(f, "salt")
 
 
-@query("bootstrap_interval")
-def bootstrap_interval(spark, sf_dir):
-    f = typed(facts(spark, sf_dir)).where("input_variant = 'standard' AND run_id = '1'")
-    return rounded(sampling.bootstrap(f, ["model_name"], "f_comet"))
-
-
-@query("paired_significance")
-def paired_significance(spark, sf_dir):
-    f = typed(facts(spark, sf_dir)).where("input_variant = 'standard' AND run_id = '1'")
-    return rounded(sampling.paired_p_value(f, "f_comet", "model-0", "model-1"))
-
-
 @query("sorted_facts", f"{cte('facts')} SELECT event_id, model_name || '|' || run_id || '|' || id || '|' || input_variant AS key_string, trim(translation_ja) AS said FROM facts")
 def sorted_facts(spark, sf_dir):
     return facts(spark, sf_dir).select("event_id", key_text(*KEY).alias("key_string"), trimmed("translation_ja").alias("said")).orderBy("key_string")
+
+
+from . import selection  # noqa: E402, F401  registers its queries

@@ -83,7 +83,31 @@ FROM documents
 """
 
 
-VIEWS = {"facts": (facts_sql, ["events", "labels"]), "pairs": (pairs_sql, ["conversations"]), "marked": (marked_sql, ["documents"])}
+def answers_sql(d: dict) -> str:
+    """Four models' answers to each pair's item: the assistant's turn, the turn with another first word, the user's turn for a fifth, a turn without a letter for a third."""
+    return f"""
+SELECT p.id, p.category, p.input_variant, 'model-' || cast(m.k as {d['text']}) AS model_name, '1' AS run_id,
+  CASE m.k WHEN 0 THEN p.translation_ja WHEN 1 THEN p.reference_ja
+    WHEN 2 THEN CASE p.conv_id % 5 WHEN 0 THEN p.source_en ELSE p.translation_ja END
+    ELSE CASE p.conv_id % 3 WHEN 0 THEN replace(p.translation_ja, 'e', '') ELSE p.translation_ja END END AS translation_ja
+FROM ({pairs_sql(d)}) p CROSS JOIN (VALUES (0), (1), (2), (3)) AS m(k)
+"""
+
+
+def runs_sql(d: dict) -> str:
+    """The facts with settings, and with runs that lack rows, repeat rows, fail often, or differ in settings or prompt."""
+    return f"""
+SELECT f.model_name, f.run_id, f.id, f.input_variant, f.total_latency_ms,
+  CASE WHEN f.model_name = 'model-1' AND f.run_id = '2' AND f.event_id % 2 = 0 THEN 'false' ELSE f.request_success END AS request_success,
+  CASE WHEN f.model_name = 'model-3' AND f.run_id = '2' AND f.event_id % 4 = 1 THEN '0.7' ELSE '0.0' END AS temperature,
+  CASE WHEN f.model_name = 'model-3' AND f.run_id = '2' THEN '0.9' ELSE '1.0' END AS top_p, '42' AS seed, '256' AS max_tokens,
+  CASE WHEN f.model_name = 'model-1' AND f.run_id = '3' AND f.input_variant = 'standard' THEN 'prompt-b' ELSE 'prompt-a' END AS system_prompt_hash
+FROM ({facts_sql(d)}) f JOIN (VALUES (0), (1)) AS c(k) ON c.k = 0 OR f.model_name = 'model-0' AND f.run_id = '2' AND f.event_id % 7 = 0
+WHERE NOT (f.model_name = 'model-2' AND f.run_id = '1' AND f.event_id % 5 = 0)
+"""
+
+
+VIEWS = {"answers": (answers_sql, ["conversations"]), "runs": (runs_sql, ["events", "labels"]), "facts": (facts_sql, ["events", "labels"]), "pairs": (pairs_sql, ["conversations"]), "marked": (marked_sql, ["documents"])}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
