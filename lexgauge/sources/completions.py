@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import http.client
+import itertools
 import json
 import socket
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from datetime import datetime
 from urllib.parse import urlsplit
@@ -115,24 +117,53 @@ def with_retries(server: Server, payload: str, send: Callable[[Server, str], Rep
         time.sleep(server.wait)
 
 
-def complete(requests: DataFrame, server: Server, send: Callable[[Server, str], Reply] = post, concurrency: int = 1) -> DataFrame:
-    """``RESULT`` rows for requests (id, payload); a partition calls one after another, ``concurrency`` at a time.
+def answer(server: Server, key: str, payload: str, send: Callable[[Server, str], Reply] = post) -> tuple:
+    """One request with its retries, as a row of ``RESULT``."""
+    now = lambda: datetime.now().astimezone().isoformat(timespec="seconds")
+    started = now()
+    r, n, ms = with_retries(server, payload, send)
+    return key, r.body, r.ok, r.status, r.error_type, r.error, r.latency_ms, r.ttft_ms, r.stream_ms, n, max(n - 1, 0), ms, started, now(), time.time()
 
-    A task that Spark repeats calls the server again: write the result to a table, and
-    resume from it (``inputs.pending``), rather than evaluate it twice.
+
+def answers(server: Server, requests: Iterable[tuple[str, str]], send: Callable[[Server, str], Reply] = post, pool: int = 1) -> Iterator[tuple]:
+    """Rows of ``RESULT`` for (id, payload) pairs in the order in which they arrive.
+
+    At most ``pool`` requests are out at once; a new one goes out as soon as one is answered, so a slow one holds
+    no other back, and requests are taken from the source only when they go out.  A reader that stops early
+    leaves no request behind that has not gone out yet.
+    """
+    def paced():
+        for key, payload in requests:
+            if server.delay:
+                time.sleep(server.delay)
+            yield key, payload
+
+    if pool <= 1:
+        for key, payload in paced():
+            yield answer(server, key, payload, send)
+        return
+    todo = paced()
+    with ThreadPoolExecutor(pool) as workers:
+        out = {workers.submit(answer, server, *r, send) for r in itertools.islice(todo, pool)}
+        while out:
+            done, out = wait(out, return_when=FIRST_COMPLETED)
+            for f in done:
+                yield f.result()
+            out |= {workers.submit(answer, server, *r, send) for r in itertools.islice(todo, pool - len(out))}
+
+
+def complete(requests: DataFrame, server: Server, send: Callable[[Server, str], Reply] = post, concurrency: int = 1, pool: int = 1) -> DataFrame:
+    """``RESULT`` rows for requests (id, payload): ``concurrency`` partitions, each with ``pool`` requests out at once.
+
+    A partition gives each answer on as it arrives.  A task that Spark repeats calls the server again: write
+    the result to a table, and resume from it (``inputs.pending``), rather than evaluate it twice.
     """
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(batches):
-        now = lambda: datetime.now().astimezone().isoformat(timespec="seconds")
-        for batch in batches:
-            out = []
-            for key, payload in zip(batch["id"], batch["payload"]):
-                if server.delay:
-                    time.sleep(server.delay)
-                started = now()
-                r, n, ms = with_retries(server, payload, send)
-                out.append((key, r.body, r.ok, r.status, r.error_type, r.error, r.latency_ms, r.ttft_ms, r.stream_ms, n, max(n - 1, 0), ms, started, now(), time.time()))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+        asked = ((key, payload) for batch in batches for key, payload in zip(batch["id"], batch["payload"]))
+        for row in answers(server, asked, send, pool):
+            frame = pd.DataFrame([row], columns=names)
             yield frame.astype({"http_status": "Int32", "attempt_count": "int32", "retry_count": "int32", "ttft_ms": "float64", "stream_duration_ms": "float64"})
 
     return requests.select(F.col("id").cast("string").alias("id"), "payload").repartition(concurrency).mapInPandas(run, RESULT)
