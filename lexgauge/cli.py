@@ -13,7 +13,7 @@ from lexgauge.functions.rules import RULE_COLUMNS, RuleConfig, as_cells, apply_r
 from lexgauge.operators.inputs import VARIANTS, ValidationError, require_columns
 from lexgauge.plans.collect import Choice, Run, collect
 from lexgauge.plans.reports import report_tables, summary_document
-from lexgauge.sinks.reports import write_all, write_csv, write_json
+from lexgauge.sinks.reports import export_csv, write_all, write_csv, write_json
 from lexgauge.sources.completions import Server
 from lexgauge.sources.result_tree import load_tree, read_csv
 from lexgauge.sources.settings import json_option, read_settings, system_prompt, thresholds
@@ -93,7 +93,8 @@ def run_rules(spark: SparkSession, a) -> int:
     require_columns(raw, RULE_INPUT)
     out = apply_rules(raw, config).orderBy("record_no")
     columns = [c for c in raw.columns if c not in ("file", "record_no")]
-    write_csv(as_cells(out), a.output, [*columns, *[c for c in RULE_COLUMNS if c not in columns]], a.overwrite)
+    put = export_csv if "://" in a.output else write_csv  # a place that tasks reach, or a file beside the driver
+    put(as_cells(out), a.output, [*columns, *[c for c in RULE_COLUMNS if c not in columns]], a.overwrite)
     return 0
 
 

@@ -574,4 +574,4 @@ def sorted_facts(spark, sf_dir):
     return facts(spark, sf_dir).select("event_id", key_text(*KEY).alias("key_string"), trimmed("translation_ja").alias("said")).orderBy("key_string")
 
 
-from . import selection  # noqa: E402, F401  registers its queries
+from . import selection, trees  # noqa: E402, F401  they register their queries

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import math
 import os
+import uuid
 from pathlib import Path
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +41,85 @@ def write_csv(df: DataFrame, path: str | Path, columns: list[str] | None = None,
             out.writerow([cell(v) for v in row])
 
 
+def _records(places: int):
+    """Each row as the CSV record of ``write_csv``, without its line end."""
+
+    def run(batches):
+        for batch in batches:
+            held: list[str] = []
+            out = csv.writer(_Appending(held), lineterminator="")
+            out.writerows([cell(v, places) for v in row] for row in zip(*(c.to_pylist() for c in batch.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
+
+    return run
+
+
+class _Appending:
+    def __init__(self, held: list[str]):
+        self.write = held.append
+
+
+def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, overwrite: bool = False, places: int = 6) -> None:
+    """One file with the bytes of ``write_csv``, written by the tasks, wherever Hadoop's file systems reach.
+
+    Each partition of ``df`` writes a part; sorted tables (``orderBy``) have their partitions in order.  The mark
+    and the header come in front.  The file system joins the parts where it can (HDFS, which moves no
+    byte), else they are copied one after the other through a buffer of a megabyte.
+    The file appears under its name only when it is whole; rows never pass through the driver as rows.
+    """
+    spark = df.sparkSession
+    names = columns or df.columns
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    fs = hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hadoop.fs.Path(path)) and not overwrite:
+        raise FileExistsError(path)
+    head = io.StringIO()
+    csv.writer(head, lineterminator="\r\n").writerow(names)
+    staged = f"{path}.parts-{uuid.uuid4().hex}"
+    rows = df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit("").alias(c) for c in names])
+    rows.mapInArrow(_records(places), "value string").write.option("lineSep", "\r\n").text(staged)
+    try:
+        _join_parts(spark, fs, staged, ("\ufeff" + head.getvalue()).encode("utf-8"), path)
+    finally:
+        fs.delete(hadoop.fs.Path(staged), True)
+
+
+def _join_parts(spark, fs, staged: str, head: bytes, path: str) -> None:
+    """Header and parts as one file, moved to its name at the end."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    at = hadoop.fs.Path
+    parts = sorted((s.getPath() for s in fs.listStatus(at(staged)) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda p: int(p.getName().split("-")[1]))
+    whole = at(f"{staged}/whole")
+
+    def write(joined) -> None:
+        out = fs.create(whole, True)
+        try:
+            out.write(bytearray(head))
+            for p in joined:
+                source = fs.open(p)
+                try:
+                    hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+
+    try:
+        write([])
+        if parts:
+            sources = spark.sparkContext._gateway.new_array(at, len(parts))
+            for i, p in enumerate(parts):
+                sources[i] = p
+            fs.concat(whole, sources)
+    except (Py4JJavaError, PySparkException):  # a file system that cannot
+        write(parts)
+    fs.mkdirs(at(path).getParent())
+    if fs.exists(at(path)):
+        fs.delete(at(path), False)
+    if not fs.rename(whole, at(path)):
+        raise OSError(f"{path} could not be put in place")
+
+
 def write_json(data: dict, path: str | Path, overwrite: bool = False) -> None:
     path = Path(path)
     if path.exists() and not overwrite:

@@ -7,11 +7,13 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lexgauge.functions.values import KEY, KEY_DEFAULTS, as_float, key_text
 from lexgauge.operators import merge, quality
+from lexgauge.operators.cut import checkpointed
 from lexgauge.operators.quality import FINDING, K, findings
 
 # The file kinds of a result tree and the columns they need.
@@ -54,11 +56,6 @@ def _listing(spark: SparkSession, root: str, recursive: bool) -> list[tuple[str,
     return sorted(out)
 
 
-def find_files(spark: SparkSession, root: str, pattern: str) -> list[str]:
-    """Files below ``root`` whose names end as the pattern's ``*`` suffix does, sorted."""
-    return [p for p, is_dir in _listing(spark, root, True) if not is_dir and p.endswith(pattern.lstrip("*"))]
-
-
 def bundle_dirs(spark: SparkSession, root: str) -> list[str]:
     """The folder itself if it holds raw and rule files directly, else its folders by name."""
     here = _listing(spark, root, False)
@@ -79,94 +76,155 @@ def empty_findings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in FINDING]))
 
 
-def _by_header(spark: SparkSession, files: list[str], encoding: str) -> dict[tuple[str, ...], list[str]]:
-    out: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        out.setdefault(tuple(header_of(spark, f, encoding)), []).append(f)
-    return out
+def plain_path(p: str) -> str:
+    """A path without its scheme and last slash."""
+    return re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", p).rstrip("/")
 
 
 def is_smoke(file: str, bundle: str) -> bool:
     """Whether a file lies in a folder named smoke below its bundle."""
-    plain = lambda p: re.sub("^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", p).rstrip("/")
-    return "smoke" in plain(file).removeprefix(plain(bundle)).split("/")[:-1]
+    return "smoke" in plain_path(file).removeprefix(plain_path(bundle)).split("/")[:-1]
 
 
-def load_bundle(spark: SparkSession, path: str, encoding: str = "UTF-8", exclude_smoke: bool = False) -> tuple[DataFrame | None, DataFrame]:
-    """(facts, findings) of one folder; no facts if it lacks raw or rule files."""
-    name = path.rstrip("/").rsplit("/", 1)[-1]
-    found = {k: [f for f in find_files(spark, path, p) if not (exclude_smoke and is_smoke(f, path))] for k, p in KINDS.items()}
-    notes: list[DataFrame] = []
-    note = lambda severity, file, issue: notes.append(spark.createDataFrame([(severity, name, file, "", issue)], ", ".join(f"{c} string" for c in FINDING)))
-    for k in ("raw", "rule"):
-        if not found[k]:
-            note("ERROR", path, f"missing {KINDS[k].lstrip('*')}")
-    report = lambda: reduce(DataFrame.unionByName, notes, empty_findings(spark))
-    if not found["raw"] or not found["rule"]:
-        return None, report()
+WIDTH = 256  # columns of a result file at most
 
-    sides = []
-    for k in ("raw", "rule"):
-        parts = []
-        for header, files in _by_header(spark, found[k], encoding).items():
-            if missing := [c for c in NEEDED[k] if c not in header]:
-                for f in files:
-                    note("ERROR", f, f"missing columns: {', '.join(missing)}")
-                continue
-            parts.append(quality.keyed(read_csv(spark, files, list(header), encoding), name).withColumn("__cols", F.array(*[F.lit(c) for c in header])))
-        if not parts:
-            parts = [quality.keyed(spark.createDataFrame([], StructType([StructField(c, StringType()) for c in [*NEEDED[k], "file"]])).withColumns({"record_no": F.lit(0).cast("long"), "__cols": F.array().cast("array<string>")}), name)]
-        kept, bad = quality.first_wins(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), k, ["file", "record_no"])
-        notes.append(bad)
-        sides.append(kept.drop("record_no", "file"))
-    notes.append(quality.without_partner(*sides))
-
-    sources = sides
-    for k in ("comet", "chrf", "human"):
-        frames = []
-        for header, files in _by_header(spark, found[k], encoding).items():
-            f = quality.keyed(read_csv(spark, files, list(header), encoding), name)
-            line = F.concat(F.lit("line "), (F.col("record_no") + 1).cast("string"))
-            notes.append(findings(f.where(F.col("k_id") == ""), "WARNING", f"{k}: missing id", F.lit(name), F.col("file"), line))
-            f = f.where(F.col("k_id") != "")
-            if k in quality.RANGES and (c := merge.score_column(list(header), k)):
-                named = f.withColumns({part: F.col(f"k_{part}") for part in ("model_name", "run_id", "id", "input_variant")})
-                notes.append(quality.score_range(named, k, c, F.col("file")))
-            frames.append(f)
-        if (wide := merge.last_wins(frames, k) if frames else None) is not None:
-            sources.append(wide)
-    merged = merge.full_merge(sources)
-    carried = {c for s in sources for c in s.columns}
-    facts = merge.fill_keys(merged, carried).drop(*K, *[c for c in merged.columns if c.startswith("has_")])
-    return facts.withColumn("bundle", F.lit(name)), report()
+
+def scan(spark: SparkSession, root: str, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """(rows, heads) of all CSV files below a folder, in one scan whatever their number and headers.
+
+    heads: ``file``, ``header`` (its names, without a byte-order mark).  rows: ``file``, ``record_no`` (1-based below the header), ``cells``, a map of
+    each name to its text; missing cells are empty.  Files are read whole by a task each, so their rows' numbers
+    are in file order; a file without a line has neither.
+    """
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(WIDTH + 1)])
+    reader = spark.read.schema(schema).options(header=False, multiLine=True, quote='"', escape='"', encoding=encoding, recursiveFileLookup=True, pathGlobFilter="*.csv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    too_wide = F.when(F.col(f"_c{WIDTH}").isNotNull(), F.raise_error(F.concat(F.lit(f"more than {WIDTH} columns: "), F.col("_metadata.file_path")))).cast("string")
+    df = reader.csv(root).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.array(*[F.col(f"_c{i}") for i in range(WIDTH)], too_wide).alias("all"))
+    heads = df.groupBy("file").agg(F.min("row").alias("first"), F.min_by("all", "row").alias("all"))
+    names = F.transform(F.filter("all", lambda x: x.isNotNull()), lambda x: F.regexp_replace(x, "^\ufeff", ""))
+    heads = heads.select("file", "first", names.alias("header"))
+    # of names that stand twice in a header the last counts; found once a file
+    last = F.filter(F.transform("header", lambda x, i: F.struct(x.alias("name"), i.alias("at"))), lambda e, i: ~F.array_contains(F.slice("header", i + 2, F.lit(WIDTH)), e["name"]))
+    heads = heads.withColumn("spots", last)
+    beside = df.select(F.col("file").alias("__file"), "row", "all").join(heads, F.col("__file") == F.col("file")).where(F.col("row") > F.col("first"))
+    cells = F.map_from_arrays(F.col("spots.name"), F.transform(F.col("spots.at"), lambda i: F.coalesce(F.get("all", i), F.lit(""))))
+    rows = beside.select("file", (F.col("row") - F.col("first")).alias("record_no"), cells.alias("cells"))
+    return rows, heads.select("file", "header")
+
+
+def over(first: Column, later: Column) -> Column:
+    """Two maps as one; the later one's cell wins wherever it has the name, even if it is empty."""
+    first, later = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (first, later))
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+
+def _kind(file: Column) -> Column:
+    return F.coalesce(*[F.when(file.endswith(p.lstrip("*")), F.lit(k)) for k, p in KINDS.items()])
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With the composite key from the cells; an absent or blank part takes its default, the model's the bundle's name."""
+    cell = lambda k: F.coalesce(F.col("cells")[k], F.lit(""))
+    default = {k: F.lit(KEY_DEFAULTS[k]) if k in KEY_DEFAULTS else F.col("bundle") for k in KEY}
+    return rows.withColumns({f"k_{k}": F.when(cell(k) != "", cell(k)).otherwise(default[k]) for k in KEY})
+
+
+def _firsts(rows: DataFrame, label: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The first row of each key of a bundle by file and record, and findings for all others and for rows without an id."""
+    keys = ["bundle", *K]
+    some = rows.where("k_id != ''")
+    first = some.groupBy(*keys).agg(F.min(F.struct("file", "record_no")).alias("first")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    marked = some.join(first, [F.col(k) == F.col(f"__{k}") for k in keys]).withColumn("is_first", F.struct("file", "record_no") == F.col("first"))
+    again = findings(marked.where("not is_first"), "ERROR", f"{label}: duplicate composite key", F.col("k_model_name"), F.col("file"), key_text(*K))
+    line = F.concat(F.lit("line "), (F.col("record_no") + 1).cast("string"))
+    no_id = findings(rows.where("k_id = ''"), "ERROR", f"{label}: missing id", F.col("k_model_name"), F.col("file"), line)
+    return marked.where("is_first").select(*keys, "cells"), [again, no_id]
 
 
 def load_tree(spark: SparkSession, root: str, models: list[str] | None = None, exclude_smoke: bool = False, encoding: str = "UTF-8") -> Tree:
     """All bundles of a result tree as one fact table, and all findings.
 
-    ``models`` keeps whole bundles by folder name or by the model name of any row.
-    Smoke runs (a bundle of that name, or a folder of that name within one) are left out
-    only on request.
+    One scan reads all files of all bundles; a bundle is a column, and rows carry their cells by
+    name until the columns are known.  So the number of jobs grows neither with files, nor with headers, nor
+    with bundles.  A bundle is the folder itself if it holds raw and rule files directly, else each folder in it;
+    one without usable raw or rule files has findings alone.
+
+    Within a bundle the first row of a key counts, raw and rule rows meet by full outer join, and score
+    files follow, the last file and record winning by column.  ``models`` keeps whole bundles by folder
+    name or by the model name of any row.  Smoke runs (a bundle of that name, or a folder of that name within one)
+    are left out only on request.
     """
-    frames, notes, names = [], [], []
-    for path in bundle_dirs(spark, root):
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        if exclude_smoke and name == "smoke":
-            continue
-        facts, bad = load_bundle(spark, path, encoding, exclude_smoke)
-        notes.append(bad)
-        if facts is None:
-            continue
-        if models and name not in models and facts.where(F.col("model_name").isin(models)).isEmpty():
-            continue
-        names.append(name)
-        frames.append(facts)
-    if not frames:
+    dirs = [d for d in bundle_dirs(spark, root) if not (exclude_smoke and plain_path(d).rsplit("/", 1)[-1] == "smoke" and plain_path(d) != plain_path(root))]
+    flat = [plain_path(d) for d in dirs] == [plain_path(root)]
+    if not dirs:
+        return Tree(None, empty_findings(spark), [])
+    rows, heads = scan(spark, root, encoding)
+    below = F.substring(F.regexp_replace(F.expr("url_decode(replace(file, '+', '%2B'))"), "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), len(plain_path(root)) + 2, 1 << 20)
+    parts = F.split(below, "/")
+    bundle = F.lit(plain_path(root).rsplit("/", 1)[-1]) if flat else F.get(parts, 0)
+    inner = F.slice(parts, 1 if flat else 2, F.greatest(F.size(parts) - (1 if flat else 2), F.lit(0)))
+    files = heads.withColumns({"bundle": bundle, "kind": _kind(F.col("file")), "inside": F.size(parts) > (0 if flat else 1), "smoke": F.array_contains(inner, "smoke")}).where("inside and kind is not null")
+    if exclude_smoke:
+        files = files.where(~F.col("smoke")) if flat else files.where("not smoke and bundle != 'smoke'")
+    need = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.lit(c) for c in v])) for k, v in NEEDED.items()], F.array().cast("array<string>"))
+    files = checkpointed(files.select("file", "bundle", "kind", "header", F.array_except(need, "header").alias("missing")))
+
+    # a row a file; bundles and names are few
+    seen = files.groupBy("bundle").agg(F.collect_set("kind").alias("kinds")).collect()
+    kinds = {r["bundle"]: set(r["kinds"]) for r in seen}
+    named = {plain_path(d).rsplit("/", 1)[-1]: d for d in dirs}
+    absent = [("ERROR", n, d, "", f"missing {KINDS[k].lstrip('*')}") for n, d in named.items() for k in ("raw", "rule") if k not in kinds.get(n, ())]
+    notes = [spark.createDataFrame(absent, ", ".join(f"{c} string" for c in FINDING))] if absent else []
+    whole = sorted(n for n in named if {"raw", "rule"} <= kinds.get(n, set()))
+    if not whole:
         return Tree(None, reduce(DataFrame.unionByName, notes, empty_findings(spark)), [])
-    facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    used = files.where(F.col("bundle").isin(whole))
+    lacking = used.where(F.size("missing") > 0)
+    notes.append(findings(lacking, "ERROR", F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")), F.col("bundle"), F.col("file")))
+    good = used.where(F.size("missing") == 0)
+    columns = sorted(r[0] for r in good.select(F.explode("header").alias("c")).distinct().collect())
+    # written once, so that the files are not read again for each kind and finding
+    cells = checkpointed(_keyed(rows.join(good.select(F.col("file").alias("__f"), "bundle", "kind", "header"), F.col("file") == F.col("__f"))))
+
+    sides = []
+    for k in ("raw", "rule"):
+        side, found = _firsts(cells.where(F.col("kind") == k), k)
+        sides.append(side)
+        notes += found
+    raw, rule = sides
+    keys = ["bundle", *K]
+    both = raw.withColumnRenamed("cells", "raw").join(rule.withColumnRenamed("cells", "rule"), keys, "full")
+    alone = lambda c, issue: findings(both.where(F.col(c).isNull()), "ERROR", issue, F.col("k_model_name"), "", key_text(*K))
+    notes += [alone("rule", "raw row has no matching rule_evaluation row"), alone("raw", "rule_evaluation row has no matching raw row")]
+    facts = both.select(*keys, over(F.col("raw"), F.col("rule")).alias("cells"))
+
+    for k in ("comet", "chrf", "human"):
+        mine = cells.where(F.col("kind") == k)
+        line = F.concat(F.lit("line "), (F.col("record_no") + 1).cast("string"))
+        notes.append(findings(mine.where("k_id = ''"), "WARNING", f"{k}: missing id", F.col("bundle"), F.col("file"), line))
+        mine = mine.where("k_id != ''").withColumn("score_name", F.get(F.array_intersect(F.array(*[F.lit(c) for c in merge.SCORE_NAMES[k]]), "header"), 0))
+        score = F.col("cells")[F.col("score_name")]
+        if k in quality.RANGES:
+            low, high, issue = quality.RANGES[k]
+            notes.append(findings(mine.where(~as_float(score).between(low, high)), "WARNING", issue, F.col("k_model_name"), F.col("file"), key_text(*K)))
+        own = F.filter(F.map_entries("cells"), lambda e: ~e["key"].isin(KEY) & ((e["key"] != F.col("score_name")) | F.col("score_name").isNull()))
+        number = F.when(as_float(score).isNotNull(), F.array(F.struct(F.lit(f"{k}_score").alias("key"), score.alias("value")))).otherwise(F.array().cast("array<struct<key: string, value: string>>"))
+        each = mine.select(*keys, "file", "record_no", F.explode(F.concat(own, number)).alias("e"))
+        last = each.groupBy(*keys, F.col("e.key").alias("c")).agg(F.max_by("e.value", F.struct("file", "record_no")).alias("v"))
+        wide = last.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("more"))
+        facts = facts.join(wide, keys, "left").select(*keys, over(F.col("cells"), F.col("more")).alias("cells"))
+        columns = sorted({*columns, f"{k}_score"})
+    if models:
+        kept = facts.where(F.col("bundle").isin(models) | F.col("cells")["model_name"].isin(models) | (~F.map_contains_key("cells", "model_name") & F.col("k_model_name").isin(models))).select(F.col("bundle").alias("__b")).distinct()
+        facts = facts.join(kept, F.col("bundle") == F.col("__b"), "left_semi")
+    cell = lambda c: F.coalesce(F.col("cells")[c], F.col(f"k_{c}")) if c in KEY else F.col("cells")[c]
+    facts = checkpointed(facts.select(*[cell(c).alias(c) for c in [*KEY, *[c for c in columns if c not in KEY]]], "bundle"))
+    names = sorted(r[0] for r in facts.select("bundle").distinct().collect())
+    if not names:
+        return Tree(None if models else facts, reduce(DataFrame.unionByName, notes), [] if models else whole)
     notes += [quality.item_set_diff(facts, baseline=names[0])] if len(names) > 1 else []
     notes.append(quality.negative_latency(facts))
-    return Tree(facts, reduce(DataFrame.unionByName, notes), names)
+    return Tree(facts, reduce(DataFrame.unionByName, notes, empty_findings(spark)), names)
 
 
 def load_items(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:

@@ -80,6 +80,8 @@ def test_rules_command(spark, tmp_path):
     assert main(["rules", "--input", str(src), "--output", str(tmp_path / "o.csv")], spark) == 0
     lines = (tmp_path / "o.csv").read_text("utf-8-sig").splitlines()
     assert len(lines) == 3 and ",PASS," in lines[1] and ",FAIL," in lines[2]
+    assert main(["rules", "--input", str(src), "--output", (tmp_path / "tasks.csv").as_uri()], spark) == 0
+    assert (tmp_path / "tasks.csv").read_bytes() == (tmp_path / "o.csv").read_bytes()
     bad = put(tmp_path, "bad.csv", "id\n1\n")
     assert main(["rules", "--input", str(bad), "--output", str(tmp_path / "p.csv")], spark) == 3
 
