@@ -60,6 +60,30 @@ TEMPLATES += [
     ("MIT", MIT_GRANT),
 ]
 
+# The same for headers of files, and for passages by which the long texts are known.
+TEMPLATES += [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("Apache-2.0", "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions"),
+    ("Apache-2.0", "You must give any other recipients of the Work or Derivative Works a copy of this License; and You must cause any modified files to carry prominent notices stating that You changed the files"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work"),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Unlicense", "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors."),
+]
+
+# Words before a number that is a version, and the first word of a family's names.
+BEFORE_VERSION = frozenset("version v by nc sa attribution noncommercial sharealike".split())
+BEFORE_NAME = "gnu"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -79,6 +103,11 @@ def bigrams(w: tuple[str, ...] | list[str]) -> Counter:
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter([(w[0], "")] if w else [])
 
 
+def required(pairs) -> frozenset:
+    """The pairs that tell a licence from its relatives, and that a window has to hold: version numbers and the words after GNU."""
+    return frozenset(p for p in pairs if p[0] == BEFORE_NAME or p[0] in BEFORE_VERSION and p[1][:1].isdigit())
+
+
 def dice(a: Counter, b: Counter) -> float:
     both = sum((a & b).values())
     total = sum(a.values()) + sum(b.values())
@@ -98,52 +127,40 @@ def disjoint(found: list[tuple]) -> list[tuple]:
 
 
 class Scanner:
-    """Templates sorted by size; a text of size n is compared only with sizes that can reach the threshold.
+    """Templates with the places of their pairs.
 
     Dice >= t needs min / max >= t / (2 - t), as the smaller multiset bounds the
-    intersection; templates that share no bigram with the text are passed over too.
+    intersection.  So a template is a candidate for a text only if the text holds the least number of its
+    pairs within the greatest size of a window, and only there are windows scored.
     """
 
     def __init__(self, templates: list[tuple[str, str]], s: Settings):
         self.t = s.threshold
         self.items = sorted(((sum((b := bigrams(words(text))).values()), name, text, b) for name, text in templates), key=lambda x: x[:3])
-        self.sizes = [x[0] for x in self.items]
         self.ratio = self.t / (2 - self.t)
+        self.required = [required(x[3]) for x in self.items]
         self.openers = frozenset(g for x in self.items for g in x[3])
         self.holders: dict = {}
         for k, x in enumerate(self.items):
             for g in x[3]:
                 self.holders.setdefault(g, []).append(k)
-        self.least = math.ceil(min(self.sizes, default=1) * self.ratio - 1e-9)
-
-    def candidates(self, n: int) -> range:
-        return range(bisect_left(self.sizes, n * self.ratio - 1e-9), bisect_right(self.sizes, n / self.ratio + 1e-9))
-
-    def best(self, b: Counter) -> tuple[float, str, str] | None:
-        """(score, licence, template) of the best template that reaches the threshold; ties: the first by name."""
-        n = sum(b.values())
-        top = None
-        for k in self.candidates(n):
-            _, name, text, t = self.items[k]
-            score = dice(b, t)
-            if score >= self.t - 1e-12 and (top is None or (-score, name, text) < (-top[0], *top[1:])):
-                top = (score, name, text)
-        return top
+        self.least = math.ceil(min((x[0] for x in self.items), default=1) * self.ratio - 1e-9)
 
     def windows(self, k: int, at: list[int], pairs: list[tuple[str, str]]) -> list[tuple[int, float, int, int]]:
         """(shared pairs, score, first, last) of the best disjoint windows of word pairs for one template.
 
         ``at`` are the places of its pairs.  A pair at a window's edge that the template
-        lacks only lowers the score, so windows begin and end at such places.  With n
+        lacks only lowers the score, so windows begin and end at such places.  A window without
+        the template's version or family name is none, however alike.  With n
         pairs in the template, t n / (2 - t) have to be shared, within n (2 - t) / t.
         """
-        n, t = self.items[k][0], self.items[k][3]
+        n, t, marks = self.items[k][0], self.items[k][3], self.required[k]
         need, most = max(1, math.ceil(n * self.ratio - 1e-9)), n / self.ratio + 1e-9
         found = []
         for i in range(len(at) - need + 1):
             if at[i + need - 1] - at[i] + 1 > most:
                 continue
-            left, both, best = dict(t), 0, None
+            left, both, best, lacking = dict(t), 0, None, set(marks)
             for j in range(i, len(at)):
                 size = at[j] - at[i] + 1
                 if size > most:
@@ -151,8 +168,9 @@ class Scanner:
                 if left[g := pairs[at[j]]]:
                     left[g] -= 1
                     both += 1
+                    lacking.discard(g)
                     score = 2 * both / (n + size)
-                    if score >= self.t - 1e-12 and (best is None or score > best[1] + 1e-12):
+                    if not lacking and score >= self.t - 1e-12 and (best is None or score > best[1] + 1e-12):
                         best = (both, score, at[i], at[j])
             if best:
                 found.append(best)
@@ -185,8 +203,9 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hits array<struct<line, license, score>>) of each row's whole text.
 
-    Row-local; null and empty texts have no hits.  The templates are a parameter and
-    travel with the function; they are few by nature.
+    Row-local; null and empty texts have no hits, and equal texts have equal ones, row by row.  Whole texts are
+    scanned, however long; all columns but the id and the hits are dropped, whatever their names.  An empty table gives
+    an empty result.  The templates are a parameter and travel with the function; they are few by nature.
     """
 
     def run(batches):

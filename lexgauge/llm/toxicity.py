@@ -124,7 +124,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the labelled rows that are not held out, at most ``max_train_rows`` of them (smallest hashes of the id).
+    """Fit on the labelled rows that are not held out, at most ``max_train_rows`` of them (smallest hashes of the id, then of id and text).
 
     Rows without a label are left out; of repeated labels the largest holds.  Without
     both classes the model is the constant share of label 1 (0 without any row).
@@ -137,12 +137,26 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     return model
 
 
+def training_rows(docs: DataFrame, known: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """(text, y) of the rows with a label, written; at most ``max_train_rows``, however many rows share an id.
+
+    Where there are more, each id's text counts once and those of the smallest hashes of id and text are taken.
+    """
+    spark, most = docs.sparkSession, settings.max_train_rows
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(known), id_col)
+    rows = materialize(spark, rows.select("text", F.col("y").cast("int").alias("y"), F.xxhash64(id_col, "text").alias("key")), "toxicity-sample")
+    if rows.count() <= most:
+        return rows.select("text", "y")
+    keys = rows.select("key").distinct().orderBy("key").limit(most)
+    return materialize(spark, rows.dropDuplicates(["key"]).join(keys, "key", "left_semi").select("text", "y"), "toxicity-sample")
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame, settings: Settings, label_col: str, id_col: str, text_col: str) -> Model:
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y")).where(~held_out(id_col))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(settings.max_train_rows)
     known = spark.createDataFrame(known.collect(), known.schema)  # max_train_rows rows of two numbers
-    sample = materialize(spark, docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(known), id_col).select("text", F.col("y").cast("int").alias("y")), "toxicity-sample")
+    sample = training_rows(docs, known, settings, id_col, text_col)
 
     def count(batches):
         seen = np.zeros((2, 1 << BITS), np.int32)
