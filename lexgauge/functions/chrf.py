@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +26,56 @@ def word_tokens(t: Column) -> Column:
     return F.flatten(F.transform(words, cut))
 
 
+UNITS = 1 << 20  # characters or words counted at once
+
+
+def _flat(units: list) -> tuple[np.ndarray, np.ndarray]:
+    """Units of all segments end to end as whole numbers, and the segments' lengths."""
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    if units and isinstance(units[0], str):
+        return np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), sizes
+    return np.array([w for u in units for w in u], object), sizes
+
+
+def _matches(h: list, r: list, most: int) -> np.ndarray:
+    """(segment, order, [clipped matches, n-grams of h, n-grams of r]).
+
+    The n-grams of an order are numbered from those of the order below and the unit that follows, so equal
+    numbers are equal n-grams; a count by segment, number and side gives the matches.
+    """
+    flat, sizes = zip(_flat(h), _flat(r))
+    units = np.unique(np.concatenate(flat), return_inverse=True)[1] if sum(map(len, flat)) else np.zeros(0, np.int64)
+    count = len(h)
+    segment = np.concatenate([np.repeat(np.arange(count), s) for s in sizes])
+    side = np.repeat([0, 1], [len(f) for f in flat])
+    lengths = np.concatenate(sizes)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(units))  # units from here to the segment's end
+    out = np.zeros((count, most, 3), np.int64)
+    number = units
+    for n in range(1, most + 1):
+        at = np.flatnonzero(left >= n)
+        if n > 1 and len(at):
+            again = np.unique(number[at] * (units.max() + 1) + units[at + n - 1], return_inverse=True)[1]
+            number = np.zeros(len(units), np.int64)
+            number[at] = again
+        if len(at):
+            cells, cell = np.unique(segment[at] * (number.max() + 1) + number[at], return_inverse=True)
+            each = np.stack([np.bincount(cell[side[at] == k], minlength=len(cells)) for k in (0, 1)])
+            out[:, n - 1, 0] = np.bincount(cells // (number.max() + 1), each.min(0), count).astype(np.int64)
+        for k in (0, 1):
+            out[:, n - 1, 1 + k] = np.maximum(0, sizes[k] - n + 1)
+    return out
+
+
 def overlap(chars_h: pd.Series, words_h: pd.Series, chars_r: pd.Series, words_r: pd.Series) -> pd.Series:
-    """For each order the clipped matches and both totals of a segment, as one list."""
-
-    def counts(units, n: int) -> Counter:
-        return Counter(units[i : i + n] for i in range(len(units) - n + 1))
-
-    rows = []
-    for ch, wh, cr, wr in zip(chars_h, words_h, chars_r, words_r):
-        sums: list[int] = []
-        for h, r, most in ((ch, cr, CHARS), (tuple(wh), tuple(wr), WORDS)):
-            for n in range(1, most + 1):
-                a, b = counts(h, n), counts(r, n)
-                sums += [sum(min(k, b[g]) for g, k in a.items() if g in b), max(0, len(h) - n + 1), max(0, len(r) - n + 1)]
-        rows.append(sums)
+    """For each order the clipped matches and both totals of a segment, as one list; segments are counted together, ``UNITS`` characters at a time."""
+    rows: list[np.ndarray] = []
+    ends = (np.cumsum(chars_h.str.len().to_numpy() + chars_r.str.len().to_numpy()) // UNITS) if len(chars_h) else np.zeros(0, int)
+    for k in np.unique(ends):
+        at = np.flatnonzero(ends == k)
+        parts = [[c.iloc[i] for i in at] for c in (chars_h, words_h, chars_r, words_r)]
+        both = np.concatenate([_matches(parts[0], parts[2], CHARS), _matches([list(w) for w in parts[1]], [list(w) for w in parts[3]], WORDS)], 1)
+        rows.extend(both.reshape(len(at), -1))
     return pd.Series(rows)
 
 

@@ -49,11 +49,13 @@ PLACEHOLDER = r"\{[^}]+\}|%[A-Za-z0-9_]+%?|<[A-Za-z0-9_/.-]+>"
 #: Java flags under which these patterns match as the checks mean them: Unicode classes, only \n ends a line.
 FLAGS, FLAGS_NO_CASE = "(?dU)", "(?imdU)"
 NUMERIC = r"^[0-9]+(\.[0-9]+)?%?$"
+# The columns that the rules add, in order.
 RULE_COLUMNS = [
     "request_success", "request_error_type", "protected_tokens_pass", "protected_token_expected_count", "protected_token_matched_count", "missing_protected_tokens", "required_terms_pass", "missing_required_terms", "empty_output", "extra_text_detected", "extra_text_pattern", "markdown_detected", "unnecessary_quotes", "english_residue_detected", "english_character_ratio", "longest_source_match", "excessive_length", "output_length", "reference_length", "output_length_ratio", "rule_check_status", "failure_reasons", "warning_reasons",
 ]
 
 
+# The settings' names and defaults.
 @dataclass(frozen=True)
 class RuleConfig:
     max_reference_length_ratio: float = 4.0

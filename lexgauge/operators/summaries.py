@@ -15,6 +15,7 @@ from .facts import ensure_typed, optional
 DIFFICULTIES = ["easy", "medium", "hard"]
 
 
+# The bounds' names and defaults.
 @dataclass(frozen=True)
 class Thresholds:
     """Bounds that qualify a model; None leaves a bound out."""
@@ -242,7 +243,7 @@ def stability_summary(facts: DataFrame) -> DataFrame:
     df = df.withColumns({c: optional(df, c) for c in ("model_name", "run_id", "id", "input_variant")}).withColumn("__said", said)
     items = df.groupBy("model_name", "id", "input_variant").agg(
         F.size(F.collect_set("run_id")).alias("runs"),
-        F.size(F.collect_set("__said")).cast("double").alias("texts"),
+        F.size(F.collect_set(F.unhex(F.sha2("__said", 256)))).cast("double").alias("texts"),  # digests are held, not texts
         F.stddev_samp("f_latency").alias("latency_sd"),
         F.stddev_samp("f_gen_tps").alias("tps_sd"),
     ).where("runs >= 2")
@@ -255,6 +256,7 @@ def stability_summary(facts: DataFrame) -> DataFrame:
     )
 
 
+# The columns of the failed cases, in order.
 FAILED_COLUMNS = ["model_name", "run_id", "id", "category", "subcategory", "difficulty", "input_variant", "source_en", "reference_ja", "translation_ja", "comet_score", "rule_check_status", "failure_reasons", "human_comment"]
 
 

@@ -93,3 +93,12 @@ def exported_failures(spark, sf_dir):
     reports.export_csv(f.orderBy("at"), at)
     back = read_csv(spark, at).drop("file")
     return back.select(F.col("at").cast("long").alias("at"), "model_name", "id", "run_id", "translation_ja", "rule_check_status", "record_no")
+
+
+@query("category_corpora", f"""{cte('pairs')} SELECT 'source_en' AS corpus, category, trim(regexp_replace(source_en, '\r\n|\n|\r', ' ', 'g')) AS line FROM pairs UNION ALL SELECT 'translation_ja', category, trim(regexp_replace(translation_ja, '\r\n|\n|\r', ' ', 'g')) FROM pairs""")
+def category_corpora(spark, sf_dir):
+    """Corpora by category, written in one job a column and read back."""
+    at = new_folder(spark, "corpora")
+    reports.write_corpora(view(spark, sf_dir, "pairs"), at, ["source_en", "translation_ja"])
+    back = [spark.read.text(f"{at}/{c}").select(F.lit(c).alias("corpus"), "category", F.col("value").alias("line")) for c in ("source_en", "translation_ja")]
+    return back[0].unionByName(back[1])

@@ -179,3 +179,16 @@ def corpus_lines(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
     """(line_no, id, line): one line an item by id, line breaks as spaces."""
     one = F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), "\r\n|\n|\r", " "))
     return positioned(df.select(F.col(id_col).alias("id"), one.alias("line")), "id").withColumnRenamed("position", "line_no").select("line_no", "id", "line")
+
+
+def write_corpora(df: DataFrame, folder: str, columns: list[str], by: str = "category", id_col: str = "id", overwrite: bool = False) -> None:
+    """One corpus a column and category, ``<folder>/<column>/<by>=<value>/part-*``: a line an item in the order of ids, line breaks as spaces.
+
+    All categories of a column are written in one job.  Rows are laid out by ranges of category and id, so a large
+    category has several parts, whose names are in the lines' order; parts joined in that order
+    are the corpus, and line k of every column's corpus is the same item.
+    """
+    for c in columns:
+        line = F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\r\n|\n|\r", " "))
+        rows = df.select(F.col(by), F.col(id_col).alias("__id"), line.alias("value")).repartitionByRange(by, "__id").sortWithinPartitions(by, "__id")
+        rows.drop("__id").write.mode("overwrite" if overwrite else "errorifexists").partitionBy(by).text(f"{folder.rstrip('/')}/{c}")

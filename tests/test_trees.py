@@ -4,7 +4,7 @@ import uuid
 
 import pytest
 
-from lexgauge.sinks.reports import export_csv, write_csv
+from lexgauge.sinks.reports import export_csv, write_corpora, write_csv
 from lexgauge.sources.result_tree import load_tree
 
 KEY = "model_name,run_id,id,input_variant"
@@ -71,3 +71,14 @@ def test_export_has_the_bytes_of_the_plain_writer(spark, tmp_path, n):
     export_csv(df.limit(0), at, ["k"], overwrite=True)
     assert (tmp_path / "sub" / "tasks.csv").read_bytes() == b"\xef\xbb\xbfk\r\n"
     assert not list((tmp_path / "sub").glob("*.parts-*"))
+
+
+def test_corpora_are_aligned(spark, tmp_path):
+    rows = [(f"i{i:04d}", "abc"[i % 7 % 3], f"s{i}\nx", None if i % 9 == 0 else f" t{i} ") for i in range(500)]
+    df = spark.createDataFrame(rows, "id string, category string, source string, said string").repartition(6)
+    write_corpora(df, tmp_path.as_uri(), ["source", "said"])
+    for c in "abc":
+        want = [r for r in rows if r[1] == c]
+        joined = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name / f"category={c}").glob("part-*.txt")))
+        assert joined("source") == "".join(f"{r[2].replace(chr(10), ' ')}\n" for r in want)
+        assert joined("said") == "".join(f"{(r[3] or '').strip()}\n" for r in want)
