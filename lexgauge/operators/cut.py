@@ -33,3 +33,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a Parquet table of the shared folder, which stays there.
+
+    Unlike a checkpoint, which remembers how its rows were dealt out, the table is dealt anew for a join; AQE splits
+    a hot key only where both sides of the join are.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lexgauge.functions.values import text, trimmed
 
+from .cut import written
+
 # Columns an item table needs, and the variants of its input.
 REQUIRED = ["id", "category", "subcategory", "difficulty", "source_en", "reference_ja", "protected_tokens", "required_terms", "evaluation_focus"]
 INHERITED = ["id", "category", "subcategory", "difficulty", "context_ja", "source_en", "clean_source_en", "reference_ja", "required_terms", "protected_tokens", "evaluation_focus"]
@@ -56,11 +58,12 @@ def violations(items: DataFrame, variant: str = "standard", order: str = "line_n
     """Add ``errors``: all that is wrong with each row, in order; empty for a valid one.
 
     A repeated id counts against every row but the first in file order, which an
-    aggregation finds, so one id on very many rows is not gathered in one task.
+    aggregation finds; its table is written before rows look it up, so that AQE may split
+    an id that very many rows have.
     """
     require_columns(items, REQUIRED, variant)
     key = trimmed("id")
-    firsts = items.where(key != "").groupBy(key.alias("__id")).agg(F.min(order).alias("__first"))
+    firsts = written(items.where(key != "").groupBy(key.alias("__id")).agg(F.min(order).alias("__first")), "firsts")
     df = items.withColumn("__key", key).join(firsts, F.col("__key") == F.col("__id"), "left")
     blank = lambda c: trimmed(c) == ""
     checks = [

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexgauge.functions.values import KEY, as_float, key_or_default, key_text, text
 
+from .cut import written
+
 FINDING = ["severity", "model_name", "file", "key", "issue"]
 
 
@@ -28,13 +30,14 @@ def first_wins(rows: DataFrame, label: str, order: list[str], keys: list[str] =
     """(kept, findings): rows without an id and all but the first of each key are left out and reported.
 
     ``order`` must be total (file, then record number).  The first is found by an
-    aggregation that combines before the shuffle; only the table of firsts meets the
-    rows again, so a key that very many rows carry is not gathered in one task.
+    aggregation that combines before the shuffle.  The table of firsts is written before it
+    meets the rows again: straight from its aggregation it would tie the join to that one's
+    partitions, and AQE splits a key that very many rows carry only in a join of two plain shuffles.
     """
     blank = F.col(keys[-2]) == ""
     spot = F.struct(*order)
     some = rows.where(~blank)
-    firsts = some.groupBy(*keys).agg(F.min(spot).alias("__first"))
+    firsts = written(some.groupBy(*keys).agg(F.min(spot).alias("__first")), "firsts")
     marked = some.join(firsts, keys).withColumn("__is_first", spot == F.col("__first"))
     kept = marked.where("__is_first").drop("__first", "__is_first")
     name = F.col(file) if file in rows.columns else F.lit("")

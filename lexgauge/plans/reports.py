@@ -7,14 +7,15 @@ import time
 from pyspark.sql import DataFrame
 
 from lexgauge.operators import summaries as s
+from lexgauge.operators.cut import checkpointed
 from lexgauge.operators.facts import typed
 from lexgauge.operators.quality import FINDING
 from lexgauge.operators.summaries import Thresholds
 
 
 def report_tables(facts: DataFrame, findings: DataFrame, bounds: Thresholds = Thresholds(), minimum_comet: float | None = None, accuracy_run: str | None = "1") -> dict[str, tuple[DataFrame, list[str]]]:
-    """File name to (table, columns); the facts are typed once and kept while the reports are made."""
-    f = typed(facts).persist()
+    """File name to (table, columns); the typed facts are written once, and all reports read them."""
+    f = checkpointed(typed(facts))
     models = s.model_summary(f, accuracy_run=accuracy_run, thresholds=bounds)
     noise, stability = s.noise_summary(f), s.stability_summary(f)
     notes = findings.unionByName(s.unpaired(f))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgauge.functions.values import KEY, as_float
-from lexgauge.operators import responses
+from lexgauge.operators import quality, responses
 from lexgauge.operators.cut import new_folder
 from lexgauge.sinks import reports
 from lexgauge.sources import completion_source
@@ -102,3 +102,13 @@ def category_corpora(spark, sf_dir):
     reports.write_corpora(view(spark, sf_dir, "pairs"), at, ["source_en", "translation_ja"])
     back = [spark.read.text(f"{at}/{c}").select(F.lit(c).alias("corpus"), "category", F.col("value").alias("line")) for c in ("source_en", "translation_ja")]
     return back[0].unionByName(back[1])
+
+
+@query("corpus_alignment", f"""{cte('pairs')}, a AS (SELECT id, row_number() OVER (ORDER BY id) AS n, source_en AS t FROM pairs), b AS (SELECT id, row_number() OVER (ORDER BY id) AS n, CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE translation_ja END AS t FROM pairs WHERE conv_id % 10 <> 3)
+SELECT count(*) FILTER (b.id IS NULL) AS only_left, count(*) FILTER (a.id IS NULL) AS only_right, count(*) FILTER (a.n <> b.n) AS moved, count(*) FILTER (trim(a.t) = '' OR trim(b.t) = '') AS blank FROM a FULL JOIN b ON a.id = b.id""")
+def corpus_alignment(spark, sf_dir):
+    """Two exported corpora, one of which lacks lines and has blank ones."""
+    p = view(spark, sf_dir, "pairs")
+    left = reports.corpus_lines(p, "source_en")
+    right = reports.corpus_lines(p.where("conv_id % 10 <> 3").withColumn("said", F.when(F.col("conv_id") % 11 == 0, " ").otherwise(F.col("translation_ja"))), "said")
+    return quality.alignment(left, right, text_col="line")

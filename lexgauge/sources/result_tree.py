@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from lexgauge.functions.values import KEY, KEY_DEFAULTS, as_float, key_text
 from lexgauge.operators import merge, quality
-from lexgauge.operators.cut import checkpointed
+from lexgauge.operators.cut import checkpointed, written
 from lexgauge.operators.quality import FINDING, K, findings
 
 # The file kinds of a result tree and the columns they need.
@@ -40,7 +40,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], header: list[str] | No
     place = F.monotonically_increasing_id()
     df = df.fillna("").select(*[F.col(f"`{c}`") for c in names], F.col("_metadata.file_path").alias("file"), place.alias("__row"))
     first = df.groupBy("file").agg(F.min("__row").alias("__first"))
-    return df.join(F.broadcast(first), "file").withColumn("record_no", F.col("__row") - F.col("__first") + 1).drop("__row", "__first")
+    return df.join(first, "file").withColumn("record_no", F.col("__row") - F.col("__first") + 1).drop("__row", "__first")
 
 
 def _listing(spark: SparkSession, root: str, recursive: bool) -> list[tuple[str, bool]]:
@@ -133,7 +133,7 @@ def _firsts(rows: DataFrame, label: str) -> tuple[DataFrame, list[DataFrame]]:
     """The first row of each key of a bundle by file and record, and findings for all others and for rows without an id."""
     keys = ["bundle", *K]
     some = rows.where("k_id != ''")
-    first = some.groupBy(*keys).agg(F.min(F.struct("file", "record_no")).alias("first")).withColumnsRenamed({k: f"__{k}" for k in keys})
+    first = written(some.groupBy(*keys).agg(F.min(F.struct("file", "record_no")).alias("first")), "firsts").withColumnsRenamed({k: f"__{k}" for k in keys})
     marked = some.join(first, [F.col(k) == F.col(f"__{k}") for k in keys]).withColumn("is_first", F.struct("file", "record_no") == F.col("first"))
     again = findings(marked.where("not is_first"), "ERROR", f"{label}: duplicate composite key", F.col("k_model_name"), F.col("file"), key_text(*K))
     line = F.concat(F.lit("line "), (F.col("record_no") + 1).cast("string"))

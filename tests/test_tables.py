@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +154,27 @@ def test_first_wins_with_hot_key(spark):
     assert kept.first().record_no == 1 and bad.count() == 199
 
 
+def test_a_hot_key_is_split(spark):
+    """A third of the rows on one key: the join with the firsts is one that AQE splits."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        name = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))
+        rows = spark.range(0, 60_000, 1, 8).select(F.lit("m").alias("model_name"), F.lit("1").alias("run_id"), name.alias("key"), F.lit("standard").alias("input_variant"), F.lit("f").alias("file"), F.col("id").alias("record_no"), F.sha2(F.col("id").cast("string"), 512).alias("cells"))
+        kept, again = quality.first_wins(quality.keyed(rows.withColumnRenamed("key", "id")), "raw", ["file", "record_no"])
+        checked = inputs.violations(rows.select(F.col("key").alias("id"), F.col("record_no").alias("line_no"), *[F.lit("easy").alias(c) for c in inputs.REQUIRED[1:]], "cells"))
+        kept, again, checked = kept.select("cells"), again.select("key"), checked.where(F.size("errors") == 0).select("cells")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert (len(kept.collect()), len(again.collect()), len(checked.collect())) == (40_001, 19_999, 40_001)
+        # firsts are found by key and place together, which no two rows share; the others by key alone
+        assert re.search(r"hashpartitioning\(cast\(struct\(file, f, record_no", plan(kept)) and "skew=true" in plan(again) and "skew=true" in plan(checked)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_usage_falls_back_only_where_absent(spark):
     body = '{"choices":[{"message":{"content":"x"}}],"usage":{"prompt_tokens":null},"timings":{"prompt_n":7,"predicted_n":8}}'
     r = responses.parse_responses(spark.createDataFrame([("a", body)], "id string, raw_response string")).first()
