@@ -61,7 +61,7 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "length", "buckets"), [(1, 50, 1 << 28), (2, 50, 0), (3, 37, 1 << 28), (4, 26, 0), (5, 61, 1 << 28)])
+@pytest.mark.parametrize(("seed", "length", "buckets"), [(1, 50, 1 << 28), (2, 50, 0), (3, 26, 1 << 28)])
 def test_against_plain_computation(spark, seed, length, buckets):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
