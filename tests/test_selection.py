@@ -98,7 +98,7 @@ def test_invalid_runs(spark):
     assert invalid_runs.invalid_runs(spark.createDataFrame([], columns)).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 17, 1000])
+@pytest.mark.parametrize("n", [0, 1, 17, 1000])
 def test_permuted_is_a_permutation(spark, n):
     df = spark.range(n).select((F.col("id") * 7).alias("line_no"))
     first, again, other = ([x.execution_index for x in inputs.permuted(df, seed).orderBy("line_no").collect()] for seed in (1, 1, 2))
