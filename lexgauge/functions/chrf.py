@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +27,32 @@ def word_tokens(t: Column) -> Column:
     return F.flatten(F.transform(words, cut))
 
 
-UNITS = 1 << 20  # characters or words counted at once
+UNITS = 1 << 17  # characters counted at once
 
 
-def _flat(units: list) -> tuple[np.ndarray, np.ndarray]:
-    """Units of all segments end to end as whole numbers, and the segments' lengths."""
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    if units and isinstance(units[0], str):
-        return np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), sizes
-    return np.array([w for u in units for w in u], object), sizes
+def _flat(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Units of all segments end to end, characters as whole numbers or words, and the segments' lengths."""
+    if pa.types.is_list(units.type):
+        return units.flatten(), pc.list_value_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = "".join(units.to_pylist())
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), pc.utf8_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _matches(h: list, r: list, most: int) -> np.ndarray:
+def _numbered(h, r) -> np.ndarray:
+    """Equal numbers for equal units of both sides."""
+    if isinstance(h, np.ndarray):
+        return np.unique(np.concatenate([h, r]), return_inverse=True)[1] if len(h) + len(r) else np.zeros(0, np.int64)
+    return pa.concat_arrays([h, r]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _matches(h: pa.Array, r: pa.Array, most: int) -> np.ndarray:
     """(segment, order, [clipped matches, n-grams of h, n-grams of r]).
 
     The n-grams of an order are numbered from those of the order below and the unit that follows, so equal
     numbers are equal n-grams; a count by segment, number and side gives the matches.
     """
     flat, sizes = zip(_flat(h), _flat(r))
-    units = np.unique(np.concatenate(flat), return_inverse=True)[1] if sum(map(len, flat)) else np.zeros(0, np.int64)
+    units = _numbered(*flat)
     count = len(h)
     segment = np.concatenate([np.repeat(np.arange(count), s) for s in sizes])
     side = np.repeat([0, 1], [len(f) for f in flat])
@@ -67,16 +75,20 @@ def _matches(h: list, r: list, most: int) -> np.ndarray:
     return out
 
 
-def overlap(chars_h: pd.Series, words_h: pd.Series, chars_r: pd.Series, words_r: pd.Series) -> pd.Series:
-    """For each order the clipped matches and both totals of a segment, as one list; segments are counted together, ``UNITS`` characters at a time."""
-    rows: list[np.ndarray] = []
-    ends = (np.cumsum(chars_h.str.len().to_numpy() + chars_r.str.len().to_numpy()) // UNITS) if len(chars_h) else np.zeros(0, int)
-    for k in np.unique(ends):
-        at = np.flatnonzero(ends == k)
-        parts = [[c.iloc[i] for i in at] for c in (chars_h, words_h, chars_r, words_r)]
-        both = np.concatenate([_matches(parts[0], parts[2], CHARS), _matches([list(w) for w in parts[1]], [list(w) for w in parts[3]], WORDS)], 1)
-        rows.extend(both.reshape(len(at), -1))
-    return pd.Series(rows)
+def overlap(chars_h: pa.Array, words_h: pa.Array, chars_r: pa.Array, words_r: pa.Array) -> pa.Array:
+    """For each order the clipped matches and both totals of a segment, as one list; segments are counted together, ``UNITS`` characters at a time.
+
+    Texts and words stay in Arrow but for those that are counted, so what a worker holds does not grow with a batch's words.
+    """
+    length = lambda c: pc.utf8_length(c).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(length(chars_h) + length(chars_r)) // UNITS
+    at = np.append(np.flatnonzero(np.diff(ends, prepend=-1)), len(ends))
+    rows = [np.zeros((0, 3 * (CHARS + WORDS)), np.int64)]
+    for a, b in zip(at, at[1:]):
+        ch, wh, cr, wr = (c.slice(a, b - a) for c in (chars_h, words_h, chars_r, words_r))
+        rows.append(np.concatenate([_matches(ch, cr, CHARS), _matches(wh, wr, WORDS)], 1).reshape(b - a, -1))
+    counts = np.concatenate(rows)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel(), pa.int64()))
 
 
 def corpus_chrf(df: DataFrame, groups: list[str], hypothesis: str = "hypothesis", reference: str = "reference") -> DataFrame:
@@ -85,7 +97,7 @@ def corpus_chrf(df: DataFrame, groups: list[str], hypothesis: str = "hypothesis"
     n-grams meet only within a segment, so they are counted there, in one Arrow stage;
     what is shuffled is the partial sums of each group.
     """
-    count = F.pandas_udf(overlap, "array<bigint>")
+    count = F.arrow_udf(overlap, "array<bigint>")
     sums = count(*[f(F.col(c)) for c in (hypothesis, reference) for f in (characters, word_tokens)])
     orders = CHARS + WORDS
     rows = df.select(*groups, sums.alias("__s"))

@@ -175,3 +175,23 @@ def test_chrf(spark):
     pairs = [("the cat sat.", "the cat sat on it."), ("猫が 座る", "猫は座った"), ("", "x"), ("(a b", "a b")]
     df = spark.createDataFrame([("g", a, b) for a, b in pairs], "g string, hypothesis string, reference string")
     assert chrf.corpus_chrf(df, ["g"]).first().chrf == pytest.approx(py_chrf(pairs))
+
+
+def test_chrf_holds_little_of_a_batch():
+    """What is held is what is counted at once, however many segments and words a batch has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [[f"w{i * j % 977}" for j in range(150)] for i in range(4000)]
+    whole = pa.array(["".join(w) for w in words]), pa.array(words)
+    tracemalloc.start()
+    try:
+        out = chrf.overlap(*whole, *whole)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(out) == 4000 and peak < 64 << 20
+    for i in (0, 1, 3999):
+        row = out[i].as_py()
+        assert len(row) == 24 and row[0] == row[1] == row[2] == len("".join(words[i])) and row[-3] == row[-2] == row[-1] == 149
