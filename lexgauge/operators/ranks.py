@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .cut import checkpointed
 
 BINS = 4096
+TARGETS = 100_000  # ranges that each task holds
 
 
 def _place(x: Column, low: Column, high: Column, first: bool) -> Column:
@@ -31,11 +32,11 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, asked: DataFr
     same = lambda left, right: [F.col(f"{left}{g}").eqNullSafe(F.col(f"{right}{g}")) for g in groups] or [F.lit(True)]
     renamed = lambda t: t.withColumnsRenamed({g: f"__t_{g}" for g in groups})
 
-    def matched(t: DataFrame) -> DataFrame:
-        """Rows beside the open ranges of their group that hold them."""
+    def matched(t: DataFrame, ranges: int) -> DataFrame:
+        """Rows beside the open ranges of their group that hold them; up to ``TARGETS`` ranges go to the rows, so that no task gets all rows of a group."""
         on = same("", "__t_")
         on += [F.col("__x").between(F.col("low"), F.col("high"))]
-        return rows.join(renamed(t), on)
+        return rows.join(F.broadcast(renamed(t)) if ranges <= TARGETS else renamed(t), on)
 
     ends = rows.groupBy(*groups).agg(F.min("__x").alias("low"), F.max("__x").alias("high"), F.count("*").alias("inside"))
     need = renamed(asked.select(*groups, F.col("rank").cast("long").alias("rank")).distinct())
@@ -47,9 +48,10 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, asked: DataFr
         open_ = (F.col("low") < F.col("high")) & (F.col("inside") > keep)
         settled.append(state.where(~open_))
         state = state.where(open_)
-        if state.isEmpty():
+        ranges = state.limit(TARGETS + 1).count()
+        if not ranges:
             break
-        bins = matched(state).groupBy(*[F.col(f"__t_{g}").alias(g) for g in groups], "rank", "below", _place(F.col("__x"), F.col("low"), F.col("high"), n == 0).alias("bin")).agg(F.count("*").alias("inside"), F.min("__x").alias("low"), F.max("__x").alias("high"))
+        bins = matched(state, ranges).groupBy(*[F.col(f"__t_{g}").alias(g) for g in groups], "rank", "below", _place(F.col("__x"), F.col("low"), F.col("high"), n == 0).alias("bin")).agg(F.count("*").alias("inside"), F.min("__x").alias("low"), F.max("__x").alias("high"))
         before = F.sum("inside").over(Window.partitionBy(*targets).orderBy("bin")) - F.col("inside")
         bins = bins.withColumn("below", F.col("below") + before)
         state = checkpointed(bins.where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("inside"))).select(*targets, "low", "high", "inside", "below"))
@@ -59,7 +61,8 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, asked: DataFr
     for s in settled[1:]:
         done = done.unionByName(s)
     one = done.where("low = high").select(*targets, F.col("low").alias("x"))
-    few = matched(done.where("low < high")).groupBy(*[F.col(f"__t_{g}").alias(g) for g in groups], "rank", "below").agg(F.sort_array(F.collect_list("__x")).alias("v"))
+    few = done.where("low < high")
+    few = matched(few, few.limit(TARGETS + 1).count()).groupBy(*[F.col(f"__t_{g}").alias(g) for g in groups], "rank", "below").agg(F.sort_array(F.collect_list("__x")).alias("v"))
     return one.unionByName(few.select(*targets, F.get("v", (F.col("rank") - F.col("below")).cast("int")).alias("x")))
 
 

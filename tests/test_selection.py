@@ -3,6 +3,7 @@
 import math
 import random
 import statistics
+import time
 
 import numpy as np
 import pytest
@@ -111,3 +112,58 @@ def test_permuted_is_a_permutation(spark, n):
 def test_weights_are_poisson():
     bounds = [int(b, 16) / 2**32 for b in sampling.weight_bounds()]
     assert bounds[0] == pytest.approx(math.exp(-1)) and sum(1 - b for b in bounds) == pytest.approx(1, abs=1e-6)
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edits_of_near_and_far_texts(spark):
+    """Every band and the whole table."""
+    r = random.Random(4)
+    rows = []
+    for n in (0, 1, 7, 60, 300, 600):
+        a = "".join(r.choice("abcdé日") for _ in range(n))
+        for edits in (0, 1, 30, 33, 50, 80, 400):
+            b = list(a)
+            for _ in range(edits):
+                b.insert(r.randint(0, len(b)), r.choice("xyz")) if r.random() < 0.5 or not b else b.pop(r.randrange(len(b)))
+            rows.append((a, "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string").repartition(4)
+    for x in df.select("a", "b", divergence.distance(df.a, df.b).alias("d")).collect():
+        assert x.d == pytest.approx(plain_edits(x.a, x.b) / max(len(x.a), len(x.b), 1))
+
+
+def test_divergence_of_long_near_texts(spark):
+    """Models of one text meet others once, and near texts in a band: 66 whole tables of 400 million cells take minutes."""
+    text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(20_000))
+    rows = [(f"m{k}", "1", "i", "v", text if k < 10 else text[:50] + "x" + text[50 + k :]) for k in range(12)]
+    df = spark.createDataFrame(rows, "model_name string, run_id string, id string, input_variant string, translation_ja string")
+    began = time.time()
+    got = divergence.item_divergence(df).first()
+    assert time.time() - began < 15
+    far = [k / 20_000 for k in (10, 11)]  # an inserted character and k deleted ones, at one place: k edits
+    between = 1 / len(rows[10][4])
+    assert got.model_count == 12 and got.widest == pytest.approx(far[1])
+    assert got.divergence == pytest.approx((10 * sum(far) + between) / 66, abs=1e-9)
+
+
+def test_ranges_go_to_the_rows(spark):
+    """Rows of a few groups are not dealt out by group, whatever Spark knows of sizes."""
+    df = spark.range(5000).selectExpr("cast(id % 2 as string) AS g", "cast(id * 7919 % 5003 as double) AS v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([("0", 7), ("1", 9)], "g string, rank long")
+        out = ranks.order_statistics(df, ["g"], "v", asked, keep=100)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+        values = {g: sorted(float(i * 7919 % 5003) for i in range(5000) if i % 2 == g) for g in (0, 1)}
+        assert {x.g: x.x for x in out.collect()} == {"0": values[0][7], "1": values[1][9]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
