@@ -89,24 +89,55 @@ def is_smoke(file: str, bundle: str) -> bool:
 WIDTH = 256  # columns of a result file at most
 
 
+def width_bound(spark: SparkSession, root: str, encoding: str = "UTF-8") -> int:
+    """A number of columns that no header below a folder exceeds, ``WIDTH`` + 1 at most; that many too if a line may have more than ``WIDTH`` cells.
+
+    Spark's CSV reader does work for a short row that grows with the square of the schema's width, so files are
+    not read wider than they are.
+    """
+    text = spark.read.options(encoding=encoding, lineSep="\n", recursiveFileLookup=True, pathGlobFilter="*.csv").text(root)
+    line = F.regexp_replace("value", "^\ufeff|\r$", "")
+    count = lambda c, what: F.length(c) - F.length(F.replace(c, F.lit(what)))
+    cells = F.least(count(line, ",") + 1, F.lit(WIDTH + 1))
+    odd = count(line, '"') % 2  # a quoted name goes on in the next line
+    begins = F.when((F.col("_metadata.file_block_start") == 0) & (line != ""), F.monotonically_increasing_id() * 1024 + F.when(odd == 0, cells).otherwise(WIDTH + 1))
+    bare = F.when(cells > WIDTH, count(F.regexp_replace(line, '"[^"]*"', ""), ",") >= WIDTH)
+    files = text.select(F.col("_metadata.file_path").alias("file"), begins.alias("begins"), bare.alias("bare")).groupBy("file").agg((F.min("begins") % 1024).alias("n"), F.max("bare").alias("bare"))
+    most = files.agg(F.max(F.when(F.col("bare"), WIDTH + 1).otherwise(F.col("n")))).first()[0]
+    return int(most or 1)
+
+
 def scan(spark: SparkSession, root: str, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
-    """(rows, heads) of all CSV files below a folder, in one scan whatever their number and headers.
+    """(rows, heads) of all CSV files below a folder, in a few scans whatever their number and headers.
 
     heads: ``file``, ``header`` (its names, without a byte-order mark).  rows: ``file``, ``record_no`` (1-based below the header), ``cells``, a map of
     each name to its text; missing cells are empty.  Files are read whole by a task each, so their rows' numbers
     are in file order; a file without a line has neither.
+
+    Rows meet their header by a broadcast, as there is one a file; none of their cells is sorted or shuffled here.
     """
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(WIDTH + 1)])
-    reader = spark.read.schema(schema).options(header=False, multiLine=True, quote='"', escape='"', encoding=encoding, recursiveFileLookup=True, pathGlobFilter="*.csv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    too_wide = F.when(F.col(f"_c{WIDTH}").isNotNull(), F.raise_error(F.concat(F.lit(f"more than {WIDTH} columns: "), F.col("_metadata.file_path")))).cast("string")
-    df = reader.csv(root).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.array(*[F.col(f"_c{i}") for i in range(WIDTH)], too_wide).alias("all"))
-    heads = df.groupBy("file").agg(F.min("row").alias("first"), F.min_by("all", "row").alias("all"))
+    reader = spark.read.options(header=False, multiLine=True, quote='"', escape='"', encoding=encoding, recursiveFileLookup=True, pathGlobFilter="*.csv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+    def read(width: int) -> tuple[DataFrame, DataFrame]:
+        """Lines of ``width`` cells, and each file's first."""
+        schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
+        cells = [F.col(f"_c{i}") for i in range(width)]
+        if width > WIDTH:
+            cells[WIDTH] = F.when(cells[WIDTH].isNotNull(), F.raise_error(F.concat(F.lit(f"more than {WIDTH} columns: "), F.col("_metadata.file_path")))).cast("string")
+        df = reader.schema(schema).csv(root).select(F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("row"), F.array(*cells).alias("all"))
+        return df, df.groupBy(F.col("__file").alias("file")).agg(F.min("row").alias("first"))
+
+    bound = width_bound(spark, root, encoding)
+    df, firsts = read(bound)
+    here = df.join(F.broadcast(firsts), F.col("__file") == F.col("file"))
     names = F.transform(F.filter("all", lambda x: x.isNotNull()), lambda x: F.regexp_replace(x, "^\ufeff", ""))
-    heads = heads.select("file", "first", names.alias("header"))
+    heads = here.where(F.col("row") == F.col("first")).select("file", names.alias("header"))
     # of names that stand twice in a header the last counts; found once a file
     last = F.filter(F.transform("header", lambda x, i: F.struct(x.alias("name"), i.alias("at"))), lambda e, i: ~F.array_contains(F.slice("header", i + 2, F.lit(WIDTH)), e["name"]))
-    heads = heads.withColumn("spots", last)
-    beside = df.select(F.col("file").alias("__file"), "row", "all").join(heads, F.col("__file") == F.col("file")).where(F.col("row") > F.col("first"))
+    heads = checkpointed(heads.withColumn("spots", last))
+    # rows' numbers hold within a query: files may be dealt out otherwise in the next
+    known = heads.select(F.col("file").alias("__f"), "spots").join(F.broadcast(firsts), F.col("__f") == F.col("file")).select("file", "first", "spots")
+    beside = df.join(F.broadcast(known), F.col("__file") == F.col("file")).where(F.col("row") > F.col("first"))
     cells = F.map_from_arrays(F.col("spots.name"), F.transform(F.col("spots.at"), lambda i: F.coalesce(F.get("all", i), F.lit(""))))
     rows = beside.select("file", (F.col("row") - F.col("first")).alias("record_no"), cells.alias("cells"))
     return rows, heads.select("file", "header")
@@ -134,7 +165,8 @@ def _firsts(rows: DataFrame, label: str) -> tuple[DataFrame, list[DataFrame]]:
     keys = ["bundle", *K]
     some = rows.where("k_id != ''")
     first = written(some.groupBy(*keys).agg(F.min(F.struct("file", "record_no")).alias("first")), "firsts").withColumnsRenamed({k: f"__{k}" for k in keys})
-    marked = some.join(first, [F.col(k) == F.col(f"__{k}") for k in keys]).withColumn("is_first", F.struct("file", "record_no") == F.col("first"))
+    # keys are as many as rows, and a packed table of them looks small: they must not go through the driver
+    marked = some.join(first.hint("merge"), [F.col(k) == F.col(f"__{k}") for k in keys]).withColumn("is_first", F.struct("file", "record_no") == F.col("first"))
     again = findings(marked.where("not is_first"), "ERROR", f"{label}: duplicate composite key", F.col("k_model_name"), F.col("file"), key_text(*K))
     line = F.concat(F.lit("line "), (F.col("record_no") + 1).cast("string"))
     no_id = findings(rows.where("k_id = ''"), "ERROR", f"{label}: missing id", F.col("k_model_name"), F.col("file"), line)
@@ -184,7 +216,7 @@ def load_tree(spark: SparkSession, root: str, models: list[str] | None = None, e
     good = used.where(F.size("missing") == 0)
     columns = sorted(r[0] for r in good.select(F.explode("header").alias("c")).distinct().collect())
     # written once, so that the files are not read again for each kind and finding
-    cells = checkpointed(_keyed(rows.join(good.select(F.col("file").alias("__f"), "bundle", "kind", "header"), F.col("file") == F.col("__f"))))
+    cells = written(_keyed(rows.join(good.select(F.col("file").alias("__f"), "bundle", "kind", "header"), F.col("file") == F.col("__f"))), "cells")
 
     sides = []
     for k in ("raw", "rule"):
@@ -193,12 +225,13 @@ def load_tree(spark: SparkSession, root: str, models: list[str] | None = None, e
         notes += found
     raw, rule = sides
     keys = ["bundle", *K]
-    both = raw.withColumnRenamed("cells", "raw").join(rule.withColumnRenamed("cells", "rule"), keys, "full")
+    both = written(raw.withColumnRenamed("cells", "raw").join(rule.withColumnRenamed("cells", "rule").hint("merge"), keys, "full"), "pairs")
     alone = lambda c, issue: findings(both.where(F.col(c).isNull()), "ERROR", issue, F.col("k_model_name"), "", key_text(*K))
     notes += [alone("rule", "raw row has no matching rule_evaluation row"), alone("raw", "rule_evaluation row has no matching raw row")]
     facts = both.select(*keys, over(F.col("raw"), F.col("rule")).alias("cells"))
 
-    for k in ("comet", "chrf", "human"):
+    scored = set().union(*(kinds[n] for n in whole))
+    for k in (k for k in ("comet", "chrf", "human") if k in scored):
         mine = cells.where(F.col("kind") == k)
         line = F.concat(F.lit("line "), (F.col("record_no") + 1).cast("string"))
         notes.append(findings(mine.where("k_id = ''"), "WARNING", f"{k}: missing id", F.col("bundle"), F.col("file"), line))
@@ -212,13 +245,13 @@ def load_tree(spark: SparkSession, root: str, models: list[str] | None = None, e
         each = mine.select(*keys, "file", "record_no", F.explode(F.concat(own, number)).alias("e"))
         last = each.groupBy(*keys, F.col("e.key").alias("c")).agg(F.max_by("e.value", F.struct("file", "record_no")).alias("v"))
         wide = last.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("more"))
-        facts = facts.join(wide, keys, "left").select(*keys, over(F.col("cells"), F.col("more")).alias("cells"))
-        columns = sorted({*columns, f"{k}_score"})
+        facts = facts.join(wide.hint("merge"), keys, "left").select(*keys, over(F.col("cells"), F.col("more")).alias("cells"))
+    columns = sorted({*columns, *(f"{k}_score" for k in ("comet", "chrf", "human"))})
     if models:
         kept = facts.where(F.col("bundle").isin(models) | F.col("cells")["model_name"].isin(models) | (~F.map_contains_key("cells", "model_name") & F.col("k_model_name").isin(models))).select(F.col("bundle").alias("__b")).distinct()
         facts = facts.join(kept, F.col("bundle") == F.col("__b"), "left_semi")
     cell = lambda c: F.coalesce(F.col("cells")[c], F.col(f"k_{c}")) if c in KEY else F.col("cells")[c]
-    facts = checkpointed(facts.select(*[cell(c).alias(c) for c in [*KEY, *[c for c in columns if c not in KEY]]], "bundle"))
+    facts = written(facts, "facts").select(*[cell(c).alias(c) for c in [*KEY, *[c for c in columns if c not in KEY]]], "bundle")
     names = sorted(r[0] for r in facts.select("bundle").distinct().collect())
     if not names:
         return Tree(None if models else facts, reduce(DataFrame.unionByName, notes), [] if models else whole)

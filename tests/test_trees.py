@@ -5,7 +5,7 @@ import uuid
 import pytest
 
 from lexgauge.sinks.reports import export_csv, write_corpora, write_csv
-from lexgauge.sources.result_tree import load_tree
+from lexgauge.sources.result_tree import load_tree, scan
 
 KEY = "model_name,run_id,id,input_variant"
 
@@ -57,6 +57,31 @@ def test_flat_folder_and_nothing(spark, tmp_path):
     assert only.facts is None and only.bundles == []
 
 
+def test_files_are_read_as_wide_as_their_headers(spark, tmp_path):
+    """Spark's reader does work for a short row that grows with the square of the width, so rows are not read 257 wide."""
+    files = {"a": "\ufeffx,y,z\n1,2\n\"3\n,\",4,5,6\n", "b": "\r\n\r\nx,y\r\n7,8\r\n", "c": "p\n9\n", "d": ""}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    rows, heads = scan(spark, str(tmp_path))
+    assert "_c3" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    name = lambda f: f.rsplit("/", 1)[1][0]
+    assert {name(h.file): h.header for h in heads.collect()} == {"a": ["x", "y", "z"], "b": ["x", "y"], "c": ["p"]}
+    got = {(name(r.file), r.record_no): r.cells for r in rows.collect()}
+    assert got == {("a", 1): {"x": "1", "y": "2", "z": ""}, ("a", 2): {"x": "3\n,", "y": "4", "z": "5"}, ("b", 1): {"x": "7", "y": "8"}, ("c", 1): {"p": "9"}}
+
+
+def test_headers_of_many_names(spark, tmp_path):
+    """A name with a line break hides how many follow."""
+    names = ['"a\nb"', *[f"c{i}" for i in range(99)]]
+    (tmp_path / "w.csv").write_text(",".join(names) + "\n" + ",".join(map(str, range(100))) + "\n")
+    rows, _ = scan(spark, str(tmp_path))
+    cells = rows.first().cells
+    assert len(cells) == 100 and cells["a\nb"] == "0" and cells["c98"] == "99"
+    (tmp_path / "w.csv").write_text("a,b\n" + ",".join("1" * 257) + "\n")
+    with pytest.raises(Exception, match="more than 256 columns"):
+        scan(spark, str(tmp_path))[0].collect()
+
+
 @pytest.mark.parametrize("n", [0, 5000])
 def test_export_has_the_bytes_of_the_plain_writer(spark, tmp_path, n):
     rows = [(i * 7919 % 10007, f'a "quoted"\nline, {i}', i / 3 if i % 5 else None, i % 2 == 0, "日本語") for i in range(n)]
