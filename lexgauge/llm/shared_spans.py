@@ -11,12 +11,14 @@ own index:
    hash is sent once.
 3. The surroundings of recurring anchors (26 bytes on either side) are shuffled by anchor.
    Equal surroundings are held once, by the smallest id; in the others all is marked.
-4. What differs within an anchor's group is ranked by id.  For each bit of the ranks, from the
-   highest, strings whose bit is 0 are indexed, and those with the bit set and the same
-   higher bits are streamed against the index, so that each sees all of smaller ids and none
-   else.  A code of the group and the higher bits stands in the anchor's place; a match as
-   long as the window holds it, so strings of other groups never match.  Windows already
-   marked are neither indexed nor streamed: an earlier string has them.
+4. What differs within an anchor's group falls into families that share the bytes next to the
+   anchor, on its left for one half of the windows and on its right for the other, and is
+   ranked by id.  For each bit of the ranks, from the highest, strings whose bit is 0 are
+   indexed, and those with the bit set and the same higher bits are streamed against the
+   index, so that each sees all of smaller ids and none else.  A code of the family and the
+   higher bits stands in the anchor's place; a match as long as the window holds it, so strings
+   of other families never match.  Strings of which all windows are marked are neither indexed nor
+   streamed: an earlier string has them.
 5. Marks go back to their units, runs are merged and bytes cut out.
 
 A bucket beyond ``bucket_bytes`` (an anchor with a large share of all surroundings) is resolved
@@ -41,6 +43,10 @@ from .run_index import RunIndex
 K = 24  # bytes of an anchor
 CODE = 3  # symbols that stand for it
 CHUNK = 1 << 18
+SLICE = 4 << 20  # bytes of text whose anchors are found at once
+PART = 16 << 20  # bytes of text whose messages are packed at once
+MANY = 256  # parts from which on they grow
+PIECE = 1 << 16  # surroundings with one index
 MASK = np.uint64((1 << 24) - 1)
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -50,6 +56,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def bucket_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of anchors: hashes are mixed again, as those of anchors are the smallest of many and most have the same leading bits."""
+    return (_mix(h) >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of documents laid end to end: the leftmost smallest hash of each window that lies in one document."""
     n, span = len(data), length - K + 1
@@ -133,29 +144,39 @@ ANCHORS = "bucket int, part int, units binary, keys binary"
 _ANCHOR_FIELDS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("units", pa.binary()), ("keys", pa.binary())])
 
 
-def _find_anchors(length: int, shift: int, parts: int):
-    """Hashes of anchors by bucket with their units; those of two units of the slice go straight back, and to their bucket once without a unit."""
+def _find_anchors(length: int, parts: int, held_bytes: int = PART):
+    """Hashes of anchors by bucket with their units, packed for ``held_bytes`` of text at once; those of two units there go straight back, and to their bucket once without a unit."""
+
+    def packed(units: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(h, kind="stable")  # a unit's anchors come together, and so do its equal ones
+        order = order[_starts(h[order], units[order])]
+        at = _starts(h[order])
+        sizes = np.diff(np.append(at, len(order)))
+        many = sizes > 1
+        again = order[np.repeat(many, sizes)]
+        rows = [{"part": b, "units": u, "keys": keys} for b, u, keys in _packed(units[again], h[again], parts)]
+        sent, shared = np.zeros((2, len(h)), bool)
+        sent[order[at]], shared[order[at]] = True, many
+        sent, whose = h[sent], np.where(shared, -1, units)[sent]  # runs of one owner compress
+        bucket = bucket_of(sent, parts)
+        o = np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")
+        rows += [{"bucket": int(b), "units": u, "keys": keys} for b, (u, keys) in _blobs([whose[o], sent[o]], bucket[o])]
+        return pa.RecordBatch.from_pylist(rows, schema=_ANCHOR_FIELDS)
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                units = part.column(0).to_numpy()
+            for part in slices(batch, 1, SLICE):
                 data, ends = _slice_bytes(part.column(1))
                 p, h = anchors(data, ends, length)
                 owner = np.searchsorted(ends, p, side="right")
-                order = np.lexsort((owner, h))
-                h, owner = h[order], owner[order]
-                keep = _starts(h, owner)
-                h, owner = h[keep], owner[keep]
-                at = _starts(h)
-                many = np.diff(np.append(at, len(h))) > 1
-                again = np.repeat(many, np.diff(np.append(at, len(h))))
-                rows = [{"part": b, "units": u, "keys": keys} for b, u, keys in _packed(units[owner[again]], h[again], parts)]
-                sent, whose = h[at], np.where(many, -1, units[owner[at]])
-                o = np.lexsort((whose, sent >> np.uint64(shift)))  # runs of one owner compress
-                sent, whose = sent[o], whose[o]
-                rows += [{"bucket": int(b), "units": u, "keys": keys} for b, (u, keys) in _blobs([whose, sent], sent >> np.uint64(shift))]
-                yield pa.RecordBatch.from_pylist(rows, schema=_ANCHOR_FIELDS)
+                held.append((part.column(0).to_numpy()[owner], h))
+                size += len(data)
+                if size >= held_bytes:
+                    yield packed(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield packed(*map(np.concatenate, zip(*held)))
 
     return lean(run)
 
@@ -209,8 +230,8 @@ def _pair(unit: np.ndarray, h: np.ndarray) -> np.ndarray:
     return h ^ _mix(unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _find_places(length: int, shift: int, parts: int):
-    """Surroundings of a part's asked anchors by bucket; those equal to a smaller id's in the slice are marked at once."""
+def _find_places(length: int, parts: int):
+    """Surroundings of a part's asked anchors by bucket; those equal to a smaller id's in the part are marked at once."""
     side = length - K
 
     def places(part: pa.RecordBatch, asked: np.ndarray):
@@ -225,24 +246,25 @@ def _find_places(length: int, shift: int, parts: int):
         column = np.arange(-side, K + side)
         body = data[np.clip(p[:, None] + column, 0, max(0, len(data) - 1))]
         body[(column < -sides[:, :1].astype(int)) | (column >= K + sides[:, 1:].astype(int))] = 0
-        at = p - begins[owner]
-        order, _, first, _ = _distinct(h, body, sides, docs[owner])
-        p, h, owner, sides, body, at = p[order], h[order], owner[order], sides[order], body[order], at[order]
-        spans, whole = _whole_spans(at, sides, length)
-        done = ~first & whole
-        for b, u, marks in _packed(units[owner[done]], spans[done].astype(np.int32), parts):
-            yield {"part": b, "units": u, "spans": marks}
-        h, owner, sides, body, at = h[first], owner[first], sides[first], body[first], at[first]
-        for b, x in _blobs([body, sides, h, docs[owner], units[owner], at.astype(np.int32)], h >> np.uint64(shift)):
-            yield {"bucket": int(b), "n": len(x[2]) // 8} | dict(zip(("body", "sides", "keys", "docs", "units", "at"), x))
+        return body, sides, h, docs[owner], units[owner], (p - begins[owner]).astype(np.int32)
 
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
         pairs = _pair(_joined(asked["units"], np.int64), _joined(asked["keys"], np.uint64))
         rows = []
-        if len(pairs):
-            for batch in texts.select(["unit", "first_id", "text"]).to_batches():
-                for part in slices(batch, 2, 4 << 20):
-                    rows.extend(places(part, pairs))
+        if len(pairs) and len(texts):
+            found = [places(part, pairs) for batch in texts.select(["unit", "first_id", "text"]).to_batches() for part in slices(batch, 2, SLICE)]
+            body, sides, h, docs, units, at = map(np.concatenate, zip(*found))
+            del found
+            order, _, first, _ = _distinct(h, body, sides, docs)
+            spans, whole = _whole_spans(at[order].astype(np.int64), sides[order], length)
+            done = ~first & whole
+            rows = [{"part": b, "units": u, "spans": marks} for b, u, marks in _packed(units[order[done]], spans[done].astype(np.int32), parts)]
+            order = order[first]
+            bucket = bucket_of(h[order], parts)
+            by = np.argsort(bucket, kind="stable")
+            order = order[by]
+            for b, x in _blobs([c[order] for c in (body, sides, h, docs, units, at)], bucket[by]):
+                rows.append({"bucket": int(b), "n": len(x[2]) // 8} | dict(zip(("body", "sides", "keys", "docs", "units", "at"), x)))
         return pa.Table.from_pylist(rows, schema=_PLACE_FIELDS)
 
     return lean_table(run)
@@ -255,91 +277,152 @@ def _read_places(table, length):
     return body, sides, _joined(table["keys"], np.uint64), _joined(table["docs"], np.int64), _joined(table["units"], np.int64), _joined(table["at"], np.int32).astype(np.int64)
 
 
-def _stream(body: np.ndarray, sides: np.ndarray, code: np.ndarray, indexed: np.ndarray, asked: np.ndarray, side: int, window: int):
-    """(asked string, bytes left of the anchor) of windows that the index of the other strings holds."""
+def _stream(text: np.ndarray, there: np.ndarray, code: np.ndarray, left: int, indexed: np.ndarray, asked: np.ndarray, window: int):
+    """(asked string, symbols left of the code) of windows that the index of the other strings holds; ``left`` of a string's places lie left of the code."""
 
-    def symbols(rows, right):
+    def symbols(rows):
         digits = 257 + np.stack([code[rows] // 65025, code[rows] // 255 % 255, code[rows] % 255], 1)
-        wide = np.concatenate([body[rows, :side].astype(np.int64) + 1, digits, body[rows, side + K :].astype(np.int64) + 1], 1)
-        column = np.arange(-side, CODE + side)
-        there = (column >= -sides[rows, :1].astype(int)) & (column < CODE + sides[rows, 1:].astype(int))
-        return wide, there
+        wide = np.concatenate([text[rows, :left].astype(np.int16) + 1, digits.astype(np.int16), text[rows, left:].astype(np.int16) + 1], 1)
+        return wide, np.concatenate([there[rows, :left], np.ones((len(rows), CODE), bool), there[rows, left:]], 1)
 
-    wide, there = symbols(indexed, False)
-    wide = np.concatenate([wide, np.zeros((len(wide), 1), np.int64)], 1)
-    index = RunIndex(wide[np.concatenate([there, np.ones((len(there), 1), bool)], 1)])
+    wide, held = symbols(indexed)
+    wide = np.concatenate([wide, np.zeros((len(wide), 1), np.int16)], 1)
+    index = RunIndex(wide[np.concatenate([held, np.ones((len(held), 1), bool)], 1)])
 
-    sizes = sides[asked].astype(int).sum(1) + CODE
+    sizes = there[asked].sum(1) + CODE
     order = np.argsort(-sizes, kind="stable")
     asked, sizes = asked[order], sizes[order]
-    wide, there = symbols(asked, True)
+    before = there[asked, :left].sum(1)
+    wide, held = symbols(asked)
     pattern = np.full(wide.shape, -1, np.int16)  # aligned to the right
-    pattern[np.arange(wide.shape[1]) >= wide.shape[1] - sizes[:, None]] = wide[there]
+    pattern[np.arange(wide.shape[1]) >= wide.shape[1] - sizes[:, None]] = wide[held]
     for t, live, length in index.matching_statistics(pattern, sizes):
         hit = np.flatnonzero(length >= window)
         if len(hit):
-            yield asked[hit], sides[asked[hit], 0].astype(int) - (sizes[hit] - 1 - t)
+            yield asked[hit], before[hit] - (sizes[hit] - 1 - t)
+
+
+def _digests(cells: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of 64 bits for each row of bytes and of further numbers."""
+    r = np.random.default_rng(11).integers(1, 1 << 63, (2, cells.shape[1]), np.uint64) | np.uint64(1)
+    a, b = np.zeros(len(cells), np.uint64), np.zeros(len(cells), np.uint64)
+    for x in more:
+        x = x.astype(np.uint64)
+        a, b = _mix((a + x) * np.uint64(0x9E3779B97F4A7C15)), _mix((b ^ x) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+    for j in range(cells.shape[1]):
+        x = cells[:, j].astype(np.uint64) + np.uint64(1)
+        a += x * r[0, j]
+        b = _mix(b + x * r[1, j])
+    return a, b
+
+
+def _dense_ranks(family: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Ranks from 0 within families, equal for equal ranks; both are sorted."""
+    head = _starts(family)
+    step = np.concatenate([[0], (family[1:] == family[:-1]) & (rank[1:] != rank[:-1])]).cumsum() if len(family) else np.zeros(0, np.int64)
+    return step - np.repeat(step[head], np.diff(np.append(head, len(family))))
 
 
 def _marked_windows(body: np.ndarray, sides: np.ndarray, group: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """For each string and each number of bytes left of the anchor: does a string of its group and a smaller rank hold that window?"""
+    """For each string and each number of bytes left of the anchor: does a string of its group and a smaller rank hold that window?
+
+    A window with fewer than half its free bytes left of the anchor has all of the nearest bytes right of it, any
+    other has those left of it.  So each half of the windows is sought in families of strings that share
+    these bytes, and only in the bytes beyond them, which the half's windows can reach.
+    """
     side = length - K
-    lefts = np.arange(side + 1)
-    opened = (lefts <= sides[:, :1]) & (side - lefts <= sides[:, 1:])
-    marked = np.zeros_like(opened)
+    marked = np.zeros((len(body), side + 1), bool)
     half = (side + 1) // 2
-    # a window with fewer than ``half`` bytes left of the anchor has the first ``side - half + 1`` bytes right of it, any other ``half`` bytes left of it
-    near = ((slice(0, half), slice(side + K, side + K + side - half + 1)), (slice(half, side + 1), slice(side - half, side)))
-    r = np.random.default_rng(11).integers(1, 1 << 63, side + 1, np.uint64) | np.uint64(1)
-    sums = [reduce(np.add, [body[:, c].astype(np.uint64) * r[c - s.start] for c in range(s.start, s.stop)], np.zeros(len(body), np.uint64)) for _, s in near]
-    most = np.zeros(int(group.max(initial=0)) + 1, np.int64)
-    np.maximum.at(most, group, rank)
+    places = np.arange(-side, K + side)
+    for first, last, near in ((0, half - 1, slice(side + K, 2 * side + K - half + 1)), (half, side, slice(side - half, side))):
+        begin, end = min(near.start, side), max(near.stop, side + K)
+        far = np.r_[side - last : begin, end : 2 * side + K - first]
+        left = begin - (side - last)
+        low, high = np.maximum(first, side - sides[:, 1].astype(int)) - first, np.minimum(last, sides[:, 0].astype(int)) - first  # of the windows a string holds
+        able = np.flatnonzero(low <= high)
+        a, b = _digests(body[able, near], group[able])
+        order = np.lexsort((rank[able], b, a))
+        at = _starts(a[order], b[order])
+        sizes = np.diff(np.append(at, len(order)))
+        able = able[order]
+        several = rank[able[at]] < rank[able[at + sizes - 1]]
+        able, family = able[np.repeat(several, sizes)], np.repeat(np.arange(several.sum()), sizes[several])
+        if not len(able):
+            continue
+        low, high, own = low[able], high[able], rank[able]
+        text = body[able][:, far]
+        there = (places[far] >= -sides[able, :1].astype(int)) & (places[far] < K + sides[able, 1:].astype(int))
+        # strings that are equal as far as the half's windows reach are sought once, and all windows of the later ones are marked
+        a, b = _digests(text, family, there[:, :left].sum(1), there[:, left:].sum(1))
+        order = np.lexsort((own, b, a))
+        at = _starts(a[order], b[order])
+        kept = np.sort(order[at])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(np.searchsorted(kept, order[at]), np.diff(np.append(at, len(order))))
+        found = _marks_of_families(text[kept], there[kept], left, family[kept], _dense_ranks(family[kept], own[kept]), low[kept], high[kept], side - (near.stop - near.start) + CODE)
+        later = (own > own[kept][which])[:, None]
+        lefts = np.arange(last - first + 1)
+        marked[able, first : last + 1] = found[which] | (later & (lefts >= low[:, None]) & (lefts <= high[:, None]))
+    return marked
+
+
+def _marks_of_families(text: np.ndarray, there: np.ndarray, left: int, family: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> np.ndarray:
+    """For distinct strings of families: which of the windows ``low`` to ``high`` a smaller rank of the family holds.  Families and ranks ascend."""
+    lefts = np.arange(left + 1)
+    opened = (lefts >= low[:, None]) & (lefts <= high[:, None])
+    marked = np.zeros_like(opened)
+    most = np.zeros(int(family.max(initial=0)) + 1, np.int64)
+    np.maximum.at(most, family, rank)
     for j in reversed(range(int(rank.max(initial=0)).bit_length())):
-        rows = np.flatnonzero(most[group] >> j)
-        higher = (group[rows].astype(np.int64) << 32) | (rank[rows] >> (j + 1))
-        code = np.zeros(len(group), np.int64)
-        code[rows] = np.unique(higher, return_inverse=True)[1]
-        bit = ((rank[rows] >> j) & 1).astype(bool)
-        indexed, asked = np.zeros(len(group), bool), np.zeros(len(group), bool)
-        for (cols, _), total in zip(near, sums):
-            able = opened[rows, cols].any(1)
-            key = _mix(total[rows] + code[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            zero, one = rows[able & ~bit], rows[able & bit]
-            a, b = key[able & ~bit], key[able & bit]
-            indexed[zero[np.isin(a, b)]] = True
-            asked[one[np.isin(b, a)]] = True
-        if not asked.any():
+        rows = np.flatnonzero((most[family] >> j > 0) & opened.any(1))
+        bit = (rank[rows] >> j) & 1
+        at = _starts((family[rows] << 32) | (rank[rows] >> (j + 1)))
+        sizes = np.diff(np.append(at, len(rows)))
+        ones = np.add.reduceat(bit, at) if len(at) else at
+        both = (ones > 0) & (ones < sizes)
+        if not both.any():
             continue
-        used = np.flatnonzero(indexed | asked)
-        code[used] = np.unique(code[used], return_inverse=True)[1]
-        for which, left in _stream(body, sides, code, np.flatnonzero(indexed), np.flatnonzero(asked), side, side + CODE):
-            marked[which, left] = True
+        code = np.zeros(len(family), np.int64)
+        code[rows] = np.repeat(np.cumsum(both) - 1, sizes)
+        take = np.repeat(both, sizes)
+        rows, bit = rows[take], bit[take] > 0
+        for which, before in _stream(text, there, code, left, rows[~bit], rows[bit], window):
+            marked[which, before] = True
         opened &= ~marked
     return marked
 
 
+def _marks_of_piece(body, sides, key, doc, unit, at, length):
+    """(unit, start and end) of what surroundings of smaller ids hold too; all surroundings of an anchor are there."""
+    order, which, first, starts = _distinct(key, body, sides, doc)
+    body, sides, key, doc, unit, at = body[order], sides[order], key[order], doc[order], unit[order], at[order]
+    spans, whole = _whole_spans(at, sides, length)
+    units, out = [unit[~first & whole]], [spans[~first & whole]]
+    group = np.cumsum(np.concatenate([[0], key[starts][1:] != key[starts][:-1]])) if len(starts) else np.zeros(0, np.int64)
+    by_doc = np.lexsort((doc[starts], group))
+    g, d = group[by_doc], doc[starts][by_doc]
+    rank = np.empty(len(g), np.int64)
+    rank[by_doc] = _dense_ranks(g, d)
+    marked = _marked_windows(body[starts], sides[starts], group, rank, length)
+    any_marked = marked.any(1)[which] & first
+    rows = np.flatnonzero(any_marked)
+    i, left = np.nonzero(marked[which[rows]])
+    begin = at[rows][i] - left
+    units.append(unit[rows][i])
+    out.append(np.stack([begin, begin + length], 1))
+    return np.concatenate(units), np.concatenate(out).astype(np.int32)
+
+
 def _marks_of_bucket(length: int, parts: int):
+    """A bucket's anchors are dealt into pieces, so that an index stays small however many surroundings a bucket has."""
+
     def run(table: pa.Table) -> pa.Table:
-        body, sides, key, doc, unit, at = _read_places(table, length)
-        order, which, first, starts = _distinct(key, body, sides, doc)
-        body, sides, key, doc, unit, at = body[order], sides[order], key[order], doc[order], unit[order], at[order]
-        spans, whole = _whole_spans(at, sides, length)
-        units, out = [unit[~first & whole]], [spans[~first & whole]]
-        group = np.cumsum(np.concatenate([[0], key[starts][1:] != key[starts][:-1]])) if len(starts) else np.zeros(0, np.int64)
-        by_doc = np.lexsort((doc[starts], group))
-        g, d = group[by_doc], doc[starts][by_doc]
-        step = np.concatenate([[0], (g[1:] == g[:-1]) & (d[1:] != d[:-1])]).cumsum() if len(g) else np.zeros(0, np.int64)
-        head = _starts(g)
-        rank = np.empty(len(g), np.int64)
-        rank[by_doc] = step - np.repeat(step[head], np.diff(np.append(head, len(g))))
-        marked = _marked_windows(body[starts], sides[starts], group, rank, length)
-        any_marked = marked.any(1)[which] & first
-        rows = np.flatnonzero(any_marked)
-        i, left = np.nonzero(marked[which[rows]])
-        begin = at[rows][i] - left
-        units.append(unit[rows][i])
-        out.append(np.stack([begin, begin + length], 1))
-        return _to_table(_packed(np.concatenate(units), np.concatenate(out).astype(np.int32), parts), "spans")
+        places = _read_places(table, length)
+        piece = _mix(places[2] ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(len(places[2]) // PIECE + 1)
+        order = np.argsort(piece, kind="stable")
+        at = _starts(piece[order])
+        marks = [_marks_of_piece(*[x[order[a:b]] for x in places], length) for a, b in zip(at, np.append(at[1:], len(order)))]
+        return _to_table(_packed(*map(np.concatenate, zip(*marks)), parts), "spans")
 
     return lean_table(run)
 
@@ -408,8 +491,9 @@ def _written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 
 def parts_for(total_bytes: int, part_bytes: int) -> int:
-    """A power of two, one part for about ``part_bytes``."""
-    return 1 << min(24, max(1, int(np.ceil(np.log2(max(2.0, total_bytes / part_bytes))))))
+    """A power of two: one part for about ``part_bytes``, and beyond 256 parts for four times as many, as messages are packed by part and bucket and their number grows with the square of the parts."""
+    wanted = max(2.0, total_bytes / part_bytes)
+    return 1 << min(24, int(np.ceil(np.log2(wanted if wanted <= MANY else max(MANY, wanted / 4)))))
 
 
 def shared_marks(units: DataFrame, length: int, parts: int, bucket_bytes: int = 256 << 20) -> DataFrame:
@@ -419,13 +503,12 @@ def shared_marks(units: DataFrame, length: int, parts: int, bucket_bytes: int =
     as parts; one whose surroundings exceed ``bucket_bytes`` is resolved by windows.
     """
     spark = units.sparkSession
-    shift = 65 - parts.bit_length()
     named = units.where(F.col("first_id").isNotNull() & (F.octet_length("text") >= length)).select("part", "unit", "first_id", "text")
-    found = _written(spark, named.select("unit", "text").mapInArrow(_find_anchors(length, shift, parts), ANCHORS), "anchors")
+    found = _written(spark, named.select("unit", "text").mapInArrow(_find_anchors(length, parts), ANCHORS), "anchors")
     back = found.where("bucket is not null").select("bucket", "units", "keys").groupBy("bucket").applyInArrow(_recurring(parts), "part int, units binary, keys binary")
     asked = _written(spark, back.unionByName(found.where("bucket is null").select("part", "units", "keys")), "asked-anchors")
     drop_path(spark, found.written_to)
-    places = _written(spark, named.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_find_places(length, shift, parts), PLACES), "places")
+    places = _written(spark, named.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_find_places(length, parts), PLACES), "places")
     drop_path(spark, asked.written_to)
     todo = places.where("bucket is not null")
     large = _written(spark, todo.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * length) > bucket_bytes).select("bucket"), "large-buckets")
@@ -449,7 +532,7 @@ def shared_marks(units: DataFrame, length: int, parts: int, bucket_bytes: int =
     return out
 
 
-def strip_shared(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", outputs: dict[str, Column] | None = None, bucket_bytes: int = 256 << 20, part_bytes: int = 4 << 20) -> DataFrame:
+def strip_shared(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", outputs: dict[str, Column] | None = None, bucket_bytes: int = 256 << 20, part_bytes: int = SLICE) -> DataFrame:
     """Rows of ``docs`` with what is left of each text once all strings of ``length`` bytes that start in a text of a smaller id are taken out.
 
     ``outputs`` are columns computed from ``kept`` (the remaining bytes) and ``removed`` (an array of

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from lexgauge.llm import queries, run_index, shared_spans
@@ -116,3 +118,45 @@ def test_matching_statistics():
             for i in range(live):
                 rest = patterns[i][len(patterns[i]) - 1 - t :]
                 assert lengths[i] == max(n for n in range(len(rest) + 1) if not n or tuple(rest[:n]) in held)
+
+
+def test_buckets_are_even_and_messages_few(spark, monkeypatch):
+    """Anchors' hashes are the smallest of many, so most share their leading bits; the bucket must not come from these."""
+    r = random.Random(4)
+    passages = [" ".join(str(r.randint(0, 9999)) for _ in range(60)) for _ in range(80)]
+    rows = [(i, f"{r.random()}{r.choice(passages)}{r.random()}{r.choice(passages)}") for i in range(400)]
+    sizes, written = {}, shared_spans._written
+
+    def spy(spark, df, label):
+        out = written(spark, df, label)
+        if label == "places":
+            sizes.update(out.where("bucket is not null").groupBy("bucket").sum("n").collect())
+        return out
+
+    monkeypatch.setattr(shared_spans, "_written", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(shared_spans.strip_shared(df, part_bytes=5000)) == sorted(plain(rows, 50), key=key)
+    assert len(sizes) > 32 and max(sizes.values()) < 4 * sum(sizes.values()) / len(sizes)
+    small, large = (shared_spans.parts_for(n << 30, 4 << 20) for n in (1, 10))
+    assert small == 256 and large <= 1024  # messages between parts and buckets: the square
+
+
+def test_pieces_of_a_bucket(monkeypatch):
+    """A bucket's marks do not depend on how its anchors are dealt into pieces, nor on how many strings one anchor has."""
+    r = random.Random(5)
+    core = "".join(r.choice("abcdefgh") for _ in range(40))
+    texts = ["".join(r.choice("ab") for _ in range(30)) + core[: r.randint(24, 40)] + "".join(r.choice("ab") for _ in range(30)) for _ in range(200)]
+    texts += [r.choice(texts)[:60] + "".join(r.choice("abc") for _ in range(60)) for _ in range(200)]
+    column = pa.array(texts, pa.large_string())
+    units = pa.table({"unit": pa.array(range(400), pa.int64()), "first_id": pa.array(range(400), pa.int64()), "text": column})
+    data, ends = shared_spans._slice_bytes(column)
+    p, h = shared_spans.anchors(data, ends, 50)
+    asked = pa.table({"units": [np.searchsorted(ends, p, side="right").astype(np.int64).tobytes()], "keys": [h.tobytes()]})
+    places = shared_spans._find_places(50, 2)(units, asked)
+    expected = {(i, a) for i, t in enumerate(texts) for a in range(len(t) - 49) if any(t[a : a + 50] in s for s in texts[:i])}
+    for piece in (1 << 16, 20):
+        monkeypatch.setattr(shared_spans, "PIECE", piece)
+        marks = [places.filter(pa.compute.is_null(places["bucket"]))]
+        marks += [shared_spans._marks_of_bucket(50, 2)(places.filter(pa.compute.equal(places["bucket"], b))) for b in (0, 1)]
+        spans = [(u, *x) for m in marks for us, xs in zip(m["units"].to_pylist(), m["spans"].to_pylist()) for u, x in zip(np.frombuffer(us, np.int64).tolist(), np.frombuffer(xs, np.int32).reshape(-1, 2).tolist())]
+        assert {(u, c) for u, a, b in spans for c in range(a, b - 49)} == expected and len(expected) > 1000
